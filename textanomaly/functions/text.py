@@ -12,59 +12,39 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Treebank-style word tokenisation, in the order they are applied.
+# Treebank-style word tokenisation, in the order the rules are applied.
 TREEBANK_RULES: list[tuple[str, str]] = [
     # a period after a title or an initial does not end the sentence
     (r"(^|[\s(])(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|[A-Z])\.(\s)", "\\1\\2\u0001\\3"),
     # opening quotes
-    ("([«“‘„]|`+)", r" \1 "),
     (r'^"', "``"),
-    (r"(``)", r" \1 "),
+    ("([«“‘„]|`+)", r" \1 "),
     (r"""([ (\[{<])("|'')""", r"\1 `` "),
     # sentence-final period: at the end, or before a capital letter
-    (r"""([^.])\.([\])}>"'»”’ ]*)\s*$""", r"\1 . \2 "),
+    (r"""([^.])\.([\])}>"'»”’ ]*)\s*\z""", r"\1 . \2 "),
     (r"""([^.])\.([\])}>"'»”’]*)(\s+)([\p{Lu}«“‘"(\[])""", r"\1 . \2 \3\4"),
-    # punctuation
-    (r"([:,])([^\p{Nd}])", r" \1 \2"),
-    (r"([:,])$", r" \1 "),
-    (r"(\.{2,})", r" \1 "),
-    (r"([;@#$%&?!*])", r" \1 "),
+    # punctuation, brackets, dashes, closing quotes
+    (r"([:,])([^\p{Nd}]|\z)", r" \1 \2"),
     (r"([^'])' ", r"\1 ' "),
-    # brackets and dashes
-    (r"([\]\[(){}<>])", r" \1 "),
-    (r"(--)", r" \1 "),
-    # closing quotes
-    (r"([»”’])", r" \1 "),
-    (r"('')", r" \1 "),
+    (r"(\.{2,}|--|''|[;@#$%&?!*\]\[(){}<>»”’])", r" \1 "),
     (r'"', " '' "),
-    (r"[\s\p{Z}]+", " "),
-    (r"$", " "),
+    (r"[\s\p{Z}]+|\z", " "),
     # clitics
-    (r"([^' ])('[sSmMdD]|') ", r"\1 \2 "),
-    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+    (r"([^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T|') ", r"\1 \2 "),
     # contractions that are two words
-    (r"(^| )([Cc]an)(not) ", r"\1\2 \3 "),
-    (r"(^| )([Gg]im|[Ll]em)(me) ", r"\1\2 \3 "),
-    (r"(^| )([Gg]on|[Ww]an)(na) ", r"\1\2 \3 "),
-    (r"(^| )([Gg]ot)(ta) ", r"\1\2 \3 "),
-    (r"(^| )([Dd])('ye) ", r"\1\2 \3 "),
-    (r"(^| )([Mm]ore)('n) ", r"\1\2 \3 "),
-    (r"(^| )('[Tt])(is|was) ", r"\1\2 \3 "),
+    (
+        r"(^| )(?:([Cc]an)(not)|([Gg]im|[Ll]em)(me)|([Gg]on|[Ww]an)(na)|([Gg]ot)(ta)) ",
+        r"\1\2\4\6\8 \3\5\7\9 ",
+    ),
+    (r"(^| )(?:([Dd])('ye)|([Mm]ore)('n)|('[Tt])(is|was)) ", r"\1\2\4\6 \3\5\7 "),
     ("\u0001", "."),
 ]
 
-# The "basic English" word tokenisation, in the order they are applied.
+# The "basic English" word tokenisation, in the order the rules are applied.
 BASIC_ENGLISH_RULES: list[tuple[str, str]] = [
-    (r"'", " '  "),
+    (r"(['.,()!?])", r" \1 "),
     (r'"', ""),
-    (r"\.", " . "),
-    (r"<br />", " "),
-    (r",", " , "),
-    (r"\(", " ( "),
-    (r"\)", " ) "),
-    (r"!", " ! "),
-    (r"\?", " ? "),
-    (r"[;:]", " "),
+    (r"<br />|[;:]", " "),
 ]
 
 WHITESPACE = r"[\s\p{Z}]+"
@@ -97,7 +77,8 @@ def basic_english_tokens(column: Column) -> Column:
 
 def clean_text(column: Column, lowercase: bool = False, alnum: bool = False) -> Column:
     """Tokens joined by one space; null stays null; ``alnum`` keeps whole-word tokens."""
-    tokens = word_tokens(F.lower(column) if lowercase else column)
-    if alnum:
-        tokens = F.filter(tokens, lambda w: w.rlike(ALPHANUMERIC))
-    return F.when(column.isNotNull(), F.array_join(tokens, " "))
+    source = F.lower(column) if lowercase else column
+    if not alnum:
+        return F.trim(F.regexp_replace(apply_rules(source, TREEBANK_RULES), WHITESPACE, " "))
+    words = F.filter(word_tokens(source), lambda w: w.rlike(ALPHANUMERIC))
+    return F.when(column.isNotNull(), F.array_join(words, " "))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textanomaly.functions.hashing import order_key
-from textanomaly.operators.corpus import attach_parent, check_mode
+from textanomaly.operators.corpus import attach_parent, check_mode, parents_of
 from textanomaly.operators.topk import first_k, ranked
 from textanomaly.session import attach, settle, small_side
 
@@ -62,7 +62,12 @@ def contaminate(
     if split_size < 1 or not 0 <= nu <= 1:
         raise ValueError("split_size must be positive and nu between 0 and 1")
     source = df if "split" in df.columns else df.withColumn("split", F.lit("train"))
-    keyed = attach_parent(source.select(F.col(id_col).alias("doc_id"), "label", "split"), hierarchy)
+    parents = None if hierarchy is None else small_side(parents_of(hierarchy))
+
+    def parented(rows: DataFrame) -> DataFrame:
+        return attach_parent(rows) if parents is None else attach(rows, parents, ["label"], "left")
+
+    keyed = parented(source.select(F.col(id_col).alias("doc_id"), "label", "split"))
     runs = small_side(inliers.select("run", "inlier").distinct())
 
     counts = settle(source.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")))
@@ -70,7 +75,7 @@ def contaminate(
     wanted = runs.withColumnRenamed("inlier", "label").withColumn("split", F.explode(splits))
     sizes = wanted.join(counts, ["split", "label"], "left")
     groups = (
-        attach_parent(sizes, hierarchy)
+        parented(sizes)
         .withColumn("m", F.least(F.coalesce(F.col("n"), F.lit(0)), F.lit(split_size)).cast("int"))
         .withColumn("c", (F.col("m") * F.lit(float(nu))).cast("int"))
         .select("run", F.col("label").alias("inlier"), "split", F.col("parent").alias("p"), "m", "c")
@@ -109,7 +114,7 @@ def contaminate(
 
     columns = ["run", "inlier", "split", "doc_id"]
     chosen = inside.select(*columns, F.col("inlier").alias("label")).unionByName(outside.select(*columns, "label"))
-    return with_truth(attach_parent(chosen, hierarchy))
+    return with_truth(parented(chosen))
 
 
 def without_outliers(split: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from textanomaly.operators import corpus as ops
+from textanomaly.session import settle
 from textanomaly.sources.corpus import cached
 
 
@@ -36,12 +37,13 @@ def prepare(
         df = ops.harmonize(raw, label_col=label_col, keep=["doc_id", "split"])
         if categories is not None:
             df = ops.single_topic(df, categories)
-        return ops.non_empty(ops.clean(df, lowercase=lowercase, alnum=alnum))
+        return ops.clean(df, lowercase=lowercase, alnum=alnum)
 
     def embedded(df: DataFrame) -> DataFrame:
-        return embed(ops.cap_per_label(df, cap, seed, label=["split", "label"]))
+        return embed(ops.cap_per_label(ops.non_empty(df), cap, seed, label=["split", "label"]))
 
     if cache is None:
-        return embedded(texts())
+        # the filter and the cap each read the texts again; cleaning them is the costly part
+        return embedded(settle(texts()))
     stored = cached(spark, texts, f"{cache}/raw", text_settings)
     return cached(spark, lambda: embedded(stored), f"{cache}/processed", {**text_settings, "cap": cap, "seed": seed})

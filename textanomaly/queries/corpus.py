@@ -9,10 +9,15 @@ from textanomaly.functions.text import ALPHANUMERIC, BASIC_ENGLISH_RULES, TREEBA
 from textanomaly.operators import corpus as ops
 from textanomaly.operators import embed
 from textanomaly.plans.prepare import prepare
-from textanomaly.queries.shared import SEED, labelled_documents, order_sql, rounded, scratch, table
+from textanomaly.queries.shared import SEED, labelled_documents, order_sql, scratch, table
+from textanomaly.session import settle, widen
 from textanomaly.sources.corpus import cached, load_corpus
 
 
+def texts(spark, folder):
+    return widen(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def harmonize(spark, folder):
     raw = load_corpus(spark, f"{folder}/documents.parquet", "train", dataset="Newsgroups")
     shaped = raw.select("doc_id", F.col("text").alias("sentence"), F.col("source").alias("label"), F.col("lang").alias("text"), "split")
@@ -48,7 +53,7 @@ def cap_by_language(spark, folder):
 
 
 def cleaned(**flags):
-    return lambda spark, folder: ops.clean(table(spark, folder, "documents").select("doc_id", "text"), **flags)
+    return lambda spark, folder: ops.clean(texts(spark, folder), **flags)
 
 
 def word_vectors(docs):
@@ -61,9 +66,9 @@ def word_vectors(docs):
 
 def pooled(how, oov="zero", joined=False):
     def query(spark, folder):
-        docs = table(spark, folder, "documents")
+        docs = texts(spark, folder)
         pool = embed.pool_by_join if joined else embed.pool_word_vectors
-        result = pool(docs, word_vectors(docs), 4, how, oov)
+        result = pool(docs, settle(word_vectors(docs)), 4, how, oov)
         return result.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 5).alias(f"v{i}") for i in range(4)])
 
     return query
@@ -79,8 +84,7 @@ def letter_counts():
 
 
 def embed_with(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    vectors = embed.embed_with(docs, letter_counts, 4)
+    vectors = embed.embed_with(texts(spark, folder), letter_counts, 4)
     return vectors.select("doc_id", *[F.col("embedding")[i].cast("long").alias(f"v{i}") for i in range(4)])
 
 
@@ -97,7 +101,7 @@ def stage(spark, folder):
 
 
 def prepared(spark, folder):
-    raw = labelled_documents(spark, folder).withColumn("split", F.lit("train"))
+    raw = widen(labelled_documents(spark, folder)).withColumn("split", F.lit("train"))
     result = prepare(raw, lambda df: embed.embed_with(df, letter_counts, 4), lowercase=True, alnum=True, cap=10, seed=SEED)
     return result.select("doc_id", "label", *[F.col("embedding")[i].cast("long").alias(f"v{i}") for i in range(4)])
 

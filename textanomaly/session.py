@@ -47,6 +47,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread the rows of a plain scan that has fewer splits than there are cores.
+
+    Costly row-wise work on a corpus kept in few files would otherwise run in few
+    tasks; a corpus of many splits is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def _width(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(column), F.lit(0)) + 16
