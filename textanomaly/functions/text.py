@@ -28,7 +28,8 @@ TREEBANK_RULES: list[tuple[str, str]] = [
     (r"([^'])' ", r"\1 ' "),
     (r"(\.{2,}|--|''|[;@#$%&?!*\]\[(){}<>»”’])", r" \1 "),
     (r'"', " '' "),
-    (r"[\s\p{Z}]+|\z", " "),
+    # two spaces, so that neighbouring words do not share one
+    (r"[\s\p{Z}]+|\z", "  "),
     # clitics
     (r"([^' ])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T|') ", r"\1 \2 "),
     # contractions that are two words

@@ -15,7 +15,7 @@ def draw_inliers(eligible: DataFrame, runs: int = 10, k: int = 40, seed: int = 0
     """``min(k, n)`` inlier classes for every run, without replacement."""
     every = eligible.select("label").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     keyed = every.withColumn("__order", order_key(seed, "inlier", F.col("run"), F.col("label")))
-    return first_k(keyed, ["run"], "__order", k, ["label"], "__rank").select("run", F.col("label").alias("inlier"))
+    return ranked(keyed, ["run"], "__order", k, ["label"], "__rank").select("run", F.col("label").alias("inlier"))
 
 
 def with_truth(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -57,32 +59,40 @@ def pool_word_vectors(
 
 def _pool_in_place(df: DataFrame, vectors: DataFrame, dim: int, how: str, oov: str, id_col: str) -> DataFrame:
     table = vectors.select("token", F.col("vector").cast("array<float>").alias("vector")).toArrow()
-    words = {word: i for i, word in enumerate(table.column("token").to_pylist())}
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     zero = np.zeros((1, dim), dtype=np.float32)
+    words = table.column("token").combine_chunks()
     shared = df.sparkSession.sparkContext.broadcast((words, np.vstack([flat.reshape(-1, dim), zero])))
 
-    def reduce(tokens) -> np.ndarray:
-        index, values = shared.value
-        missing = len(index)
-        rows = [index.get(t, index.get(t.lower(), missing)) for t in tokens]
+    def reduce(found: np.ndarray, values: np.ndarray) -> np.ndarray:
+        missing = len(values) - 1
         if oov == "skip":
-            rows = [r for r in rows if r != missing]
-        if not rows:
+            found = found[found != missing]
+        if not len(found):
             return np.zeros(dim)
-        found = values[rows]
+        distinct, counts = np.unique(found, return_counts=True)
         if how == "max":
-            return found.max(axis=0).astype(np.float64)
-        total = found.sum(axis=0, dtype=np.float64)
-        return total if how == "sum" else total / len(rows)
+            return values[distinct].max(axis=0).astype(np.float64)
+        total = counts.astype(np.float64) @ values[distinct].astype(np.float64)
+        return total if how == "sum" else total / len(found)
 
-    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, values = shared.value
         for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "embedding": [reduce(t) for t in batch["tokens"]]})
+            lists = batch.column(1)
+            tokens = lists.flatten()
+            found = pc.index_in(tokens, value_set=known)
+            if found.null_count:
+                found = pc.coalesce(found, pc.index_in(pc.utf8_lower(tokens), value_set=known))
+            rows = found.fill_null(len(known)).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            pooled = [reduce(rows[a:b], values) for a, b in zip(starts, starts[1:])]
+            vector = pa.array(pooled, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vector], names=[id_col, "embedding"])
 
     key = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, key), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
-    return df.where(F.col("tokens").isNotNull()).mapInPandas(pool, schema)
+    return df.where(F.col("tokens").isNotNull()).mapInArrow(pool, schema)
 
 
 def pool_by_join(

@@ -102,12 +102,12 @@ def sub_ensemble(
 
 
 def threshold(
-    train_scores: DataFrame, keys: list[str], contamination: float = 0.1, bounded: bool = False
+    train_scores: DataFrame, keys: list[str], contamination: float = 0.1, ranges: int | None = None
 ) -> DataFrame:
     """Score above which the ``contamination`` share of the training rows lies."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be in (0, 0.5]")
-    return quantile(train_scores, keys, "score", 1 - contamination, "threshold", bounded)
+    return quantile(train_scores, keys, "score", 1 - contamination, "threshold", ranges)
 
 
 def predict(scores: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:

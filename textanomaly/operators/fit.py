@@ -69,8 +69,10 @@ def spread(df: DataFrame, keys: list[str], chunks: int, tasks: int | None) -> Da
     return copies.repartition(tasks, *keys, "chunk")
 
 
-def split_by_size(df: DataFrame, keys: list[str], max_rows: int) -> tuple[DataFrame, DataFrame | None]:
+def split_by_size(df: DataFrame, keys: list[str], max_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Groups small enough for one task, and the others (None if there are none)."""
+    if max_rows is None:
+        return df, None
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows).drop("__n")
     large = large.withColumn("__large", F.lit(True))
     if not keys:
@@ -91,13 +93,14 @@ def fit_detectors(
     vector: str = "embedding",
     per_task: int = 8,
     tasks: int | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Fit every detector on every group; returns the model table.
 
     Groups from contaminated splits are bounded by their split size and trained
     inside a task. A group above ``max_group_rows`` is trained by all tasks
-    together (``fit_detector_large``).
+    together (``fit_detector_large``); None skips the count where groups are
+    known to be small.
     """
     chunks = chunked(specs, per_task)
     rows = train.select(*keys, F.col(id_col).alias("doc_id"), F.col(vector).alias("embedding"))
@@ -129,7 +132,7 @@ def fit_and_score(
     per_task: int = 8,
     tasks: int | None = None,
     train: str = "train",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Fit on the train rows of a group and score all its rows in the same task.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textanomaly.operators.ranges import with_range
+from textanomaly.operators.ranges import ranges_needed, with_range
 from textanomaly.session import attach, small_side
 
 
@@ -14,21 +14,22 @@ def ranking_metrics(
     keys: list[str],
     y: str = "y",
     score: str = "score",
-    bounded: bool = False,
-    ranges: int = 1024,
+    ranges: int | None = None,
 ) -> DataFrame:
     """``auc`` (ties count half) and ``ap`` (sum of precision over recall steps) by key.
 
     ``auc`` is null for a group of one class, ``ap`` for a group without positives.
-    Rows are first added up by distinct score. ``bounded`` says that groups are
-    known to be small and are ranked whole; otherwise each group is ranked within
-    value ranges and the totals of the other ranges are added from a small table,
-    so a group holding a large share of all rows is spread over many tasks.
+    Rows are first added up by distinct score. With ``ranges`` = 1 a group is
+    ranked whole in one task, which suits groups of bounded size. Otherwise it is
+    ranked within that many value ranges and the totals of the other ranges are
+    added from a small table, so a group holding a large share of all rows is
+    spread over many tasks. By default the largest group decides.
     """
     data = df.select(*keys, F.col(score).cast("double").alias("__s"), F.col(y).cast("long").alias("__y"))
     data = data.where(F.col("__s").isNotNull())
     totals = [F.sum("__y").alias("p"), F.count(F.lit(1)).alias("n")]
-    if bounded:
+    ranges = ranges or ranges_needed(data, keys)
+    if ranges == 1:
         placed = data.withColumn("range", F.lit(0))
     else:
         placed = with_range(data, keys, "__s", ranges)
@@ -46,7 +47,7 @@ def ranking_metrics(
             "kn": F.sum(n).over(whole),
         }
     )
-    if bounded:
+    if ranges == 1:
         offsets = {"above_p": F.lit(0), "above_n": F.lit(0), "tp": F.col("kp"), "tn": F.col("kn")}
         ranked = ranked.withColumns(offsets)
     else:

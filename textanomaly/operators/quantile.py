@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textanomaly.operators.ranges import with_range
+from textanomaly.operators.ranges import ranges_needed, with_range
 from textanomaly.session import attach, small_side
 
 
 def quantile(
-    df: DataFrame, keys: list[str], value: str, q: float, out: str = "quantile", bounded: bool = False,
-    ranges: int = 1024,
+    df: DataFrame, keys: list[str], value: str, q: float, out: str = "quantile", ranges: int | None = None
 ) -> DataFrame:
     """Linear-interpolated quantile ``q`` of ``value`` by key; nulls are ignored.
 
-    ``bounded`` says that groups are known to be small: the built-in aggregate,
-    which holds a group's distinct values in one task, is then used. Otherwise
-    rows are counted by value range (combined in the scan), the one or two ranges
-    holding the wanted ranks are found, and only their rows are sorted.
+    The built-in aggregate holds a group's distinct values in one task and serves
+    groups that fit (``ranges`` = 1). Larger ones are split: rows are counted by
+    value range (combined in the scan), the one or two ranges holding the wanted
+    ranks are found, and only their rows are sorted. By default the largest group
+    decides the number of ranges.
     """
     if not 0 <= q <= 1:
         raise ValueError("q must be between 0 and 1")
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    if bounded:
+    ranges = ranges or ranges_needed(data, keys)
+    if ranges == 1:
         return data.groupBy(*keys).agg(F.percentile("__v", F.lit(float(q))).alias(out))
 
     placed = with_range(data, keys, "__v", ranges)
@@ -49,5 +50,7 @@ def quantile(
     def at(rank: str):
         return F.max(F.when(F.col(rank).between(F.col("__first"), F.col("__last")), F.col("__v")))
 
-    found = ends.groupBy(*keys).agg(at("__lo").alias("__a"), at("__hi").alias("__b"), F.max(F.col("__pos") - F.col("__lo")).alias("__f"))
+    found = ends.groupBy(*keys).agg(
+        at("__lo").alias("__a"), at("__hi").alias("__b"), F.max(F.col("__pos") - F.col("__lo")).alias("__f")
+    )
     return found.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias(out))

@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from textanomaly.session import attach, small_side
 
 
-def with_range(df: DataFrame, keys: list[str], value: str, ranges: int = 1024) -> DataFrame:
+# About as many rows as one task should sort.
+ROWS_PER_RANGE = 1_000_000
+
+
+def ranges_needed(df: DataFrame, keys: list[str]) -> int:
+    """How many ranges the largest group should be split into; 1 if it fits a task."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    largest = sizes.agg(F.max("__n")).first()[0] or 0
+    return max(1, math.ceil(largest / ROWS_PER_RANGE))
+
+
+def with_range(df: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:
     """Add ``range``: the number of the group's approximate quantile edges <= value.
 
     Edges only balance the work; any monotone numbering gives the same results.

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from textanomaly.detectors import net
 from textanomaly.detectors.spec import DetectorSpec
 from textanomaly.operators.neighbours import batch_counts, hash_batches
-from textanomaly.session import attach, measured_bytes, small_side
+from textanomaly.session import measured_bytes, settle, small_side
 
 # Every Python worker keeps its own copy of broadcast models.
 MAX_MODEL_BYTES = 128 << 20
@@ -75,6 +75,7 @@ def score(
         ]
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
+    models = settle(models)  # measured and read: training should not run twice
     if measured_bytes(models) <= max_model_bytes:
         table = models.toPandas()
         if table.empty:

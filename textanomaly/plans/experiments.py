@@ -12,7 +12,7 @@ from textanomaly.detectors.spec import DetectorSpec
 from textanomaly.operators import ensemble
 from textanomaly.operators.contaminate import contaminate, draw_inliers, paired_splits, with_vectors
 from textanomaly.operators.corpus import eligible_inliers
-from textanomaly.operators.fit import fit_and_score
+from textanomaly.operators.fit import MAX_GROUP_ROWS, fit_and_score
 from textanomaly.operators.metrics import ranking_metrics
 from textanomaly.session import broadcast_if_small, settle
 
@@ -85,6 +85,11 @@ def splits(
     )
 
 
+def group_bound(split_size: int = 1000, **_) -> int | None:
+    """Groups hold at most ``split_size`` + 1 rows a split, so only large settings need counting."""
+    return None if 2 * (split_size + 1) <= MAX_GROUP_ROWS else MAX_GROUP_ROWS
+
+
 def described(results: DataFrame, embedding: str, nu: float, mode: str) -> DataFrame:
     return results.select(
         "model",
@@ -117,7 +122,8 @@ def benchmark(
     by the split size, so each is fitted, scored and ranked within a task.
     """
     rows = splits(corpus, hierarchy, mode, nu=nu, **split_options)
-    scores = settle(fit_and_score(rows, specs or benchmark_specs(), GROUP, carry=["y"], tasks=tasks))
+    bound = group_bound(**split_options)
+    scores = settle(fit_and_score(rows, specs or benchmark_specs(), GROUP, ["y"], tasks=tasks, max_group_rows=bound))
     member = F.col("detector_id").startswith("ens-")
     tested = scores.where(F.col("split") == "test")
     single = tested.where(~member).withColumnRenamed("detector_id", "model")
@@ -127,7 +133,7 @@ def benchmark(
     combined = ensemble.combine(scaled, [*GROUP, "doc_id", "y"], combination).withColumn("model", F.lit("ens"))
     columns = [*GROUP, "model", "y", "score"]
     together = single.select(*columns).unionByName(combined.select(*columns))
-    return described(ranking_metrics(together, [*GROUP, "model"], bounded=True), embedding, nu, mode)
+    return described(ranking_metrics(together, [*GROUP, "model"], ranges=1), embedding, nu, mode)
 
 
 def spec_table(spark: SparkSession, specs: list[DetectorSpec]) -> DataFrame:
@@ -161,11 +167,12 @@ def ablation(
     """
     specs = specs or ablation_specs(study)
     rows = splits(corpus, hierarchy, mode, nu=nu, seed=seed, **split_options)
-    scores = fit_and_score(rows, specs, GROUP, carry=["y"], tasks=tasks)
+    bound = group_bound(**split_options)
+    scores = fit_and_score(rows, specs, GROUP, ["y"], tasks=tasks, max_group_rows=bound)
     if study == "ensemble":
         scores = settle(scores)
     tested = scores.where(F.col("split") == "test")
-    each = ranking_metrics(tested, [*GROUP, "detector_id"], bounded=True)
+    each = ranking_metrics(tested, [*GROUP, "detector_id"], ranges=1)
     grid = spec_table(corpus.sparkSession, specs)
     results = each.join(broadcast_if_small(grid), "detector_id").select(
         *GROUP,
@@ -181,7 +188,7 @@ def ablation(
         scaled = ensemble.apply_score_scaler(tested, scaler, GROUP)
         draws = ensemble.draw_detectors(scores, sizes or list(range(2, 91)), seed)
         drawn = ensemble.sub_ensemble(scaled, [*GROUP, "doc_id", "y"], draws)
-        curve = ranking_metrics(drawn, [*GROUP, "draw"], bounded=True).select(
+        curve = ranking_metrics(drawn, [*GROUP, "draw"], ranges=1).select(
             *GROUP,
             F.lit("ens").alias("model"),
             "auc",

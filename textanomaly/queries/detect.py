@@ -34,7 +34,7 @@ def split_rows(spark, folder):
 def fitted(spec):
     def query(spark, folder):
         train = split_rows(spark, folder).where("split = 'train'")
-        return fit_detectors(train, [spec], GROUP).drop("spec")
+        return fit_detectors(train, [spec], GROUP, max_group_rows=None).drop("spec")
 
     return query
 
@@ -52,7 +52,7 @@ def fit_large_by_label(spark, folder):
 
 
 def fit_score(spark, folder):
-    return fit_and_score(split_rows(spark, folder), list(SPECS.values()), GROUP, carry=["y"])
+    return fit_and_score(split_rows(spark, folder), list(SPECS.values()), GROUP, carry=["y"], max_group_rows=None)
 
 
 def fit_then_score(spark, folder):

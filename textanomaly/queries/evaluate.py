@@ -63,12 +63,12 @@ def thresholds(spark, folder):
 
 
 def threshold_all(spark, folder):
-    return ensemble.threshold(event_scores(spark, folder), [], 0.05).withColumns(rounded("threshold"))
+    return ensemble.threshold(event_scores(spark, folder), [], 0.05, ranges=64).withColumns(rounded("threshold"))
 
 
 def predicted(spark, folder):
     scores = event_scores(spark, folder)
-    limits = ensemble.threshold(scores.where("train"), ["event_type"], 0.1)
+    limits = ensemble.threshold(scores.where("train"), ["event_type"], 0.1, ranges=16)
     return ensemble.predict(scores, limits, ["event_type"]).select("event_id", "label")
 
 
@@ -98,12 +98,13 @@ def ap(spark, folder):
 
 
 def continuous(spark, folder):
-    return metrics.ranking_metrics(truths(spark, folder, F.col("value")), ["g"]).withColumns(rounded("auc", "ap", digits=8))
+    scored = truths(spark, folder, F.col("value"))
+    return metrics.ranking_metrics(scored, ["g"], ranges=64).withColumns(rounded("auc", "ap", digits=8))
 
 
 def overall(spark, folder):
-    """One group holding every row."""
-    return metrics.ranking_metrics(truths(spark, folder, F.col("value")), []).withColumns(rounded("auc", "ap", digits=8))
+    """One group holding every row, ranked in 256 pieces."""
+    return metrics.ranking_metrics(truths(spark, folder, F.col("value")), [], ranges=256).withColumns(rounded("auc", "ap", digits=8))
 
 
 def split_scores(spark, folder):
@@ -114,7 +115,7 @@ def split_scores(spark, folder):
 
 def by_detector(spark, folder):
     tested = split_scores(spark, folder).where("split = 'test'")
-    return metrics.ranking_metrics(tested, ["run", "inlier", "detector_id"], bounded=True)
+    return metrics.ranking_metrics(tested, ["run", "inlier", "detector_id"], ranges=1)
 
 
 def summary(spark, folder):
@@ -140,7 +141,7 @@ def curve(spark, folder):
     draws = ensemble.draw_detectors(scores, list(range(2, 9)), SEED)
     drawn = ensemble.sub_ensemble(scaled, [*keys, "doc_id", "y"], draws)
     rounded_scores = drawn.withColumns(rounded("score", digits=9))
-    return metrics.ranking_metrics(rounded_scores, [*keys, "draw"], bounded=True).withColumns(rounded("auc", "ap"))
+    return metrics.ranking_metrics(rounded_scores, [*keys, "draw"], ranges=1).withColumns(rounded("auc", "ap"))
 
 
 SCORES = f"""{CORPUS},
