@@ -44,7 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    # fresh column identities, so the result can be joined with what it came from
+    return stored.select(*[F.col(f"`{c}`").alias(c) for c in stored.columns])
 
 
 def widen(scan: DataFrame) -> DataFrame:
