@@ -88,7 +88,7 @@ def _activate(kind: str, z: np.ndarray) -> np.ndarray:
 
 def _slope(kind: str, a: np.ndarray) -> np.ndarray:
     if kind == "relu":
-        return (a > 0).astype(a.dtype)
+        return a > 0
     return 1 - a * a if kind == "tanh" else a * (1 - a)
 
 
@@ -102,15 +102,18 @@ def _run(spec, params, plan, h, rng, stats):
         if spec.batchnorm:
             if stats is None:
                 mean, var = params[f"{name}.mean"], params[f"{name}.var"]
+                centred = h - mean
             else:
-                mean, var = h.mean(axis=0), h.var(axis=0)
+                mean = h.mean(axis=0)
+                centred = h - mean
+                var = np.einsum("ij,ij->j", centred, centred) / len(h)
                 stats[name] = (mean, var * len(h) / max(len(h) - 1, 1))
             step["inv"] = 1 / np.sqrt(var + h.dtype.type(BN_EPS))
-            step["unit"] = (h - mean) * step["inv"]
+            step["unit"] = centred * step["inv"]
             h = step["unit"] * params[f"{name}.gain"] + params[f"{name}.shift"]
         if stats is not None and drop and spec.dropout_rate > 0:
             keep = 1 - spec.dropout_rate
-            step["kept"] = ((rng.random(h.shape) < keep) / keep).astype(h.dtype)
+            step["kept"] = (rng.random(h.shape, dtype=h.dtype) < keep) * h.dtype.type(1 / keep)
             h = h * step["kept"]
         tape.append(step)
     return h, tape
@@ -122,11 +125,10 @@ def _back(spec, params, tape, grad, grads):
         if "kept" in step:
             grad = grad * step["kept"]
         if spec.batchnorm:
-            unit = step["unit"]
-            grads[f"{name}.gain"] = (grad * unit).sum(axis=0)
-            grads[f"{name}.shift"] = grad.sum(axis=0)
-            grad = grad * params[f"{name}.gain"]
-            grad = step["inv"] * (grad - grad.mean(axis=0) - unit * (grad * unit).mean(axis=0))
+            unit, n = step["unit"], len(grad)
+            along, total = np.einsum("ij,ij->j", grad, unit), grad.sum(axis=0)
+            grads[f"{name}.gain"], grads[f"{name}.shift"] = along, total
+            grad = (step["inv"] * params[f"{name}.gain"]) * (grad - total / n - unit * (along / n))
         grad = grad * _slope(spec.activation, step["active"])
         grads[f"{name}.W"] = grad.T @ step["input"]
         grads[f"{name}.b"] = grad.sum(axis=0)
@@ -229,24 +231,30 @@ def update_running(params: dict, stats: dict) -> None:
 
 
 class Adam:
-    """Adam with weight decay added to the gradient."""
+    """Adam with weight decay added to the gradient; moments are kept in one vector."""
 
     def __init__(self, learning_rate: float, weight_decay: float = 0.0, betas=(0.9, 0.999), eps: float = 1e-8):
         self.rate, self.decay, self.betas, self.eps = learning_rate, weight_decay, betas, eps
-        self.steps, self.first, self.second = 0, {}, {}
+        self.steps, self.first, self.second = 0, None, None
 
     def step(self, params: dict, grads: dict) -> None:
+        names = trainable(params)
+        flat = np.concatenate([grads[n].ravel() for n in names])
+        if self.decay:
+            flat = flat + self.decay * np.concatenate([params[n].ravel() for n in names]).astype(flat.dtype)
+        if self.first is None:
+            self.first, self.second = np.zeros_like(flat), np.zeros_like(flat)
         self.steps += 1
         b1, b2 = self.betas
+        self.first += (1 - b1) * (flat - self.first)
+        self.second += (1 - b2) * (flat * flat - self.second)
         rate = self.rate / (1 - b1**self.steps)
-        scale = np.sqrt(1 - b2**self.steps)
-        for name, grad in grads.items():
-            if self.decay:
-                grad = grad + self.decay * params[name]
-            self.first[name] = b1 * self.first.get(name, 0) + (1 - b1) * grad
-            self.second[name] = b2 * self.second.get(name, 0) + (1 - b2) * grad * grad
-            move = rate * self.first[name] / (np.sqrt(self.second[name]) / scale + self.eps)
-            params[name] = (params[name] - move).astype(params[name].dtype)
+        move = self.first / (np.sqrt(self.second) / np.sqrt(1 - b2**self.steps).astype(flat.dtype) + self.eps)
+        at = 0
+        for name in names:
+            size = params[name].size
+            params[name] -= (rate * move[at : at + size]).reshape(params[name].shape).astype(params[name].dtype)
+            at += size
         apply_masks(params)
 
 

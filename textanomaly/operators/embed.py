@@ -53,7 +53,8 @@ def pool_word_vectors(
         raise ValueError("oov should be zero or skip")
     tokens = TOKENIZERS[tokenizer](F.col(text_col))
     if measured_bytes(vectors) <= max_vocabulary_bytes:
-        return _pool_in_place(df.select(id_col, tokens.alias("tokens")), vectors, dim, how, oov, id_col)
+        texts = df.where(F.col(text_col).isNotNull()).select(id_col, tokens.alias("tokens"))
+        return _pool_in_place(texts, vectors, dim, how, oov, id_col)
     return pool_by_join(df, vectors, dim, how, oov, tokenizer, id_col, text_col)
 
 
@@ -92,7 +93,7 @@ def _pool_in_place(df: DataFrame, vectors: DataFrame, dim: int, how: str, oov: s
 
     key = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, key), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
-    return df.where(F.col("tokens").isNotNull()).mapInArrow(pool, schema)
+    return df.mapInArrow(pool, schema)
 
 
 def pool_by_join(

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -252,18 +253,28 @@ def as_float(vector: str):
     return F.col(vector).cast("array<float>")
 
 
-def whole_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def rows_of(vectors: pa.ListArray) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def whole_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
     """Rows arrive sorted by (model, batch); yield each batch whole."""
-    held: list[pd.DataFrame] = []
+    key, held = None, []
     for frame in frames:
-        for _, part in frame.groupby(["model", "batch"], sort=False):
-            first = part[["model", "batch"]].iloc[0]
-            if held and not first.equals(held[-1][["model", "batch"]].iloc[0]):
-                yield pd.concat(held)
+        names, numbers = (frame.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        changes = np.flatnonzero((names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])) + 1
+        ends = [*changes, len(names)] if len(names) else []
+        start = 0
+        for end in ends:
+            if held and key != (names[start], numbers[start]):
+                yield *key, np.concatenate(held)
                 held = []
-            held.append(part)
+            key = (names[start], numbers[start])
+            held.append(rows_of(frame.column(2).slice(start, end - start)))
+            start = end
     if held:
-        yield pd.concat(held)
+        yield *key, np.concatenate(held)
 
 
 def gradient_sums(batches: DataFrame, spec: DetectorSpec, models: dict, step: int):
@@ -275,33 +286,40 @@ def gradient_sums(batches: DataFrame, spec: DetectorSpec, models: dict, step: in
         parts += [value for name in sorted(stats) for value in stats[name]]
         return np.concatenate([np.asarray(p, np.float64).ravel() for p in parts])
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for batch in whole_batches(frames):
-            name, number = batch["model"].iloc[0], batch["batch"].iloc[0]
+        for name, number, x in whole_batches(frames):
             params = shared.value[name]
-            x = net.standardized(params, np.stack(batch["embedding"].to_numpy()))
             rng = net.seeded(spec.seed, spec.detector_id, name, number, step)
-            _, grads, stats = net.loss_and_grads(spec, params, x, rng)
+            _, grads, stats = net.loss_and_grads(spec, params, net.standardized(params, x), rng)
             total, n = sums.get(name, (0, 0))
             sums[name] = (total + len(x) * flatten(params, grads, stats), n + len(x))
         for name, (total, n) in sums.items():
             blocks = np.split(total, range(BLOCK, len(total), BLOCK))
-            yield pd.DataFrame({"model": name, "block": range(len(blocks)), "n": n, "data": blocks})
-
-    parts = batches.select("model", "batch", "embedding").mapInPandas(
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * len(blocks), pa.string()),
+                    pa.array(range(len(blocks)), pa.int32()),
+                    pa.array([n] * len(blocks), pa.int64()),
+                    pa.array(blocks, pa.list_(pa.float64())),
+                ],
+                names=["model", "block", "n", "data"],
+            )
+
+    parts = batches.select("model", "batch", "embedding").mapInArrow(
         partial, "model string, block int, n long, data array<double>"
     )
     summed = parts.groupBy("model", "block").agg(
         F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("data"))).alias("data")
     )
-    found: dict = {}
-    for row in summed.toLocalIterator():
-        found.setdefault(row["model"], []).append((row["block"], np.asarray(row["data"]) / row["n"]))
+    # model-sized: one row a block of parameters, bounded by MAX_DRIVER_BYTES
+    table = summed.toArrow().combine_chunks().sort_by([("model", "ascending"), ("block", "ascending")])
     shared.unpersist()
+    found: dict = {}
+    for name, n, data in zip(table["model"].to_pylist(), table["n"].to_pylist(), table["data"]):
+        found.setdefault(name, []).append(data.values.to_numpy() / n)
     for name, blocks in found.items():
-        flat = np.concatenate([b for _, b in sorted(blocks, key=lambda b: b[0])])
-        yield name, *unflatten(spec, models[name], flat)
+        yield name, *unflatten(spec, models[name], np.concatenate(blocks))
 
 
 def unflatten(spec: DetectorSpec, params: dict, flat: np.ndarray) -> tuple[dict, dict]:

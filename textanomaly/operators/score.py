@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textanomaly.detectors import net
 from textanomaly.detectors.spec import DetectorSpec
+from textanomaly.operators.fit import rows_of
 from textanomaly.operators.neighbours import batch_counts, hash_batches
 from textanomaly.session import measured_bytes, settle, small_side
 
@@ -87,13 +89,17 @@ def score(
         def of_key(key, wanted):
             return [m for m in shared.value.get(tuple(key), []) if by_row(m[0]) == wanted]
 
-        def in_place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if frame.empty:
-                    continue
-                groups = frame.groupby(keys) if keys else [((), frame)]
+        def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups = [((), batch)]
+                if keys:
+                    places = batch.select(keys).to_pandas().groupby(keys, dropna=False).indices
+                    groups = [(k if isinstance(k, tuple) else (k,), batch.take(i)) for k, i in places.items()]
                 for key, part in groups:
-                    yield scored(part, of_key(key, True), *key)
+                    for spec, params in of_key(key, True) if part.num_rows else []:
+                        found = net.scores(spec, params, rows_of(part.column("embedding")), *key)
+                        added = [pa.array([spec.detector_id] * len(found), pa.string()), pa.array(found)]
+                        yield pa.RecordBatch.from_arrays([*part.select(columns).columns, *added], names=names)
 
         def in_batch(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("doc_id")
@@ -102,7 +108,7 @@ def score(
 
         results = []
         if any(by_row(s) for s in every):
-            results.append(rows.mapInPandas(in_place, schema))
+            results.append(rows.mapInArrow(in_place, schema))
         if not all(by_row(s) for s in every):
             batched = hash_batches(rows, [*keys, *within], batch_size)
             results.append(batched.groupBy(*keys, *within, "batch").applyInPandas(in_batch, schema))
