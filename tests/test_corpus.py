@@ -147,6 +147,20 @@ def test_encoder_is_checked_and_keeps_columns(spark):
     assert {tuple(r) for r in report.collect()} == {(1, 1, False), (2, 1, True)}
 
 
+def test_embedding_by_name(spark):
+    docs = spark.createDataFrame([(1, "l", "Cat. dog")], "doc_id int, label string, text string")
+    vectors = spark.createDataFrame(VECTORS, "token string, vector array<float>")
+    by_words = embed.encode_corpus(docs, "GloVe", vectors, dim=2)
+    assert by_words.columns == ["doc_id", "label", "text", "embedding"]
+    assert np.allclose(by_words.first()["embedding"], [4 / 3, -2 / 3])  # cat, period, dog
+    assert np.allclose(embed.encode_corpus(docs, vectors=vectors, dim=2).first()["embedding"], [3, -4])
+    encoded = embed.encode_corpus(docs, "roberta", encoder_factory=lambda: lambda t: np.ones((len(t), 768)))
+    assert len(encoded.first()["embedding"]) == 768
+    for bad in ({"embedding": "elmo"}, {"embedding": "roberta"}, {"embedding": "glove"}):
+        with pytest.raises(ValueError):
+            embed.encode_corpus(docs, **bad)
+
+
 def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x, \"y\"\nz")], "label string, text string")
     for kind in ("parquet", "json", "csv"):

@@ -36,9 +36,12 @@ def pool_word_vectors(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_vocabulary_bytes: int = MAX_VOCABULARY_BYTES,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Reduce the word vectors of a text by ``mean``, ``max`` or ``sum``.
 
+    Returns ``id_col``, the columns to ``carry`` and ``embedding``.
+
     ``vectors(token, vector)`` has one row a token. A token is looked up as it
     is, then in lower case. A token found in neither form counts as the zero
     vector (``oov='zero'``) or is left out (``oov='skip'``). A text without any
@@ -53,12 +56,12 @@ def pool_word_vectors(
         raise ValueError("oov should be zero or skip")
     tokens = TOKENIZERS[tokenizer](F.col(text_col))
     if measured_bytes(vectors) <= max_vocabulary_bytes:
-        texts = df.where(F.col(text_col).isNotNull()).select(id_col, tokens.alias("tokens"))
-        return _pool_in_place(texts, vectors, dim, how, oov, id_col)
-    return pool_by_join(df, vectors, dim, how, oov, tokenizer, id_col, text_col)
+        texts = df.where(F.col(text_col).isNotNull()).select(id_col, *(carry or []), tokens.alias("__tokens"))
+        return _pool_in_place(texts, vectors, dim, how, oov)
+    return pool_by_join(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carry)
 
 
-def _pool_in_place(df: DataFrame, vectors: DataFrame, dim: int, how: str, oov: str, id_col: str) -> DataFrame:
+def _pool_in_place(df: DataFrame, vectors: DataFrame, dim: int, how: str, oov: str) -> DataFrame:
     table = vectors.select("token", F.col("vector").cast("array<float>").alias("vector")).toArrow()
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     zero = np.zeros((1, dim), dtype=np.float32)
@@ -80,7 +83,7 @@ def _pool_in_place(df: DataFrame, vectors: DataFrame, dim: int, how: str, oov: s
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, values = shared.value
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(batch.num_columns - 1)
             tokens = lists.flatten()
             found = pc.index_in(tokens, value_set=known)
             if found.null_count:
@@ -89,10 +92,9 @@ def _pool_in_place(df: DataFrame, vectors: DataFrame, dim: int, how: str, oov: s
             starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
             pooled = [reduce(rows[a:b], values) for a, b in zip(starts, starts[1:])]
             vector = pa.array(pooled, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vector], names=[id_col, "embedding"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vector], names=schema.names)
 
-    key = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, key), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
     return df.mapInArrow(pool, schema)
 
 
@@ -105,6 +107,7 @@ def pool_by_join(
     tokenizer: str = "basic_english",
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """The same pooling as a join on the token, for vocabularies of any size.
 
@@ -139,8 +142,8 @@ def pool_by_join(
     else:
         pooled = Summarizer.mean(vector, weight)
     result = found.groupBy(id_col).agg(vector_to_array(pooled).alias("embedding"))
-    empty = df.where(F.col(text_col).isNotNull()).select(id_col)
-    return empty.join(result, id_col, "left").withColumn("embedding", F.coalesce("embedding", zero))
+    every = df.where(F.col(text_col).isNotNull()).select(id_col, *(carry or []))
+    return every.join(result, id_col, "left").withColumn("embedding", F.coalesce("embedding", zero))
 
 
 def embed_with(
@@ -176,6 +179,48 @@ def embed_with(
     return df.drop("embedding").where(F.col(text_col).isNotNull()).mapInPandas(encode, schema)
 
 
+# Embeddings by name, and what each is made from.
+EMBEDDINGS = {
+    "glove": "words",
+    "fasttext": "words",
+    "sentence-glove": "known words",
+    "roberta": "encoder",
+    "distill-roberta": "encoder",
+}
+
+
+def encode_corpus(
+    df: DataFrame,
+    embedding: str = "sentence-glove",
+    vectors: DataFrame | None = None,
+    encoder_factory: Callable | None = None,
+    reduction: str = "mean",
+    dim: int | None = None,
+    id_col: str = "doc_id",
+) -> DataFrame:
+    """Add ``embedding`` to every row by the name of the embedding.
+
+    Word embeddings need ``vectors(token, vector)``; encoders need an
+    ``encoder_factory`` (see ``embed_with``), as no pretrained weights come along.
+    """
+    kind = EMBEDDINGS.get(embedding.lower())
+    if kind is None:
+        raise ValueError(f"{embedding} is not an available embedding: {', '.join(EMBEDDINGS)}")
+    dim = dim or expected_dim(embedding.lower())
+    if kind == "encoder":
+        if encoder_factory is None:
+            raise ValueError(f"{embedding} needs an encoder_factory")
+        return embed_with(df, encoder_factory, dim, id_col)
+    if vectors is None:
+        raise ValueError(f"{embedding} needs a table of word vectors")
+    # the sentence embedding averages the known words only, cut at white space
+    how, oov, tokenizer = (
+        ("mean", "skip", "whitespace") if kind == "known words" else (reduction, "zero", "basic_english")
+    )
+    carry = [c for c in df.columns if c not in (id_col, "embedding")]
+    return pool_word_vectors(df, vectors, dim, how, oov, tokenizer, id_col, carry=carry)
+
+
 def expected_dim(embedding: str) -> int:
     """768 for encoders of the roberta family, 300 for word vectors."""
     return 768 if "roberta" in embedding else 300

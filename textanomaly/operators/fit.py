@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from textanomaly.detectors import net
 from textanomaly.detectors.spec import DetectorSpec
 from textanomaly.functions.hashing import leading_bits, order_key
-from textanomaly.operators.neighbours import hash_batches
+from textanomaly.operators.neighbours import batch_counts, hash_batches
 from textanomaly.operators.scale import fit_scaler
 from textanomaly.session import attach, settle, small_side
 
@@ -56,7 +56,8 @@ def chunked(specs: list[DetectorSpec], per_task: int) -> list[list[DetectorSpec]
     ids = [s.detector_id for s in specs]
     if not specs or len(set(ids)) != len(ids):
         raise ValueError("detector ids must be given and differ")
-    return [specs[i : i + per_task] for i in range(0, len(specs), per_task)]
+    count = -(-len(specs) // per_task)
+    return [specs[i::count] for i in range(count)]
 
 
 def spread(df: DataFrame, keys: list[str], chunks: int, tasks: int | None) -> DataFrame:
@@ -66,7 +67,9 @@ def spread(df: DataFrame, keys: list[str], chunks: int, tasks: int | None) -> Da
     that are small in bytes but costly to train.
     """
     copies = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    tasks = tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
+    if tasks is None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        tasks = max(cores, min(16 * cores, 4096))
     return copies.repartition(tasks, *keys, "chunk")
 
 
@@ -209,10 +212,13 @@ def fit_detector_large(
     rows = df.select(*keys, F.col(id_col).alias("doc_id"), as_float(vector).alias("embedding"))
     if spec.standardize:
         scaler = settle(fit_scaler(rows, keys))
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = small_side(batch_counts(rows, keys, spec.batch_size))
+    if tasks is None:
+        batches = counts.agg(F.sum("batches")).first()[0] or 1
+        tasks = min(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
     model_key = F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("{}")
     laid_out = settle(
-        hash_batches(rows, keys, spec.batch_size, spec.seed)
+        hash_batches(rows, keys, spec.batch_size, spec.seed, counts=counts)
         .withColumn("model", model_key)
         .repartition(tasks, "model", "batch")
         .sortWithinPartitions("model", "batch", "doc_id")

@@ -27,19 +27,19 @@ def harmonize(spark, folder):
 def topics(spark, folder):
     docs = table(spark, folder, "documents")
     listed = (
-        F.when(F.col("doc_id") % 11 == 0, F.array().cast("array<string>"))
-        .when(F.col("doc_id") % 7 == 0, F.array("lang", "source"))
+        F.when(F.col("n_chars") < 200, F.array().cast("array<string>"))
+        .when(F.col("n_chars") > 5000, F.array("lang", "source"))
         .otherwise(F.array("lang"))
     )
     tagged = docs.select("doc_id", listed.alias("topics"), "lang", "text")
-    # every language but the largest in name order gets a number
+    # one language is left without a number
     ranked = docs.groupBy("lang").agg(F.min("doc_id").alias("label")).where("lang <> 'fr'")
     categories = ranked.select(F.col("lang").alias("topic"), F.col("label").cast("string").alias("label"))
     return ops.single_topic(tagged, categories, "topics").select("doc_id", "label", "text")
 
 
 def non_empty(spark, folder):
-    text = F.when(F.col("n_chars") % 10 == 0, None).when(F.col("n_chars") < 200, "").otherwise(F.col("text"))
+    text = F.when(F.col("lang") == "es", None).when(F.col("n_chars") < 200, "").otherwise(F.col("text"))
     return ops.non_empty(table(spark, folder, "documents").select("doc_id", text.alias("text")))
 
 
@@ -177,8 +177,8 @@ ORACLES = {
     "corpus_harmonize": "select doc_id, 'train' as split, source as label, text from documents",
     "single_topic": """select d.doc_id, c.label, d.text from documents d
 join (select lang, min(doc_id)::varchar as label from documents where lang <> 'fr' group by lang) c on d.lang = c.lang
-where d.doc_id % 11 <> 0 and d.doc_id % 7 <> 0""",
-    "non_empty": "select doc_id, text from documents where n_chars % 10 <> 0 and n_chars >= 200 and length(text) > 0",
+where d.n_chars between 200 and 5000""",
+    "non_empty": "select doc_id, text from documents where lang <> 'es' and n_chars >= 200 and length(text) > 0",
     "cap_per_label": f"select doc_id, label from {CAPPED} where k <= 10",
     "cap_per_language": f"""select doc_id, label from (select doc_id, lang as label, row_number() over (partition by lang
 order by {order_sql(f"'{SEED}'", 'doc_id::varchar')}, doc_id) as k from documents) where k <= 100""",

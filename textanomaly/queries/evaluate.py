@@ -53,13 +53,12 @@ def sub(spark, folder):
 
 def event_scores(spark, folder):
     return table(spark, folder, "events").select(
-        "event_id", "event_type", F.col("value").alias("score"), (F.col("event_id") % 2 == 0).alias("train")
+        "event_id", "event_type", F.col("value").alias("score")
     )
 
 
 def thresholds(spark, folder):
-    train = event_scores(spark, folder).where("train")
-    return ensemble.threshold(train, ["event_type"], 0.1).withColumns(rounded("threshold"))
+    return ensemble.threshold(event_scores(spark, folder), ["event_type"], 0.1).withColumns(rounded("threshold"))
 
 
 def threshold_all(spark, folder):
@@ -68,14 +67,14 @@ def threshold_all(spark, folder):
 
 def predicted(spark, folder):
     scores = event_scores(spark, folder)
-    limits = ensemble.threshold(scores.where("train"), ["event_type"], 0.1, ranges=16)
+    limits = ensemble.threshold(scores, ["event_type"], 0.1, ranges=16)
     return ensemble.predict(scores, limits, ["event_type"]).select("event_id", "label")
 
 
 def proba(how):
     def query(spark, folder):
         scores = event_scores(spark, folder)
-        fitted = ensemble.fit_proba(scores.where("train"), ["event_type"])
+        fitted = ensemble.fit_proba(scores, ["event_type"])
         result = ensemble.predict_proba(scores, fitted, ["event_type"], how)
         return result.select("event_id", F.round("proba", 6).alias("proba"))
 
@@ -153,9 +152,9 @@ scaled as (select s.doc_id, s.detector_id, (score - mu) / case when sigma = 0 th
   from scores s join fitted f on s.detector_id = f.detector_id)"""
 DRAWS = f"""draws as (select n as draw, {bits_sql(order_sql(f"'{SEED}'", "'draw'", 'n::varchar', 'slot::varchar'))} % {DETECTORS} as d
   from (select n, unnest(range(n))::int as slot from (select unnest({{sizes}})::int as n)))"""
-EVENTS = """e as (select event_id, event_type, value as score, event_id % 2 = 0 as train from events)"""
+EVENTS = """e as (select event_id, event_type, value as score from events)"""
 FITTED = """fitted as (select event_type, min(score) lo, max(score) hi, avg(score) mu, stddev_pop(score) sigma
-  from e where train group by event_type)"""
+  from e group by event_type)"""
 # erf by its all-positive series: 2/sqrt(pi) exp(-x²) sum 2^n x^(2n+1) / (2n+1)!!
 ERF = """case when x <= 0 then 0 when x > 5.9 then 1 else least(1, 2 / sqrt(pi()) * exp(-x * x) *
   list_sum(list_transform(range(0, 140), lambda n: exp(2 * n * ln(2) + lgamma(n + 1.0::double) - lgamma(2 * n + 2.0::double)
@@ -231,9 +230,9 @@ ORACLES = {
     "sub_ensemble": f"""with {SCALED}, {DRAWS.format(sizes='[2, 3, 5, 8]')}
 select doc_id, draw, round(median(z), 6) as score from scaled s join draws on s.detector_id = draws.d group by doc_id, draw""",
     "threshold": f"""with {EVENTS} select event_type, round(quantile_cont(score, 0.9), 6) as threshold
-from e where train group by event_type""",
+from e group by event_type""",
     "threshold_all": f"with {EVENTS} select round(quantile_cont(score, 0.95), 6) as threshold from e",
-    "predict": f"""with {EVENTS}, t as (select event_type, quantile_cont(score, 0.9) as threshold from e where train group by all)
+    "predict": f"""with {EVENTS}, t as (select event_type, quantile_cont(score, 0.9) as threshold from e group by all)
 select event_id, (score > threshold)::int as label from e join t on e.event_type = t.event_type""",
     "proba_linear": proba_sql("greatest(0, least(1, linear))"),
     "proba_unify": proba_sql(ERF),
