@@ -42,6 +42,33 @@ def hash_batches(
     return attach(df, counts, keys).withColumn("batch", F.pmod(spread, F.col("batches"))).drop("batches")
 
 
+def nearest_pairs(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and exact distances of the ``min(k, n)`` nearest rows of every row.
+
+    One matrix product finds the candidates: all pairs within its rounding error
+    of the k-th distance. Only those are measured by differences, so ranks and
+    ties are exact.
+    """
+    n, dim = x.shape
+    kept = min(k, n)
+    squares = np.einsum("ij,ij->i", x, x)
+    rough = squares[:, None] + squares[None, :] - 2 * (x @ x.T)
+    np.fill_diagonal(rough, np.inf)
+    slack = 8 * (dim + 4) * np.finfo(np.float64).eps * (squares.max() + squares)
+    limit = np.partition(rough, kept - 1, axis=1)[:, kept - 1] + slack
+    rows, others = np.nonzero(rough <= limit[:, None])
+    dist = np.empty(len(rows))
+    step = max(1, (16 << 20) // (8 * dim))
+    for at in range(0, len(rows), step):
+        gap = x[rows[at : at + step]] - x[others[at : at + step]]
+        dist[at : at + step] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    dist[rows == others] = np.inf
+    order = np.lexsort((others, dist, rows))
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)  # rows are sorted
+    order = order[place < kept]
+    return rows[order], others[order], dist[order]
+
+
 def knn(
     df: DataFrame,
     keys: list[str],
@@ -74,27 +101,11 @@ def knn(
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
         ids = pdf[id_col].to_numpy()
-        x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        n, kept = len(ids), min(k, len(ids))
-        step = max(1, (32 << 20) // (8 * x.size))
-        parts = []
-        for start in range(0, n, step):
-            gap = x[start : start + step, None, :] - x[None, :, :]
-            dist = np.sqrt(np.einsum("ijd,ijd->ij", gap, gap))
-            rows = np.arange(len(dist))
-            dist[rows, start + rows] = np.inf
-            order = np.argsort(dist, axis=1, kind="stable")[:, :kept]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(ids[start : start + step], kept),
-                        "nbr": ids[order].ravel(),
-                        "rank": np.tile(np.arange(1, kept + 1), len(dist)),
-                        "dist": np.take_along_axis(dist, order, axis=1).ravel(),
-                    }
-                )
-            )
-        out = pd.concat(parts)
+        rows, others, dist = nearest_pairs(np.stack(pdf[vector].to_numpy()).astype(np.float64), k)
+        kept = min(k, len(ids))
+        out = pd.DataFrame(
+            {"id": ids[rows], "nbr": ids[others], "rank": np.tile(np.arange(1, kept + 1), len(ids)), "dist": dist}
+        )
         for column in group:
             out[column] = pdf[column].iloc[0]
         return out[[f.name for f in schema.fields]]
