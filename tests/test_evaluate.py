@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textanomaly.detectors.spec import base
 from textanomaly.operators import ensemble, metrics, ranges, scale
 from textanomaly.operators.quantile import quantile
 
@@ -84,6 +85,8 @@ def test_number_of_ranges_follows_the_largest_group(scored, monkeypatch):
     monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 100)
     assert ranges.ranges_needed(df, ["g"]) == 9
     assert ranges.ranges_needed(df.limit(0), []) == 1
+    monkeypatch.setattr(ranges, "MAX_RANGES", 5)
+    assert ranges.ranges_needed(df, ["g"]) == 5
     placed = ranges.with_range(df.where("g = 'hot'"), ["g"], "score", 9)
     numbered = placed.groupBy("range").agg(F.min("score").alias("low"), F.max("score").alias("high")).orderBy("range")
     spans = [(r["low"], r["high"]) for r in numbered.collect()]
@@ -144,6 +147,13 @@ def test_threshold_prediction_and_probability(spark):
             ensemble.threshold(train, [], bad)
 
 
+def test_thresholds_by_detector(scores):
+    specs = [base("0", contamination=0.5), base("1"), base("2", contamination=0.25)]
+    named = scores.withColumn("detector_id", F.col("detector_id").cast("string"))
+    limits = {r["detector_id"]: r["threshold"] for r in ensemble.detector_thresholds(named, specs, []).collect()}
+    assert limits == {"0": 3.0, "1": 5.0, "2": 3.0}
+
+
 def test_feature_scaler_and_minmax(spark):
     x = np.array([[1.0, 5, 2], [3, 5, 4], [8, 5, 0]])
     df = spark.createDataFrame([(i, "k", row.tolist()) for i, row in enumerate(x)], "doc_id int, g string, embedding array<float>")

@@ -6,12 +6,14 @@ Scores are long tables ``(*keys, doc_id, detector_id, score)``.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textanomaly.detectors.spec import DetectorSpec
 from textanomaly.functions.hashing import leading_bits, order_key
 from textanomaly.operators.quantile import quantile
 from textanomaly.session import attach, settle, small_side
@@ -110,6 +112,18 @@ def threshold(
     return quantile(train_scores, keys, "score", 1 - contamination, "threshold", ranges)
 
 
+def detector_thresholds(
+    train_scores: DataFrame, specs: list[DetectorSpec], keys: list[str], ranges: int | None = None
+) -> DataFrame:
+    """Threshold of every detector of a grid, at the contamination of its settings."""
+    parts = []
+    for share in sorted({s.contamination for s in specs}):
+        ids = [s.detector_id for s in specs if s.contamination == share]
+        of_share = train_scores.where(F.col("detector_id").isin(ids))
+        parts.append(threshold(of_share, [*keys, "detector_id"], share, ranges))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def predict(scores: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """``label`` = 1 where the score exceeds the training threshold."""
     joined = attach(scores, small_side(thresholds), keys)

@@ -12,13 +12,15 @@ from textanomaly.session import attach, small_side
 
 # About as many rows as one task should sort.
 ROWS_PER_RANGE = 1_000_000
+# A group's edges travel with its rows while these are placed (8 bytes an edge).
+MAX_RANGES = 4096
 
 
 def ranges_needed(df: DataFrame, keys: list[str]) -> int:
     """How many ranges the largest group should be split into; 1 if it fits a task."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     largest = sizes.agg(F.max("__n")).first()[0] or 0
-    return max(1, math.ceil(largest / ROWS_PER_RANGE))
+    return min(MAX_RANGES, max(1, math.ceil(largest / ROWS_PER_RANGE)))
 
 
 def with_range(df: DataFrame, keys: list[str], value: str, ranges: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textanomaly.detectors.spec import base
 from textanomaly.operators import ensemble, metrics
 from textanomaly.queries.shared import CORPUS, HIERARCHY, SEED, bits_sql, order_sql, rounded, scratch, table, vector_corpus, vector_hierarchy
 from textanomaly.queries.splits import contaminated, split_sql
@@ -71,6 +72,15 @@ def predicted(spark, folder):
     return ensemble.predict(scores, limits, ["event_type"]).select("event_id", "label")
 
 
+def predicted_by_detector(spark, folder):
+    """Labels of every stand-in detector, half of them with another contamination."""
+    scores = coordinate_scores(spark, folder).withColumn("detector_id", F.col("detector_id").cast("string"))
+    specs = [base(str(d), contamination=0.1 if d < 4 else 0.3) for d in range(DETECTORS)]
+    limits = ensemble.detector_thresholds(scores.where("split = 'train'"), specs, ["label"], ranges=1)
+    labelled = ensemble.predict(scores.withColumnRenamed("label", "class"), limits.withColumnRenamed("label", "class"), ["class", "detector_id"])
+    return labelled.select("doc_id", "detector_id", "label")
+
+
 def proba(how):
     def query(spark, folder):
         scores = event_scores(spark, folder)
@@ -209,6 +219,7 @@ QUERIES = {
     "threshold": thresholds,
     "threshold_all": threshold_all,
     "predict": predicted,
+    "predict_detectors": predicted_by_detector,
     "proba_linear": proba("linear"),
     "proba_unify": proba("unify"),
     "roc_auc": auc,
@@ -234,6 +245,11 @@ from e group by event_type""",
     "threshold_all": f"with {EVENTS} select round(quantile_cont(score, 0.95), 6) as threshold from e",
     "predict": f"""with {EVENTS}, t as (select event_type, quantile_cont(score, 0.9) as threshold from e group by all)
 select event_id, (score > threshold)::int as label from e join t on e.event_type = t.event_type""",
+    "predict_detectors": f"""with {SCORES}, limits as (select label, detector_id,
+    case when detector_id < 4 then quantile_cont(score, 0.9) else quantile_cont(score, 0.7) end as threshold
+  from scores where split = 'train' group by label, detector_id)
+select s.doc_id, s.detector_id::varchar as detector_id, (s.score > t.threshold)::int as label
+from scores s join limits t on s.label = t.label and s.detector_id = t.detector_id""",
     "proba_linear": proba_sql("greatest(0, least(1, linear))"),
     "proba_unify": proba_sql(ERF),
     "roc_auc": f"""with {TRUTHS.format('floor(value)')}, {metrics_sql('g', 'truths')}
