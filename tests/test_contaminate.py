@@ -40,12 +40,9 @@ def by_loop(rows, groups, mode, nu, split_size, seed, tree):
     return out
 
 
-@pytest.mark.parametrize("mode", ["independent", "contextual"])
+@pytest.mark.parametrize("mode, nested", [("independent", True), ("contextual", True), ("independent", False)])
 @pytest.mark.parametrize("nu, split_size", [(0.1, 350), (0.1, 20), (0.05, 10), (1.0, 15), (0.0, 10), (0.3, 1)])
-@pytest.mark.parametrize("nested", [True, False])
 def test_equals_a_loop(spark, mode, nu, split_size, nested):
-    if mode == "contextual" and not nested:
-        pytest.skip("needs a hierarchy")
     # one label holds most rows; e is missing from the test split
     df, rows = corpus(spark, {"a": 400, "b": 25, "c": 60, "d": 3})
     rows += [(1000 + i, "e", "train") for i in range(9)]

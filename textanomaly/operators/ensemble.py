@@ -20,8 +20,9 @@ from textanomaly.session import attach, settle, small_side
 
 
 def score_matrix(scores: DataFrame, detectors: list[str | int], rows: list[str]) -> DataFrame:
-    """One column a detector, one line a row."""
-    return scores.groupBy(*rows).pivot("detector_id", detectors).agg(F.first("score"))
+    """One column a detector, one line a row; a single shuffle of partly filled lines."""
+    cells = [F.max(F.when(F.col("detector_id") == d, F.col("score"))).alias(str(d)) for d in detectors]
+    return scores.groupBy(*rows).agg(*cells)
 
 
 def fit_score_scaler(train_scores: DataFrame, keys: list[str]) -> DataFrame:

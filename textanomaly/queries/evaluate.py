@@ -8,7 +8,7 @@ from textanomaly.detectors.spec import base
 from textanomaly.operators import ensemble, metrics
 from textanomaly.queries.shared import CORPUS, HIERARCHY, SEED, bits_sql, order_sql, rounded, scratch, table, vector_corpus, vector_hierarchy
 from textanomaly.queries.splits import contaminated, split_sql
-from textanomaly.session import broadcast_if_small
+from textanomaly.session import small_side
 from textanomaly.sources.corpus import save_results
 
 DETECTORS = 9  # eight coordinates of the vector and a constant
@@ -119,7 +119,7 @@ def overall(spark, folder):
 def split_scores(spark, folder):
     corpus = vector_corpus(spark, folder)
     split = contaminated(corpus, "contextual", vector_hierarchy(corpus)).select("run", "inlier", "split", "doc_id", "y")
-    return coordinate_scores(spark, folder).drop("split", "label").join(broadcast_if_small(split), "doc_id")
+    return coordinate_scores(spark, folder).drop("split", "label").join(small_side(split), "doc_id")
 
 
 def by_detector(spark, folder):

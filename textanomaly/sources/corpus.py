@@ -47,7 +47,9 @@ def load_corpus(
     """Rows of a file, folder, table or DataFrame, marked with their ``split``.
 
     The format follows the file ending (parquet, json, csv) unless it is given;
-    a name without a known ending is a catalog table.
+    a name without a known ending is a catalog table. Records of a CSV file may
+    span lines, which keeps such a file in one task: store large corpora as
+    parquet, or pass ``multiLine=False``.
     """
     if dataset is not None:
         check_dataset(dataset)
