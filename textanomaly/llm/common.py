@@ -7,9 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textanomaly.session import ensure_checkpoint_dir, settle
 
@@ -41,8 +41,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... in the given order, each range of rows numbered apart."""
     ordered = settle(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    from pyspark.sql import Window
-
     # one row a partition, so this window stays small whatever the input
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,12 +60,10 @@ def word_count(text: Column) -> Column:
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches by bytes, so that a task's arrays stay small."""
     for batch in batches:
-        kind = batch.schema.field(column).type
         values = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.binary_length(values).fill_null(0)) if batch.num_rows else np.zeros(0, int)
-        assert pa.types.is_binary(kind) or pa.types.is_string(kind)
+        sizes = pc.fill_null(pc.binary_length(values), 0)
         start, total = 0, 0
-        for i, size in enumerate(sizes.tolist()):
+        for i, size in enumerate(sizes.to_pylist()):
             if i > start and total + size > PIECE_BYTES:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
@@ -141,6 +137,3 @@ class Words:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         return mixed((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
 
-
-def long_type(df: DataFrame, column: str) -> T.DataType:
-    return df.schema[column].dataType

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textanomaly.llm.common import SPACE_CHARS, stored
-from textanomaly.session import broadcast_if_small
+from textanomaly.session import attach, broadcast_if_small
 
 SYMBOLS = "#*$%&|<>"
 SPACES_SQL = r"[\\x20\\x09-\\x0D]+"
@@ -100,7 +100,7 @@ def host_rates(failures: DataFrame, host: str = "source") -> DataFrame:
     shrunk = F.when(F.col("strength").isNull(), F.col("mean")).otherwise(
         (F.col("k") + F.col("strength") * F.col("mean")) / (F.col("n") + F.col("strength"))
     )
-    return hosts.join(F.broadcast(prior)).select(host, "n", "rate", shrunk.alias("shrunken_rate"))  # prior: one row
+    return attach(hosts, prior, []).select(host, "n", "rate", shrunk.alias("shrunken_rate"))
 
 
 def host_verdicts(failures: DataFrame, host: str = "source") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textanomaly.llm import mixing, quality_rules, url_rules, warc
+from textanomaly.llm import decontaminate, mixing, pii, quality_rules, simhash, url_rules, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,10 +24,25 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_passages(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    changed = pii.pseudonymise(_table(spark, folder, "documents").select("doc_id", "text"), found="found")
+    counts = {f"n_{kind}": F.coalesce(F.col("found")[kind], F.lit(0)) for kind in pii.KINDS}
+    return changed.withColumns(counts).drop("found")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_rules.judge(_table(spark, folder, "pages"), _table(spark, folder, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -35,7 +51,10 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_pii": op4_pii,
     "op7_mixing": op7_mixing,
+    "op8_simhash": op8_simhash,
     "op10_url_rules": op10_url_rules,
 }
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op7_mixing": mixing.ORACLE}

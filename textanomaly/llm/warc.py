@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textanomaly.llm.common import shared_path, stored
@@ -243,8 +243,6 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     found = stored(_scan(spark, path).mapInArrow(_candidates, RECORD), "warc-candidates")
     sizes = found.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
-    from pyspark.sql import Window
-
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
     placed = found.join(broadcast_if_small(bases), ["file", "block"])
