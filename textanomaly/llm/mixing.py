@@ -27,7 +27,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     table = stored(
         ranked(sizes, order, "rank").withColumn("weight", weight).withColumn("cap", MAX_COPIES * F.col("source_size"))
         .withColumn("capped", F.lit(False)),
-        "mix-sources",
+        "mix-weights",
     )
     total = table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     while True:
@@ -61,21 +61,12 @@ def order_key(size: Column, rest: Column, roots: Column, number: Column) -> Colu
     return F.when((size > 0) & (size <= rest), key)
 
 
-def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Add size, source_size, target, copies and taken (words, repeats counted) to every document.
-
-    Every document has as many certain copies as its source's target holds its size in whole; the rest of the
-    target is drawn in the order of Pareto's key: a document belongs to the sample if the words before it and
-    half of its own fit into the rest. The order depends on seed, doc_id and text alone, so reruns agree and
-    rows that are equal share their place. Null texts have size 0 and are never taken; a null doc_id counts as
-    an empty one in the order.
-
-    Cumulated words come from sums by level of the key; only the level that the cut falls into is ranked
-    row by row, so a source of any size is never sorted in one task.
-    """
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with __size, __u (the row's random number), __id and __tie (its place among equal keys)."""
     number = random_number(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("__tie"), number.alias("__u"))
-    return _drawn(stored(sized, "mix-sizes"))
+    last = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    return docs.withColumns({"__size": word_count(F.col("text")), "__u": number, "__id": last, "__tie": tie})
 
 
 def _attach(rows: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -83,64 +74,81 @@ def _attach(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(side), F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
-def _drawn(sized: DataFrame) -> DataFrame:
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(stored(sizes, "mix-sums"))
-    share = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    targets = targets.withColumn("certain", share.cast("long"))
-    targets = stored(targets.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size")), "mix-targets")
-    rows = _attach(sized, targets)
-    fits = (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+def _keyed(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    key = order_key(F.col("__size"), F.col("__rest"), F.col("__roots"), F.col("__u"))
+    return _attach(rows, sources).withColumn("__key", key)
+
+
+def _cuts(sized: DataFrame) -> DataFrame:
+    """One row a source: __target, __certain copies, __rest, __roots, and the place (__last) its sample ends at."""
+    sizes = sized.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    targets = source_targets(stored(sizes, "mix-sums")).withColumnsRenamed(
+        {"source_size": "__source_size", "target": "__target"}
+    )
+    share = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0)
+    targets = targets.withColumn("__certain", share.cast("long"))
+    rest = F.col("__target") - F.col("__certain") * F.col("__source_size")
+    targets = stored(targets.withColumn("__rest", rest), "mix-targets")
+    fits = (F.col("__size") > 0) & (F.col("__size") <= F.col("__rest"))
     # whole numbers, so that the sum is the same in any order
-    root = F.floor(F.sqrt(F.col("size").cast("double")) * F.col("size") * 1000).cast("decimal(38,0)")
-    roots = rows.where(fits).groupBy("source").agg((F.sum(root).cast("double") / 1000).alias("roots"))
-    rows = _attach(rows, stored(roots, "mix-roots"))
-    key = order_key(F.col("size"), F.col("rest"), F.col("roots"), F.col("__u"))
+    root = F.floor(F.sqrt(F.col("__size").cast("double")) * F.col("__size") * 1000).cast("decimal(38,0)")
+    roots = _attach(sized, targets).where(fits).groupBy("source").agg((F.sum(root).cast("double") / 1000).alias("__roots"))
+    sources = stored(_attach(targets, stored(roots, "mix-roots")), "mix-sources")
+    keyed = _keyed(sized, sources).where("__key is not null")
     # keys lie anywhere above 0: their place in (0, 1) makes the levels
-    level = F.floor(F.col("__key") / (1 + F.col("__key")) * LEVELS).cast("long")
-    rows = stored(rows.withColumn("__key", key).withColumn("__level", level), "mix-keys")
-    keyed = rows.where("__key is not null")
-    levels = keyed.groupBy("source", "__level").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    before = Window.partitionBy("source").orderBy("__level").rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    # at most one level a source holds the cut
-    cut = stored(
-        levels.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))).select(
-            "source", F.col("__level").alias("cut"), "before"
-        ),
-        "mix-cuts",
-    )
-    rows = _attach(rows, cut)
-    inside = rows.where(F.col("__level") == F.col("cut"))
-    earlier = Window.partitionBy("source").orderBy("__key", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    half = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0)) + F.col("size") / 2
-    inside = inside.withColumn("drawn", (half <= F.col("rest")).cast("long"))
-    outside = rows.where(~F.col("__level").eqNullSafe(F.col("cut")) | F.col("cut").isNull()).withColumn(
-        "drawn", (F.col("__key").isNotNull() & (F.col("cut").isNull() | (F.col("__level") < F.col("cut")))).cast("long")
+    keyed = keyed.withColumn("__level", F.floor(F.col("__key") / (1 + F.col("__key")) * LEVELS).cast("long"))
+    keyed = stored(keyed.select("source", "__size", "__rest", "__key", "__id", "__tie", "__level"), "mix-keys")
+    place = F.struct("__key", "__id", "__tie")
+    levels = keyed.groupBy("source", "__level").agg(
+        F.sum("__size").alias("words"), F.first("__rest").alias("__rest"), F.max(place).alias("end")
     )
-    copies = F.when(F.col("size") > 0, F.col("certain") + F.col("drawn")).otherwise(0).cast("long")
-    result = inside.unionByName(outside).withColumn("copies", copies)
-    return result.select(
-        "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "copies",
-        (F.col("copies") * F.col("size")).alias("taken"), "__tie",
+    before = Window.partitionBy("source").orderBy("__level").rowsBetween(Window.unboundedPreceding, -1)
+    levels = stored(levels.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))), "mix-levels")
+    whole = levels.where(F.col("before") + F.col("words") <= F.col("__rest"))
+    # at most one level a source is cut
+    cut = levels.where((F.col("before") < F.col("__rest")) & (F.col("before") + F.col("words") > F.col("__rest")))
+    cut = stored(cut.select("source", F.col("__level").alias("__cut"), "before"), "mix-cuts")
+    inside = _attach(keyed, cut).where(F.col("__level") == F.col("__cut"))
+    earlier = Window.partitionBy("source").orderBy("__key", "__id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    half = F.col("before") + F.coalesce(F.sum("__size").over(earlier), F.lit(0)) + F.col("__size") / 2
+    inside = inside.withColumn("half", half).where("half <= __rest").select("source", place.alias("end"))
+    last = whole.select("source", "end").unionByName(inside).groupBy("source").agg(F.max("end").alias("__last"))
+    return stored(_attach(sources, last), "mix-ends")
+
+
+def _copies(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    drawn = F.coalesce(F.struct("__key", "__id", "__tie") <= F.col("__last"), F.lit(False)) & F.col("__key").isNotNull()
+    copies = F.when(F.col("__size") > 0, F.col("__certain") + drawn.cast("long")).otherwise(0)
+    return _keyed(rows, sources).withColumn("__copies", copies.cast("long"))
+
+
+def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken (words, repeats counted) of every document.
+
+    Every document has as many certain copies as its source's target holds its size in whole; the rest of the
+    target is drawn in the order of Pareto's key: a document belongs to the sample if the words before it and
+    half of its own fit into the rest. The order depends on seed, doc_id and text alone, so reruns agree, and
+    rows that are equal are drawn together. Null texts have size 0 and are never taken; a null doc_id comes last
+    among equal keys.
+
+    Cumulated words come from sums by level of the key; only the level that the cut falls into is ranked
+    row by row, so a source of any size is never sorted in one task. Texts are read once and not moved.
+    """
+    rows = _sized(docs.select("doc_id", "source", "text"), seed).drop("text")
+    sized = stored(rows, "mix-sizes")
+    return _copies(sized, _cuts(sized)).select(
+        "doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").cast("double").alias("target"), F.col("__copies").alias("copies"),
+        (F.col("__copies") * F.col("__size")).alias("taken"),
     )
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents themselves, each row as often as the mix takes it."""
-    taken = mix(docs, seed).where("copies > 0").select("doc_id", "source", "__tie", "copies")
-    # equal rows share the copies of their places: number them on both sides
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "__tie").orderBy(F.lit(1)))
-    taken = taken.withColumn("__place", place).withColumnsRenamed({"doc_id": "__id", "source": "__src", "__tie": "__t"})
-    rows = docs.withColumn("__tie", F.md5(F.coalesce("text", F.lit(""))))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src"))
-        & (F.col("__tie") == F.col("__t")) & (F.col("__row") == F.col("__place"))
-    )
-    numbered = rows.withColumn("__row", place)
-    joined = numbered.join(taken, same)
-    repeated = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    """The documents themselves, each row as often as the mix takes it; rows are repeated where they lie."""
+    sized = stored(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes")
+    counted = _copies(_sized(docs, seed), _cuts(sized)).where("__copies > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    return counted.withColumn("__copy", copies).select(*docs.columns)
 
 
 ORACLE_PARTS = r"""

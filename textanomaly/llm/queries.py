@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textanomaly.llm import decontaminate, mixing, pii, quality_rules, simhash, url_rules, warc
+from textanomaly.llm import classifier, decontaminate, lm, mixing, pii, quality_rules, simhash, url_rules, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return changed.withColumns(counts).drop("found")
 
 
+def op6_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = classifier.classify(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +48,10 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_table(spark, folder, "documents"))
+
+
 def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_rules.judge(_table(spark, folder, "pages"), _table(spark, folder, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -53,8 +62,10 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op6_classifier": op6_classifier,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_lm": op9_lm,
     "op10_url_rules": op10_url_rules,
 }
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op7_mixing": mixing.ORACLE}
