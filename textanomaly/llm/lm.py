@@ -135,21 +135,26 @@ def _shard(key, table):
     return pa.table([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
 
 
+def _joined(rows: list[dict], name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join([r.pop(name) for r in rows]), kind)
+
+
 class Wave:
     """What some shards know: exact counts of words, steps of words and pairs."""
 
-    def __init__(self, rows: list, shard_bits: int):
+    def __init__(self, rows: list[dict], shard_bits: int):
+        """Takes the fields out of ``rows`` one by one, so that none is held twice for long."""
         self.shift = np.uint64(64 - shard_bits)
-        words = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["shard"])
-        join = lambda name, kind: np.frombuffer(b"".join(bytes(r[name]) for r in words), kind)
-        self.singles, self.keys, self.counts = join("singles", "<u8"), join("keys", "<u8"), join("counts", "<i8")
+        rows.sort(key=lambda r: (r["kind"], r["shard"]))
+        words = [r for r in rows if r["kind"] == 1]
+        self.singles, self.keys = _joined(words, "singles", "<u8"), _joined(words, "keys", "<u8")
+        self.counts = _joined(words, "counts", "<i8")
         self.filters = {}
         for kind in (1, 2):
-            own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"])
+            own = [r for r in rows if r["kind"] == kind]
             size = np.array([8 * len(r["bits"]) for r in own], np.int64)
             shards = np.array([r["shard"] for r in own], np.int64)
-            bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in own), np.uint8)
-            self.filters[kind] = shards, size, np.cumsum(size) - size, bits
+            self.filters[kind] = shards, size, np.cumsum(size) - size, _joined(own, "bits", np.uint8)
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), np.int64)
@@ -282,7 +287,10 @@ def score(docs: DataFrame, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     )
     for turn in range(waves):
         own = shards.where(F.floor(F.col("shard") * waves / (1 << shard_bits)) == turn)
-        shared = spark.sparkContext.broadcast(Wave(own.collect(), shard_bits))
+        # a partition of the table of shards at a time, so that the driver holds the wave once
+        rows_of_wave = [{k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.asDict().items()} for r in own.toLocalIterator()]
+        shared = spark.sparkContext.broadcast(Wave(rows_of_wave, shard_bits))
+        del rows_of_wave
         annotate = _annotator(shared, turn == waves - 1, notes.columns)
         notes = stored(notes.mapInArrow(annotate, NOTES), "lm-notes")
         shared.destroy()
