@@ -11,7 +11,7 @@ from textanomaly.session import broadcast_if_small
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 # Rows of a source are cut at one of so many levels of their order key; only that level is sorted.
-LEVELS = 1 << 16
+LEVELS = 1 << 12
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
