@@ -57,14 +57,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches by bytes, so that a task's arrays stay small."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         sizes = pc.fill_null(pc.binary_length(values), 0)
         start, total = 0, 0
         for i, size in enumerate(sizes.to_pylist()):
-            if i > start and total + size > PIECE_BYTES:
+            if i > start and total + size > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += size

@@ -28,7 +28,8 @@ BASE = 1.3  # of the logarithm that counts are quantised by
 BITS, PROBES = 12, 5  # of the filter, a held step
 MIN_PAIR = 2
 DISCOUNT = 0.75
-FLUSH_TOKENS = 3 << 20
+FLUSH_TOKENS = 2 << 20
+PIECE = 1 << 20  # bytes of text at a time; filters take the memory
 WAVE_BYTES = 160 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # the hash of the token that ends a text, and stands before its first word
 _PAIR, _PROBE = np.uint64(0xD1342543DE82EF95), 0x9E3779B97F4A7C15
@@ -67,7 +68,7 @@ def _counter(shard_bits: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
         parts, held = {1: [], 2: []}, 0
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             one, two, _ = tokens(text_bytes(batch))
             for kind, found in ((1, one), (2, two)):
                 parts[kind].append(np.unique(found, return_counts=True))
@@ -190,7 +191,7 @@ def _annotator(wave, last: bool, columns: list[str]):
 
     def annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wave.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=PIECE):
             texts = text_bytes(batch)
             one, two, first = tokens(texts)
             steps = []

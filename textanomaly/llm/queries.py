@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textanomaly.llm import classifier, decontaminate, lm, mixing, pii, quality_rules, simhash, url_rules, warc
+from textanomaly.llm import classifier, decontaminate, lm, mixing, pii, quality_rules, simhash, suffix, url_rules, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return changed.withColumns(counts).drop("found")
 
 
+def op5_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, folder, "documents")).drop("spans")
+
+
 def op6_classifier(spark: SparkSession, folder: str) -> DataFrame:
     scored = classifier.classify(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op5_suffix": op5_suffix,
     "op6_classifier": op6_classifier,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
