@@ -125,5 +125,14 @@ def test_splits_join_vectors_once_each(spark):
     assert out.where("embedding[0] <> doc_id").count() == 0
     counts = {r["count"] for r in out.groupBy("run", "inlier", "split").count().collect()}
     assert counts == {30}
+    # ids that begin anew in the test split keep their own vectors
+    split = F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test")
+    anew = vectors.withColumns({"split": split, "doc_id": F.floor(F.col("doc_id") / 2), "embedding": F.array(F.col("doc_id").cast("float"), F.when(split == "test", 1.0).otherwise(0.0).cast("float"))})
+    out = splits(anew, hierarchy(spark), "independent", runs=2, split_size=30, min_size=50, seed=2)
+    assert out.select("run", "inlier", "split", "doc_id").distinct().count() == out.count()
+    assert out.where("embedding[1] <> case when split = 'test' then 1 else 0 end").count() == 0
+    assert out.where("floor(embedding[0] / 2) <> doc_id").count() == 0
+    with pytest.raises(ValueError, match="repeats"):
+        splits(anew.unionByName(anew), hierarchy(spark), "independent", runs=1, split_size=30, min_size=50)
     only = splits(vectors.where("split = 'train'"), hierarchy(spark), runs=1, split_size=30, min_size=50)
     assert {r["split"] for r in only.select("split").distinct().collect()} == {"train", "test"}

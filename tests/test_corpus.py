@@ -217,3 +217,7 @@ def test_prepare_with_and_without_cache(spark, tmp_path):
     assert {r["split"]: r["count"] for r in plain.groupBy("split").count().collect()} == {"train": 4, "test": 4}
     assert plain.select("doc_id", "embedding").exceptAll(stored.select("doc_id", "embedding")).count() == 0
     assert plain.where("text like 'Text%'").count() == 0
+    # another corpus with the same settings has stages of its own
+    other = raw.withColumn("label", F.lit("b"))
+    assert {r["label"] for r in prepare(other, encode, cap=4, lowercase=True, cache=str(tmp_path)).collect()} == {"b"}
+    assert prepare(raw, encode).count() == 20

@@ -258,8 +258,14 @@ class Adam:
         apply_masks(params)
 
 
-def fit(spec: DetectorSpec, x: np.ndarray, *key, dtype=np.float32) -> tuple[dict, float]:
-    """Train on rows held in one task; returns parameters and the last epoch's loss."""
+def fit(
+    spec: DetectorSpec, x: np.ndarray, *key, batches: np.ndarray | None = None, name: str = "", dtype=np.float32
+) -> tuple[dict, float]:
+    """Train on rows held in one task; returns parameters and the last epoch's loss.
+
+    ``batches`` numbers the batch of each row (default: slices in row order). A step takes ``batches_per_step`` of
+    them in order and moves the weights by their row-weighted mean gradient; noise is seeded by batch and epoch.
+    """
     rng = seeded(spec.seed, spec.detector_id, *key)
     x = np.asarray(x, dtype)
     params = initial(spec, x.shape[1], rng, dtype)
@@ -269,15 +275,24 @@ def fit(spec: DetectorSpec, x: np.ndarray, *key, dtype=np.float32) -> tuple[dict
     x = standardized(params, x)
     optimizer = Adam(spec.learning_rate, spec.weight_decay)
     losses = [float("nan")]
-    for _ in range(spec.epochs):
-        # the masked family takes its batches in row order
-        order = np.arange(len(x)) if spec.family == "masked" else rng.permutation(len(x))
+    numbers = np.arange(len(x)) // spec.batch_size if batches is None else np.asarray(batches)
+    rows_of = [np.flatnonzero(numbers == number) for number in range(int(numbers.max(initial=-1)) + 1)]
+    for epoch in range(spec.epochs):
         losses = []
-        for start in range(0, len(x), spec.batch_size):
-            loss, grads, stats = loss_and_grads(spec, params, x[order[start : start + spec.batch_size]], rng)
-            optimizer.step(params, grads)
-            update_running(params, stats)
-            losses.append(loss)
+        for first in range(0, len(rows_of), spec.batches_per_step):
+            parts, rows = [], 0
+            for number in range(first, min(first + spec.batches_per_step, len(rows_of))):
+                if held := len(rows_of[number]):
+                    noise = seeded(spec.seed, spec.detector_id, name, number, epoch)
+                    parts.append((held, *loss_and_grads(spec, params, x[rows_of[number]], noise)))
+                    rows += held
+            if parts:
+                optimizer.step(params, {n: sum(p[0] * p[2][n] for p in parts) / rows for n in parts[0][2]})
+                update_running(
+                    params,
+                    {n: tuple(sum(p[0] * p[3][n][i] for p in parts) / rows for i in (0, 1)) for n in parts[0][3]},
+                )
+                losses.append(sum(p[0] * p[1] for p in parts) / rows)
     return params, float(np.mean(losses))
 
 

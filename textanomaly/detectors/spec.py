@@ -27,6 +27,7 @@ class DetectorSpec:
     hidden_dims: tuple[int, ...] = (128, 64)
     dropout_rate: float = 0.3
     batch_size: int = 32
+    batches_per_step: int = 1  # batches whose mean gradient moves the weights once
     batchnorm: bool = True
     standardize: bool = False
     activation: str = "relu"
@@ -62,6 +63,8 @@ class DetectorSpec:
             norm_family(self.loss)
         norm_family(self.norm_type)
         norm_family(self.loss_norm_type)
+        if self.batch_size < 1 or self.batches_per_step < 1:
+            raise ValueError("batch sizes are at least 1")
         if self.locality not in ("inner", "outer") or self.score_mode not in ("eval", "train"):
             raise ValueError("locality is inner or outer, score_mode eval or train")
         if self.family in ("rsr", "lne") and self.latent_dim is None:

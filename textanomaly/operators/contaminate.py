@@ -122,11 +122,14 @@ def without_outliers(split: DataFrame) -> DataFrame:
     return split.groupBy("run", "inlier", "split").agg(F.sum("y").alias("outliers")).where("outliers = 0")
 
 
-def with_vectors(split: DataFrame, corpus: DataFrame, id_col: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def with_vectors(
+    split: DataFrame, corpus: DataFrame, id_col: str = "doc_id", vector: str = "embedding", within: tuple[str, ...] = ()
+) -> DataFrame:
     """Join the vectors to the chosen keys, late and once.
 
     The key table is bounded by runs x inliers x split_size; when it proves small
-    it is broadcast and the vectors are only scanned.
+    it is broadcast and the vectors are only scanned. Ids that are unique within
+    ``within`` columns only are joined by these too.
     """
-    vectors = corpus.select(F.col(id_col).alias("doc_id"), F.col(vector).alias("embedding"))
-    return vectors.join(small_side(split), "doc_id")
+    vectors = corpus.select(*within, F.col(id_col).alias("doc_id"), F.col(vector).alias("embedding"))
+    return vectors.join(small_side(split), [*within, "doc_id"])

@@ -23,9 +23,10 @@ from textanomaly.operators.neighbours import batch_counts, hash_batches
 from textanomaly.operators.scale import fit_scaler
 from textanomaly.session import attach, settle, small_side
 
-# A group up to this many rows is trained inside one task.
+# A group up to this many rows is trained inside one task, a larger one by all tasks; both take the same batches
+# in the same steps, so this only says where a group is trained.
 MAX_GROUP_ROWS = 5000
-# Models trained together on large groups are held by the driver.
+# Models of large groups that are trained in the same jobs; more are trained in waves.
 MAX_DRIVER_BYTES = 1 << 30
 BLOCK = 8192
 
@@ -89,6 +90,21 @@ def split_by_size(df: DataFrame, keys: list[str], max_rows: int | None) -> tuple
     return small, marked.where(F.col("__large")).drop("__large")
 
 
+def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add what the batches of a row follow from, and the group's name in seeds."""
+    spread = leading_bits(order_key(0, "batch", F.col("doc_id")))
+    return df.withColumns({"__spread": spread, "__model": model_name(keys)})
+
+
+def model_name(keys: list[str]):
+    return F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("{}")
+
+
+def batch_numbers(rows: pd.DataFrame, spec: DetectorSpec) -> np.ndarray:
+    """The hash batch of every row of a group, as ``hash_batches`` gives it."""
+    return (rows["__spread"] % max(1, -(-len(rows) // spec.batch_size))).to_numpy()
+
+
 def fit_detectors(
     train: DataFrame,
     specs: list[DetectorSpec],
@@ -117,11 +133,11 @@ def fit_detectors(
         x = np.stack(pdf["embedding"].to_numpy())
         out = []
         for spec in chunks[pdf["chunk"].iloc[0]]:
-            params, _ = net.fit(spec, x, *key)
+            params, _ = net.fit(spec, x, *key, batches=batch_numbers(pdf, spec), name=pdf["__model"].iloc[0])
             out += [(*key, *row) for row in model_rows(spec, params)]
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    models = spread(small, keys, len(chunks), tasks).groupBy(*keys, "chunk").applyInPandas(train_group, schema)
+    models = spread(_numbered(small, keys), keys, len(chunks), tasks).groupBy(*keys, "chunk").applyInPandas(train_group, schema)
     if large is not None:
         for spec in specs:
             models = models.unionByName(fit_detector_large(large, spec, keys))
@@ -165,7 +181,8 @@ def fit_and_score(
         learn = pdf[pdf["split"] == train]
         out = []
         for spec in chunks[pdf["chunk"].iloc[0]] if len(learn) else []:
-            params, _ = net.fit(spec, np.stack(learn["embedding"].to_numpy()), *key)
+            x, name = np.stack(learn["embedding"].to_numpy()), learn["__model"].iloc[0]
+            params, _ = net.fit(spec, x, *key, batches=batch_numbers(learn, spec), name=name)
             # without batches in the key, rows of a split are scored in equal slices of the hash order
             for split, part in pdf.groupby("split"):
                 n = -(-len(part) // spec.batch_size)
@@ -178,12 +195,11 @@ def fit_and_score(
         return pd.concat(out)
 
     small, large = split_by_size(rows, keys, max_group_rows)
-    placed = small.withColumn("__spread", leading_bits(order_key(0, "batch", F.col("doc_id"))))
-    scores = spread(placed, keys, len(chunks), tasks).groupBy(*keys, "chunk").applyInPandas(run_group, schema)
+    scores = spread(_numbered(small, keys), keys, len(chunks), tasks).groupBy(*keys, "chunk").applyInPandas(run_group, schema)
     if large is not None:
         for spec in specs:
             models = fit_detector_large(large.where(F.col("split") == train), spec, keys)
-            found = score(large, models, keys, carry=["split", *carry], within=["split"], batch_size=spec.batch_size)
+            found = score(large, models, keys, carry=["split", *carry], within=["split"])
             scores = scores.unionByName(found.select(*[f.name for f in schema.fields]))
     return scores
 
@@ -194,8 +210,8 @@ def fit_detector_large(
     keys: list[str] | None = None,
     id_col: str = "doc_id",
     vector: str = "embedding",
-    steps_per_epoch: int = 1,
     tasks: int | None = None,
+    max_driver_bytes: int = MAX_DRIVER_BYTES,
 ) -> DataFrame:
     """Fit one detector on tables of any size, one model a key, all tasks together.
 
@@ -203,9 +219,11 @@ def fit_detector_large(
     stay in a task, a hot key covers many tasks) and written to the checkpoint
     folder. A step is a job without a row shuffle: each task adds up the gradients
     of its batches, the sums are added by Spark and only model-sized vectors reach
-    the driver, which moves the weights. Batches taken in one step act as one
-    large synchronous batch; normalisation statistics stay local to a batch and
-    the running ones are row-weighted means.
+    the driver, which moves the weights. As in ``net.fit`` a step takes
+    ``batches_per_step`` batches of each group; they act as one synchronous batch,
+    normalisation statistics stay local to a batch and the running ones are
+    row-weighted means. Models above ``max_driver_bytes`` together are trained in
+    waves, each from the same layout.
     """
     keys = keys or []
     spark = df.sparkSession
@@ -216,43 +234,54 @@ def fit_detector_large(
     if tasks is None:
         batches = counts.agg(F.sum("batches")).first()[0] or 1
         tasks = min(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    model_key = F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("{}")
+    steps = -(-(counts.agg(F.max("batches")).first()[0] or 0) // spec.batches_per_step)
     laid_out = settle(
-        hash_batches(rows, keys, spec.batch_size, spec.seed, counts=counts)
-        .withColumn("model", model_key)
+        hash_batches(rows, keys, spec.batch_size, counts=counts)
+        .withColumn("model", model_name(keys))
         .repartition(tasks, "model", "batch")
         .sortWithinPartitions("model", "batch", "doc_id")
     )
     members = laid_out.groupBy("model", *keys).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"), F.min(F.size("embedding")).alias("low")
     )
-    models, optimizers, owners = {}, {}, {}
-    for row in members.toLocalIterator():
-        if row["low"] != row["dim"]:
-            raise ValueError("vectors of one group differ in length")
+    if spec.standardize:
+        members = attach(members, scaler, keys)
+    members = settle(members)
+    if not members.where("low <> dim").isEmpty():
+        raise ValueError("vectors of one group differ in length")
+    table, wave, held = spark.createDataFrame([], model_schema(df, keys)), [], 0
+    for row in members.orderBy("model").toLocalIterator():
         key = tuple(row[k] for k in keys)
         params = net.initial(spec, row["dim"], net.seeded(spec.seed, spec.detector_id, *key))
-        models[row["model"]], owners[row["model"]] = params, key
-        optimizers[row["model"]] = net.Adam(spec.learning_rate, spec.weight_decay)
-        if len(models) * sum(p.nbytes for p in params.values()) * 4 > MAX_DRIVER_BYTES:
-            raise ValueError("too many large groups for one driver; fit fewer keys at a time")
-    if spec.standardize:
-        named = attach(members.select("model", *keys), scaler, keys)
-        for row in named.toLocalIterator():
+        if spec.standardize:
             sigma = np.asarray(row["sigma"], np.float32)
-            models[row["model"]]["in.mu"] = np.asarray(row["mu"], np.float32)
-            models[row["model"]]["in.sigma"] = np.where(sigma == 0, 1, sigma)
-
-    for step in range(spec.epochs * steps_per_epoch):
-        batches = laid_out
-        if steps_per_epoch > 1:
-            batches = laid_out.where(F.pmod("batch", F.lit(steps_per_epoch)) == step % steps_per_epoch)
-        for name, grads, stats in gradient_sums(batches, spec, models, step):
+            params["in.mu"], params["in.sigma"] = np.asarray(row["mu"], np.float32), np.where(sigma == 0, 1, sigma)
+        size = 4 * sum(p.nbytes for p in params.values())
+        if wave and held + size > max_driver_bytes:
+            table = table.unionByName(_trained(laid_out, spec, wave, steps, model_schema(df, keys)))
+            wave, held = [], 0
+        wave.append((row["model"], key, params))
+        held += size
+    return table.unionByName(_trained(laid_out, spec, wave, steps, model_schema(df, keys))) if wave else table
+
+
+def _trained(laid_out: DataFrame, spec: DetectorSpec, wave: list[tuple], steps: int, schema: T.StructType) -> DataFrame:
+    """The model rows of one wave of (model, key, starting parameters), written to the checkpoint folder."""
+    spark = laid_out.sparkSession
+    models, owners = {m: params for m, _, params in wave}, {m: key for m, key, _ in wave}
+    optimizers = {m: net.Adam(spec.learning_rate, spec.weight_decay) for m in models}
+    own = F.broadcast(spark.createDataFrame([(m,) for m in models], "model string"))  # bounded with the wave
+    rows = laid_out.join(own, "model", "left_semi")
+    for turn in range(spec.epochs * steps):
+        epoch, step = divmod(turn, steps)
+        batches = rows
+        if steps > 1:
+            batches = rows.where(F.floor(F.col("batch") / spec.batches_per_step) == step)
+        for name, grads, stats in gradient_sums(batches, spec, models, epoch):
             optimizers[name].step(models[name], grads)
             net.update_running(models[name], stats)
-
     data = [(*owners[m], *row[:4], row[4].tolist()) for m, p in models.items() for row in model_rows(spec, p)]
-    return spark.createDataFrame(data, model_schema(df, keys))
+    return settle(spark.createDataFrame(data, schema))
 
 
 def as_float(vector: str):
@@ -283,8 +312,8 @@ def whole_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int,
         yield *key, np.concatenate(held)
 
 
-def gradient_sums(batches: DataFrame, spec: DetectorSpec, models: dict, step: int):
-    """Row-weighted mean gradients and batch statistics of every model, for one step."""
+def gradient_sums(batches: DataFrame, spec: DetectorSpec, models: dict, epoch: int):
+    """Row-weighted mean gradients and batch statistics of every model, for one step of an epoch."""
     shared = batches.sparkSession.sparkContext.broadcast(models)
 
     def flatten(params: dict, grads: dict, stats: dict) -> np.ndarray:
@@ -296,7 +325,7 @@ def gradient_sums(batches: DataFrame, spec: DetectorSpec, models: dict, step: in
         sums: dict = {}
         for name, number, x in whole_batches(frames):
             params = shared.value[name]
-            rng = net.seeded(spec.seed, spec.detector_id, name, number, step)
+            rng = net.seeded(spec.seed, spec.detector_id, name, int(number), epoch)
             _, grads, stats = net.loss_and_grads(spec, params, net.standardized(params, x), rng)
             total, n = sums.get(name, (0, 0))
             sums[name] = (total + len(x) * flatten(params, grads, stats), n + len(x))
@@ -320,7 +349,7 @@ def gradient_sums(batches: DataFrame, spec: DetectorSpec, models: dict, step: in
     )
     # model-sized: one row a block of parameters, bounded by MAX_DRIVER_BYTES
     table = summed.toArrow().combine_chunks().sort_by([("model", "ascending"), ("block", "ascending")])
-    shared.unpersist()
+    shared.destroy()
     found: dict = {}
     for name, n, data in zip(table["model"].to_pylist(), table["n"].to_pylist(), table["data"]):
         found.setdefault(name, []).append(data.values.to_numpy() / n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,7 @@ def score(
     carry: list[str] | None = None,
     id_col: str = "doc_id",
     vector: str = "embedding",
-    batch_size: int = 1000,
+    batch_size: int | None = None,
     within: list[str] | None = None,
     max_model_bytes: int = MAX_MODEL_BYTES,
 ) -> DataFrame:
@@ -54,8 +55,9 @@ def score(
     The score is the Euclidean distance between a row and its reconstruction.
     Models measured below ``max_model_bytes`` are broadcast: row-wise detectors
     then score where rows are read, and only those looking at neighbours gather
-    hash batches (within ``keys`` and ``within``). Larger model tables are
-    cogrouped with the batches of their key.
+    hash batches (within ``keys`` and ``within``) of their own ``batch_size``, or of
+    the one given here. Larger model tables are cogrouped with the batches of their
+    key. Rows of a key without any model are an error.
     """
     carry, within = carry or [], within or []
     columns = [*keys, "doc_id", *[c for c in carry if c not in keys]]
@@ -78,10 +80,12 @@ def score(
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
     models = settle(models)  # measured and read: training should not run twice
+    if models.isEmpty():
+        raise ValueError("the model table is empty: fit detectors first")
+    check_fitted(rows, models, keys)
+    size_of = F.lit(batch_size) if batch_size else F.get_json_object("spec", "$.batch_size").cast("int")
     if measured_bytes(models) <= max_model_bytes:
         table = models.toPandas()
-        if table.empty:
-            raise ValueError("the model table is empty: fit detectors first")
         held = {tuple(k): rebuilt(g) for k, g in table.groupby(keys)} if keys else {(): rebuilt(table)}
         every = [spec for group in held.values() for spec, _ in group]
         shared = df.sparkSession.sparkContext.broadcast(held)
@@ -101,19 +105,46 @@ def score(
                         added = [pa.array([spec.detector_id] * len(found), pa.string()), pa.array(found)]
                         yield pa.RecordBatch.from_arrays([*part.select(columns).columns, *added], names=names)
 
-        def in_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("doc_id")
-            key = [pdf[k].iloc[0] for k in keys]
-            return scored(pdf, of_key(key, False), *key, *[pdf[c].iloc[0] for c in within], pdf["batch"].iloc[0])
+        def in_batch(size: int):
+            def run(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values("doc_id")
+                key = [pdf[k].iloc[0] for k in keys]
+                found = [m for m in of_key(key, False) if (batch_size or m[0].batch_size) == size]
+                return scored(pdf, found, *key, *[pdf[c].iloc[0] for c in within], pdf["batch"].iloc[0])
+
+            return run
 
         results = []
         if any(by_row(s) for s in every):
             results.append(rows.mapInArrow(in_place, schema))
-        if not all(by_row(s) for s in every):
-            batched = hash_batches(rows, [*keys, *within], batch_size)
-            results.append(batched.groupBy(*keys, *within, "batch").applyInPandas(in_batch, schema))
-        return results[0] if len(results) == 1 else results[0].unionByName(results[1])
-
+        for size in sorted({batch_size or s.batch_size for s in every if not by_row(s)}):
+            batched = hash_batches(rows, [*keys, *within], size)
+            results.append(batched.groupBy(*keys, *within, "batch").applyInPandas(in_batch(size), schema))
+        return reduce(DataFrame.unionByName, results)
+
+    sized = models.withColumn("__size", size_of)
+    sizes = sorted(r[0] for r in sized.select("__size").distinct().collect())  # as many as settings name
+    scored_in_batches = [
+        by_cogroup(rows, sized.where(F.col("__size") == size).drop("__size"), keys, within, size, scored, schema)
+        for size in sizes
+    ]
+    return reduce(DataFrame.unionByName, scored_in_batches)
+
+
+def check_fitted(rows: DataFrame, models: DataFrame, keys: list[str]) -> None:
+    """Raise for keys of ``rows`` that no model was fitted for."""
+    if not keys:
+        return
+    fitted = models.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    missing = rows.select(*keys).distinct().join(fitted, same, "left_anti").take(5)
+    if missing:
+        raise ValueError(f"not fitted for {[tuple(r) for r in missing]}")
+
+
+def by_cogroup(rows, models, keys, within, batch_size, scored, schema) -> DataFrame:
+    """Scores from batches cogrouped with the models of their key."""
+    names = [f.name for f in schema.fields]
     group = [*keys, *within]
     counts = small_side(batch_counts(rows, group, batch_size))
     batched = hash_batches(rows, group, batch_size, counts=counts)

@@ -72,15 +72,17 @@ def splits(
 ) -> DataFrame:
     """Contaminated train and test rows of every (run, inlier), with their vectors.
 
-    Inlier classes are drawn from the train split and used in both.
+    Inlier classes are drawn from the train split and used in both. Ids are unique
+    within a split; the test split may number its rows anew.
     """
     paired = paired_splits(corpus, test)
     eligible = eligible_inliers(paired.where(F.col("split") == "train"), mode, min_size, hierarchy)
     inliers = settle(draw_inliers(eligible, runs, classes, seed))
     chosen = contaminate(paired.select("doc_id", "label", "split"), inliers, mode, nu, split_size, seed, hierarchy)
-    # a stand-in test split repeats train rows, so vectors are joined by id alone
-    vectors = corpus.where(F.col("split").isin("train", test)).select("doc_id", "embedding")
-    return with_vectors(chosen, vectors).withColumn(
+    # a stand-in test split repeats train rows under its own name, so vectors are joined by split and id
+    if not paired.groupBy("split", "doc_id").count().where("count > 1").isEmpty():
+        raise ValueError("doc_id repeats within a split")
+    return with_vectors(chosen, paired, within=("split",)).withColumn(
         "split", F.when(F.col("split") == test, "test").otherwise(F.col("split"))
     )
 
@@ -133,7 +135,7 @@ def benchmark(
     combined = ensemble.combine(scaled, [*GROUP, "doc_id", "y"], combination).withColumn("model", F.lit("ens"))
     columns = [*GROUP, "model", "y", "score"]
     together = single.select(*columns).unionByName(combined.select(*columns))
-    return described(ranking_metrics(together, [*GROUP, "model"], ranges=1), embedding, nu, mode)
+    return described(ranking_metrics(together, [*GROUP, "model"], ranges=1 if bound is None else None), embedding, nu, mode)
 
 
 def spec_table(spark: SparkSession, specs: list[DetectorSpec]) -> DataFrame:
@@ -172,7 +174,7 @@ def ablation(
     if study == "ensemble":
         scores = settle(scores)
     tested = scores.where(F.col("split") == "test")
-    each = ranking_metrics(tested, [*GROUP, "detector_id"], ranges=1)
+    each = ranking_metrics(tested, [*GROUP, "detector_id"], ranges=1 if bound is None else None)
     grid = spec_table(corpus.sparkSession, specs)
     results = each.join(broadcast_if_small(grid), "detector_id").select(
         *GROUP,
@@ -188,7 +190,7 @@ def ablation(
         scaled = ensemble.apply_score_scaler(tested, scaler, GROUP)
         draws = ensemble.draw_detectors(scores, sizes or list(range(2, 91)), seed)
         drawn = ensemble.sub_ensemble(scaled, [*GROUP, "doc_id", "y"], draws)
-        curve = ranking_metrics(drawn, [*GROUP, "draw"], ranges=1).select(
+        curve = ranking_metrics(drawn, [*GROUP, "draw"], ranges=1 if bound is None else None).select(
             *GROUP,
             F.lit("ens").alias("model"),
             "auc",

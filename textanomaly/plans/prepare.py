@@ -5,12 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textanomaly.operators import corpus as ops
 from textanomaly.session import settle
 from textanomaly.sources.corpus import cached
 
 
+def contents(df: DataFrame) -> str:
+    """A number for the rows of ``df`` whatever their order: their count and the sum of their hashes."""
+    row = F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema])
+    found = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0))).first()
+    return f"{found[0]}-{found[1]}-{df.schema.simpleString()}"
+
+
 def prepare(
     raw: DataFrame,
     embed: Callable[[DataFrame], DataFrame],
@@ -20,15 +29,16 @@ def prepare(
     categories: DataFrame | None = None,
     lowercase: bool = False,
     alnum: bool = False,
-    cap: int = 5000,
+    cap: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Harmonise, clean, drop empty texts, cap every label, then embed what is left.
+    """Harmonise, clean, drop empty texts, cap every label if ``cap`` is given, then embed what is left.
 
     ``raw`` has ``doc_id`` and ``split``; labels are capped within a split.
     ``embed`` adds ``embedding``. With a ``cache`` folder the text stage and the
-    embedded stage are stored by their settings; put what ``embed`` depends on
-    into ``settings``.
+    embedded stage are stored by their settings and by the contents of ``raw`` and
+    ``categories``, so another corpus never reads this one's stages; put what
+    ``embed`` depends on into ``settings``.
     """
     spark = raw.sparkSession
     text_settings = {**(settings or {}), "label": label_col, "lowercase": lowercase, "alnum": alnum}
@@ -40,10 +50,12 @@ def prepare(
         return ops.clean(df, lowercase=lowercase, alnum=alnum)
 
     def embedded(df: DataFrame) -> DataFrame:
-        return embed(ops.cap_per_label(ops.non_empty(df), cap, seed, label=["split", "label"]))
+        kept = ops.non_empty(df)
+        return embed(kept if cap is None else ops.cap_per_label(kept, cap, seed, label=["split", "label"]))
 
     if cache is None:
         # the filter and the cap each read the texts again; cleaning them is the costly part
         return embedded(settle(texts()))
+    text_settings |= {"raw": contents(raw), "categories": None if categories is None else contents(categories)}
     stored = cached(spark, texts, f"{cache}/raw", text_settings)
     return cached(spark, lambda: embedded(stored), f"{cache}/processed", {**text_settings, "cap": cap, "seed": seed})

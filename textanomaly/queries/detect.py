@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textanomaly.detectors import spec as detectors
@@ -41,16 +44,43 @@ def fitted(spec):
 
 def fit_large(spark, folder):
     """One model for the whole vector table."""
-    spec = detectors.base("large", **{**SHORT, "batch_size": 256, "epochs": 3})
+    spec = detectors.base("large", **{**SHORT, "batch_size": 256, "batches_per_step": 8, "epochs": 3})
     return fit_detector_large(vector_corpus(spark, folder), spec).drop("spec")
 
 
 def fit_large_by_label(spark, folder):
     """One model for every label, all trained by the same jobs."""
-    spec = detectors.lne("large", **{**SHORT, "batch_size": 64, "epochs": 3, "latent_dim": 4})
+    spec = detectors.lne("large", **{**SHORT, "batch_size": 64, "batches_per_step": 4, "epochs": 3, "latent_dim": 4})
     return fit_detector_large(vector_corpus(spark, folder), spec, ["label"]).drop("spec")
 
 
+def fit_paths_agree(spark, folder):
+    """Weights of every label's detectors that differ between a fit in one task and a fit by all tasks."""
+    corpus = vector_corpus(spark, folder).where("split = 'train'")
+    results = []
+    for name, spec in SPECS.items():
+        spec = spec.but(epochs=1, batch_size=16, activation="tanh", batchnorm=False)
+        one, many = (
+            fit_detectors(corpus, [spec], ["label"], max_group_rows=bound).select("label", "name", "data")
+            for bound in (None, 0)
+        )
+        many = many.withColumnRenamed("data", "other")
+        gaps = F.zip_with("data", "other", lambda a, b: F.coalesce(F.abs(a - b), F.lit(1.0)))
+        apart = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, gap: n + (gap > 1e-4).cast("long"))
+        both = one.join(many, ["label", "name"], "full").withColumn("apart", F.coalesce(apart, F.lit(1).cast("long")))
+        results.append(both.agg(F.countDistinct("label").alias("models"), F.sum("apart").alias("differing")).select(F.lit(name).alias("detector"), "models", "differing"))
+    return reduce(DataFrame.unionByName, results)
+
+
+def split_ids(spark, folder):
+    """Rows whose ids begin anew in each split: each chosen row and the first number of its own vector."""
+    corpus = vector_corpus(spark, folder).withColumn("doc_id", F.floor(F.col("doc_id") / 2))
+    rows = experiments.splits(corpus, None, "independent", nu=NU, **GRID)
+    own = corpus.select("split", "doc_id", F.col("embedding")[0].alias("first"))
+    joined = rows.join(own, ["split", "doc_id"])
+    return joined.groupBy("split").agg(F.sum((F.col("embedding")[0] != F.col("first")).cast("long")).alias("foreign_vectors"))
+
+
 def fit_score(spark, folder):
     return fit_and_score(split_rows(spark, folder), list(SPECS.values()), GROUP, carry=["y"], max_group_rows=None)
 
@@ -115,6 +145,8 @@ HIDDEN = ", ".join(
 
 QUERIES = {
     **{name: fitted(spec) for name, spec in SPECS.items()},
+    "fit_paths_agree": fit_paths_agree,
+    "split_ids": split_ids,
     "fit_large": fit_large,
     "fit_large_by_label": fit_large_by_label,
     "fit_and_score": fit_score,
@@ -129,6 +161,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "fit_paths_agree": f"""select unnest({list(SPECS)}) as detector,
+  (select count(distinct label) from embeddings where vec_id % 2 = 0) as models, 0::bigint as differing""",
+    "split_ids": """select case when vec_id % 2 = 0 then 'train' else 'test' end as split, 0::bigint as foreign_vectors
+from embeddings group by 1""",
     "score_fixed_weights": f"""with {CORPUS},
 coded as (select doc_id, x, {HIDDEN} from (select doc_id, embedding as x from corpus))
 select doc_id, 'fixed' as detector_id, round(sqrt(list_sum(list_transform(range(1, {DIM + 1}), lambda i:
