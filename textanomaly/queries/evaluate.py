@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from textanomaly.detectors.spec import base
 from textanomaly.operators import ensemble, metrics
-from textanomaly.queries.shared import CORPUS, HIERARCHY, SEED, bits_sql, order_sql, rounded, scratch, table, vector_corpus, vector_hierarchy
+from textanomaly.queries.shared import CORPUS, DIM, HIERARCHY, SEED, bits_sql, order_sql, rounded, scratch, table, vector_corpus, vector_hierarchy
 from textanomaly.queries.splits import contaminated, split_sql
 from textanomaly.session import small_side
 from textanomaly.sources.corpus import save_results
 
-DETECTORS = 9  # eight coordinates of the vector and a constant
+DETECTORS = DIM + 1  # the coordinates of the vector and a constant
 
 
 def coordinate_scores(spark, folder):
@@ -147,7 +147,7 @@ def curve(spark, folder):
     scores = split_scores(spark, folder)
     scaler = ensemble.fit_score_scaler(scores.where("split = 'train'"), keys)
     scaled = ensemble.apply_score_scaler(scores.where("split = 'test'"), scaler, keys)
-    draws = ensemble.draw_detectors(scores, list(range(2, 9)), SEED)
+    draws = ensemble.draw_detectors(scores, list(range(2, DETECTORS)), SEED)
     drawn = ensemble.sub_ensemble(scaled, [*keys, "doc_id", "y"], draws)
     rounded_scores = drawn.withColumns(rounded("score", digits=9))
     return metrics.ranking_metrics(rounded_scores, [*keys, "draw"], ranges=1).withColumns(rounded("auc", "ap"))
@@ -193,7 +193,7 @@ RUN_KEYS = "run, inlier, detector_id"
 CURVE = f"""fitted as (select {RUN_KEYS}, avg(score) as mu, stddev_pop(score) as sigma from joined where split = 'train' group by all),
 z as (select t.run, t.inlier, t.doc_id, t.y, t.detector_id, (score - mu) / case when sigma = 0 then 1 else sigma end as z
   from tested t join fitted f on t.run = f.run and t.inlier = f.inlier and t.detector_id = f.detector_id),
-{DRAWS.format(sizes='range(2, 9)')},
+{DRAWS.format(sizes=f'range(2, {DETECTORS})')},
 curve as (select run, inlier, draw, doc_id, y, round(median(z), 9) as score from z join draws on z.detector_id = draws.d
   group by all)"""
 
