@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Treebank-style word tokenisation, in the order the rules are applied.
 TREEBANK_RULES: list[tuple[str, str]] = [
+    # the marker of the next rule is no character of a text
+    ("\u0001", " "),
     # a period after a title or an initial does not end the sentence
     (r"(^|[\s(])(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|[A-Z])\.(\s)", "\\1\\2\u0001\\3"),
     # opening quotes

@@ -100,12 +100,12 @@ def contaminate(
     most = max(int(split_size * nu), 1)
     across = ["run", "split"]
     if mode == "independent":
-        nearest = first_k(shuffled, [*across, "parent"], "h", most, ["doc_id"])
-        pool = ranked(nearest.drop("rank"), across, "h", 2 * most, ["doc_id"]).drop("rank")
+        nearest = settle(first_k(shuffled, [*across, "parent"], "h", most, ["doc_id"]).drop("rank"))
+        pool = first_k(nearest, across, "h", 2 * most, ["doc_id"]).drop("rank")
         found = pool.join(groups, across).where(F.col("parent") != F.col("p"))
     else:
-        nearest = first_k(shuffled, [*across, "label"], "h", most, ["doc_id"])
-        pool = ranked(nearest.drop("rank"), [*across, "parent"], "h", 2 * most, ["doc_id"]).drop("rank")
+        nearest = settle(first_k(shuffled, [*across, "label"], "h", most, ["doc_id"]).drop("rank"))
+        pool = first_k(nearest, [*across, "parent"], "h", 2 * most, ["doc_id"]).drop("rank")
         found = pool.withColumnRenamed("parent", "p").join(groups, [*across, "p"])
         found = found.where(F.col("label") != F.col("inlier"))
     outside = ranked(found, ["run", "inlier", "split"], "h", most, ["doc_id"]).where(

@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +19,36 @@ from textanomaly.session import measured_bytes
 # A Python worker keeps its own copy of a broadcast vocabulary.
 MAX_VOCABULARY_BYTES = 512 << 20
 
+# so many tokens are added up at a time
+BLOCK_TOKENS = 1 << 14
+
+PUNCTUATION = r"[!-/:-@\[-`{-~]+"
+
+
+def _bare(token: Column) -> Column:
+    """A token in lower case without the punctuation around it."""
+    return F.regexp_replace(F.lower(token), f"^{PUNCTUATION}|{PUNCTUATION}$", "")
+
+
 TOKENIZERS = {
     "basic_english": text_functions.basic_english_tokens,
     "whitespace": text_functions.split_words,
+    "sentence": text_functions.split_words,
+}
+# what is looked up when a token itself is unknown, in this order
+FALLBACKS: dict[str, list[Callable[[Column], Column]]] = {
+    "basic_english": [],  # in lower case already
+    "whitespace": [F.lower],
+    "sentence": [F.lower, _bare],
 }
 
 
+def one_vector_a_token(vectors: DataFrame) -> DataFrame:
+    """Vectors in doubles, one row a token: of several the smallest, compared number by number."""
+    doubles = vectors.where(F.col("token").isNotNull()).select("token", F.col("vector").cast("array<double>").alias("vector"))
+    return doubles.groupBy("token").agg(F.min("vector").alias("vector"))
+
+
 def pool_word_vectors(
     df: DataFrame,
     vectors: DataFrame,
@@ -42,10 +65,11 @@ def pool_word_vectors(
 
     Returns ``id_col``, the columns to ``carry`` and ``embedding``.
 
-    ``vectors(token, vector)`` has one row a token. A token is looked up as it
-    is, then in lower case. A token found in neither form counts as the zero
-    vector (``oov='zero'``) or is left out (``oov='skip'``). A text without any
-    token gets the zero vector.
+    A token is looked up in ``vectors(token, vector)`` as it is, then in lower
+    case, then (``tokenizer='sentence'``) also without punctuation around it. A
+    token found in no form counts as the zero vector (``oov='zero'``) or is left
+    out (``oov='skip'``). A text without any token gets the zero vector. If a
+    token has several vectors, the smallest counts.
 
     A vocabulary measured below ``max_vocabulary_bytes`` is broadcast, and texts
     are pooled where they are read, without a shuffle. A larger one is joined.
@@ -54,48 +78,61 @@ def pool_word_vectors(
         raise ValueError("reduction should be mean, max or sum")
     if oov not in ("zero", "skip"):
         raise ValueError("oov should be zero or skip")
-    tokens = TOKENIZERS[tokenizer](F.col(text_col))
     if measured_bytes(vectors) <= max_vocabulary_bytes:
-        texts = df.where(F.col(text_col).isNotNull()).select(id_col, *(carry or []), tokens.alias("__tokens"))
-        return _pool_in_place(texts, vectors, dim, how, oov)
+        return _pool_in_place(df, one_vector_a_token(vectors), dim, how, oov, tokenizer, id_col, text_col, carry or [])
     return pool_by_join(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carry)
 
 
-def _pool_in_place(df: DataFrame, vectors: DataFrame, dim: int, how: str, oov: str) -> DataFrame:
-    table = vectors.select("token", F.col("vector").cast("array<float>").alias("vector")).toArrow()
+def _pool_in_place(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carry) -> DataFrame:
+    table = vectors.toArrow()
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    zero = np.zeros((1, dim), dtype=np.float32)
-    words = table.column("token").combine_chunks()
-    shared = df.sparkSession.sparkContext.broadcast((words, np.vstack([flat.reshape(-1, dim), zero])))
-
-    def reduce(found: np.ndarray, values: np.ndarray) -> np.ndarray:
-        missing = len(values) - 1
-        if oov == "skip":
-            found = found[found != missing]
-        if not len(found):
-            return np.zeros(dim)
-        distinct, counts = np.unique(found, return_counts=True)
-        if how == "max":
-            return values[distinct].max(axis=0).astype(np.float64)
-        total = counts.astype(np.float64) @ values[distinct].astype(np.float64)
-        return total if how == "sum" else total / len(found)
+    shared = df.sparkSession.sparkContext.broadcast(
+        (table.column("token").to_pylist(), np.vstack([flat.reshape(-1, dim), np.zeros((1, dim))]))
+    )
+    forms = [f"__form{i}" for i in range(1 + len(FALLBACKS[tokenizer]))]
+    texts = df.where(F.col(text_col).isNotNull()).select(
+        id_col, *carry, TOKENIZERS[tokenizer](F.col(text_col)).alias(forms[0])
+    )
+    for name, form in zip(forms[1:], FALLBACKS[tokenizer]):
+        texts = texts.withColumn(name, F.transform(forms[0], form))
+    add = np.maximum if how == "max" else np.add
+
+    def looked_up(lists: pa.Array, index: dict[str, int]) -> np.ndarray:
+        """Row of every token's vector; each distinct token of a batch is looked up once."""
+        coded = lists.flatten().dictionary_encode()
+        places = np.array([index.get(token, -1) for token in coded.dictionary.to_pylist()], np.int64)
+        return places[coded.indices.to_numpy(zero_copy_only=False)] if len(places) else places
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, values = shared.value
+        words, values = shared.value
+        index = {word: i for i, word in enumerate(words)}
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            tokens = lists.flatten()
-            found = pc.index_in(tokens, value_set=known)
-            if found.null_count:
-                found = pc.coalesce(found, pc.index_in(pc.utf8_lower(tokens), value_set=known))
-            rows = found.fill_null(len(known)).to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            pooled = [reduce(rows[a:b], values) for a, b in zip(starts, starts[1:])]
-            vector = pa.array(pooled, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vector], names=schema.names)
-
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
-    return df.mapInArrow(pool, schema)
+            lengths = batch.column(forms[0]).value_lengths().to_numpy(zero_copy_only=False)
+            found = looked_up(batch.column(forms[0]), index)
+            for form in forms[1:]:
+                if (found < 0).any():
+                    found = np.where(found < 0, looked_up(batch.column(form), index), found)
+            text = np.repeat(np.arange(batch.num_rows), lengths)
+            if oov == "skip":
+                text, found = text[found >= 0], found[found >= 0]
+            pooled = np.full((batch.num_rows, dim), -np.inf if how == "max" else 0.0)
+            for at in range(0, len(found), BLOCK_TOKENS):
+                own = text[at : at + BLOCK_TOKENS]
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
+                part = add.reduceat(values[found[at : at + BLOCK_TOKENS]], starts)  # -1 is the zero row at the end
+                pooled[own[starts]] = add(pooled[own[starts]], part)
+            counts = np.bincount(text, minlength=batch.num_rows)
+            pooled[counts == 0] = 0
+            if how == "mean":
+                pooled /= np.maximum(counts, 1)[:, None]
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim)
+            vector = pa.ListArray.from_arrays(offsets, pa.array(pooled.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: -len(forms)], vector], names=schema.names)
+
+    schema = T.StructType(
+        [*texts.schema.fields[: -len(forms)], T.StructField("embedding", T.ArrayType(T.DoubleType()))]
+    )
+    return texts.mapInArrow(pool, schema)
 
 
 def pool_by_join(
@@ -113,7 +150,7 @@ def pool_by_join(
 
     Tokens are counted per text before the join, so a frequent word costs one
     row a text; a word found in most texts is a skewed join key, which adaptive
-    execution splits. Lower case is tried on the distinct tokens only.
+    execution splits. Other forms are tried on the distinct tokens only.
     """
     tokens = TOKENIZERS[tokenizer](F.col(text_col))
     counted = (
@@ -122,18 +159,15 @@ def pool_by_join(
         .groupBy(id_col, "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    vectors = vectors.select("token", "vector")
-    words = counted.select("token").distinct()
-    missed = words.join(vectors, "token", "left_anti").withColumn("lowered", F.lower("token"))
-    by_lower = missed.where(F.col("lowered") != F.col("token")).join(
-        vectors.withColumnRenamed("token", "lowered"), "lowered"
-    )
-    known = words.join(vectors, "token").unionByName(by_lower.select("token", "vector"))
+    forms = F.array(F.col("token"), *[form(F.col("token")) for form in FALLBACKS[tokenizer]])
+    tried = counted.select("token").distinct().select("token", F.posexplode(forms).alias("place", "form"))
+    by_form = one_vector_a_token(vectors).withColumnRenamed("token", "form")
+    known = tried.join(by_form, "form").groupBy("token").agg(F.min_by("vector", "place").alias("vector"))
     found = counted.join(known, "token", "left")
     if oov == "skip":
         found = found.where(F.col("vector").isNotNull())
     zero = F.array_repeat(F.lit(0.0), dim)
-    vector = array_to_vector(F.coalesce(F.col("vector").cast("array<double>"), zero))
+    vector = array_to_vector(F.coalesce(F.col("vector"), zero))
     weight = F.col("n").cast("double")
     if how == "max":
         pooled = Summarizer.max(vector)
@@ -215,7 +249,7 @@ def encode_corpus(
         raise ValueError(f"{embedding} needs a table of word vectors")
     # the sentence embedding averages the known words only, cut at white space
     how, oov, tokenizer = (
-        ("mean", "skip", "whitespace") if kind == "known words" else (reduction, "zero", "basic_english")
+        ("mean", "skip", "sentence") if kind == "known words" else (reduction, "zero", "basic_english")
     )
     carry = [c for c in df.columns if c not in (id_col, "embedding")]
     return pool_word_vectors(df, vectors, dim, how, oov, tokenizer, id_col, carry=carry)

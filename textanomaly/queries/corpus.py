@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textanomaly.functions.text import ALPHANUMERIC, BASIC_ENGLISH_RULES, TREEBANK_RULES, WHITESPACE, basic_english_tokens
 from textanomaly.operators import corpus as ops
 from textanomaly.operators import embed
+from textanomaly.operators.embed import PUNCTUATION
 from textanomaly.plans.prepare import prepare
 from textanomaly.queries.shared import SEED, labelled_documents, order_sql, scratch, table
 from textanomaly.session import settle, widen
@@ -64,11 +65,11 @@ def word_vectors(docs):
     return words.where(size != 3).select("token", F.array(*[v.cast("float") for v in values]).alias("vector"))
 
 
-def pooled(how, oov="zero", joined=False):
+def pooled(how, oov="zero", joined=False, tokenizer="basic_english"):
     def query(spark, folder):
         docs = texts(spark, folder)
         pool = embed.pool_by_join if joined else embed.pool_word_vectors
-        result = pool(docs, settle(word_vectors(docs)), 4, how, oov)
+        result = pool(docs, settle(word_vectors(docs)), 4, how, oov, tokenizer)
         return result.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 5).alias(f"v{i}") for i in range(4)])
 
     return query
@@ -147,6 +148,16 @@ def pool_sql(how: str, oov: str = "zero") -> str:
     return f"{POOL} select d.doc_id, {columns} from documents d left join found f on d.doc_id = f.doc_id {keep} group by d.doc_id"
 
 
+def forms_sql(fallbacks: int) -> str:
+    """The mean of the known tokens cut at white space, each looked up in ``fallbacks`` further forms."""
+    forms = ["t.token", "lower(t.token)", f"regexp_replace(lower(t.token), {quoted(f'^{PUNCTUATION}|{PUNCTUATION}$')}, '', 'g')"]
+    joins = " ".join(f"left join vectors f{i} on f{i}.token = {form}" for i, form in enumerate(forms[: fallbacks + 1]))
+    value = "coalesce(" + ", ".join(f"f{i}.x{{0}}" for i in range(fallbacks + 1)) + ")::double"
+    columns = ", ".join(f"round(coalesce(avg({value.format(i)}), 0), 5) as v{i}" for i in range(4))
+    return f"""{POOL}, cut as (select doc_id, unnest({words_sql('text')}) as token from documents)
+select d.doc_id, {columns} from documents d left join cut t on d.doc_id = t.doc_id {joins} group by d.doc_id"""
+
+
 LETTERS = ", ".join(f"length(t) - length(replace(t, '{c}', '')) as v{i}" for i, c in ((1, " "), (2, "e"), (3, "a")))
 CAPPED = f"""(select *, row_number() over (partition by label
      order by {order_sql(f"'{SEED}'", 'doc_id::varchar')}, doc_id) as k
@@ -167,6 +178,10 @@ QUERIES = {
     "pool_skip_oov": pooled("mean", "skip"),
     "pool_mean_joined": pooled("mean", joined=True),
     "pool_max_joined": pooled("max", "skip", joined=True),
+    "pool_sentence": pooled("mean", "skip", tokenizer="sentence"),
+    "pool_sentence_joined": pooled("mean", "skip", joined=True, tokenizer="sentence"),
+    "pool_lowercase": pooled("mean", "skip", tokenizer="whitespace"),
+    "pool_lowercase_joined": pooled("mean", "skip", joined=True, tokenizer="whitespace"),
     "embed_with": embed_with,
     "check_dim": dimensions,
     "stage_roundtrip": stage,
@@ -191,6 +206,10 @@ order by {order_sql(f"'{SEED}'", 'doc_id::varchar')}, doc_id) as k from document
     "pool_skip_oov": pool_sql("mean", "skip"),
     "pool_mean_joined": pool_sql("mean"),
     "pool_max_joined": pool_sql("max", "skip"),
+    "pool_sentence": forms_sql(2),
+    "pool_sentence_joined": forms_sql(2),
+    "pool_lowercase": forms_sql(1),
+    "pool_lowercase_joined": forms_sql(1),
     "embed_with": f"select doc_id, length(t) as v0, {LETTERS} from (select doc_id, text as t from documents)",
     "check_dim": "select len(embedding)::int as dim, count(*) as n, len(embedding) = 64 as ok from embeddings group by all",
     "stage_roundtrip": f"select doc_id, label, length(text)::int as n from {CAPPED} where k <= 10",

@@ -81,6 +81,12 @@ def predicted_by_detector(spark, folder):
     return labelled.select("doc_id", "detector_id", "label")
 
 
+def ensemble_labels(spark, folder):
+    """Labels of the ensemble of all stand-in detectors within each class."""
+    scores = coordinate_scores(spark, folder).withColumnRenamed("label", "class")
+    return ensemble.decide(scores, ["class"], "median", 0.1).select("doc_id", F.round("score", 6).alias("score"), "label")
+
+
 def proba(how):
     def query(spark, folder):
         scores = event_scores(spark, folder)
@@ -220,6 +226,7 @@ QUERIES = {
     "threshold_all": threshold_all,
     "predict": predicted,
     "predict_detectors": predicted_by_detector,
+    "ensemble_labels": ensemble_labels,
     "proba_linear": proba("linear"),
     "proba_unify": proba("unify"),
     "roc_auc": auc,
@@ -250,6 +257,12 @@ select event_id, (score > threshold)::int as label from e join t on e.event_type
   from scores where split = 'train' group by label, detector_id)
 select s.doc_id, s.detector_id::varchar as detector_id, (s.score > t.threshold)::int as label
 from scores s join limits t on s.label = t.label and s.detector_id = t.detector_id""",
+    "ensemble_labels": f"""with {SCORES}, moments as (select label, detector_id, avg(score) as mu, stddev_pop(score) as sigma
+  from scores where split = 'train' group by label, detector_id),
+merged as (select s.label, s.split, s.doc_id, median((score - mu) / case when sigma = 0 then 1 else sigma end) as score
+  from scores s join moments m on s.label = m.label and s.detector_id = m.detector_id group by all),
+limits as (select label, quantile_cont(score, 0.9) as threshold from merged where split = 'train' group by label)
+select doc_id, round(score, 6) as score, (score > threshold)::int as label from merged m join limits l on m.label = l.label""",
     "proba_linear": proba_sql("greatest(0, least(1, linear))"),
     "proba_unify": proba_sql(ERF),
     "roc_auc": f"""with {TRUTHS.format('floor(value)')}, {metrics_sql('g', 'truths')}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textanomaly.functions.vectors import as_double
+from textanomaly.functions.vectors import as_double, matrix, times_rows
 from textanomaly.operators import losses, neighbours, scale
 from textanomaly.queries.shared import CORPUS, DIM, bits_sql, order_sql, rounded, table, vector_corpus
 
@@ -56,8 +56,14 @@ def recon(kind):
     return query
 
 
+def latent_rows(spark, folder):
+    """Rows with their latent: the whole vector times the weights."""
+    columns = matrix([list(column) for column in zip(*weights(3))])
+    return reversed_rows(spark, folder).withColumn("z", times_rows(F.col("x"), columns))
+
+
 def subspace(spark, folder):
-    rows = reversed_rows(spark, folder).withColumn("z", F.slice("x", 1, 3))
+    rows = latent_rows(spark, folder)
     return losses.subspace_error(rows, "x", "z", weights(3), "MSE", ["label"]).withColumns(rounded("error"))
 
 
@@ -69,7 +75,7 @@ def ortho(spark, folder):
 
 def lambda_grid(spark, folder):
     """The robust loss of every label under the 11 x 11 x 11 weight combinations."""
-    rows = reversed_rows(spark, folder).withColumn("z", F.slice("x", 1, 3))
+    rows = latent_rows(spark, folder)
     recon_part = losses.recon_error(rows, "x", "xhat", "MSE", ["label"])
     near = losses.subspace_error(rows, "x", "z", weights(3), "MSE", ["label"]).withColumnRenamed("error", "pca")
     cells = rows.select(F.posexplode("z").alias("i", "v"), "doc_id").select(F.col("doc_id").alias("i"), F.col("i").alias("j"), "v")
@@ -86,10 +92,13 @@ def recon_sql(row: str) -> str:
     return f"select label, round(avg(err), 6) as error from (select label, {row} as err from rows) group by label"
 
 
-ROWS = """rows as (select doc_id, label, x, list_reverse(x) as xhat
-  from (select vec_id as doc_id, label, embedding::double[] as x from embeddings))"""
 WEIGHT = "((({i} - 1) * ({q} + 2) % 7 - 3) / 10.0::double)"
-BACK = " + ".join(f"x[{q}] * {WEIGHT.format(i='i', q=q)}" for q in (1, 2, 3))
+LATENT = ", ".join(
+    f"list_sum(list_transform(range(1, {DIM + 1}), lambda i: x[i] * {WEIGHT.format(i='i', q=q)}))" for q in (1, 2, 3)
+)
+ROWS = f"""rows as (select doc_id, label, x, list_reverse(x) as xhat, [{LATENT}] as z
+  from (select vec_id as doc_id, label, embedding::double[] as x from embeddings))"""
+BACK = " + ".join(f"z[{q}] * {WEIGHT.format(i='i', q=q)}" for q in (1, 2, 3))
 PCA = f"list_sum(list_transform(range(1, {DIM + 1}), lambda i: power(x[i] - ({BACK}), 2)))"
 KNN = f"""with {CORPUS},
 sized as (select *, ceil(count(*) over (partition by label) / {BATCH}::double)::bigint as batches from corpus),
@@ -142,7 +151,7 @@ cells as (select i, label as j, avg(v) * 10 as v from long group by i, label)
 select round({GRAM.format(cells='cells')}, 6) as error""",
     "lambda_grid": f"""with {ROWS},
 base as (select label, avg(power(list_distance(x, xhat), 2)) as error, avg({PCA}) as pca from rows group by label),
-cells as (select doc_id as i, unnest(range(3)) as j, unnest(x[1:3]) as v from rows),
+cells as (select doc_id as i, unnest(range(3)) as j, unnest(z) as v from rows),
 steps as (select unnest(range(11)) / 10.0::double as s)
 select label, a.s as lambda1, b.s as lambda2, c.s as lambda3,
   round(error + (a.s + 0.1::double) * pca + b.s * {GRAM.format(cells='cells')}, 5) as loss
