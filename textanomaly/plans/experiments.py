@@ -170,9 +170,8 @@ def ablation(
     specs = specs or ablation_specs(study)
     rows = splits(corpus, hierarchy, mode, nu=nu, seed=seed, **split_options)
     bound = group_bound(**split_options)
-    scores = fit_and_score(rows, specs, GROUP, ["y"], tasks=tasks, max_group_rows=bound)
-    if study == "ensemble":
-        scores = settle(scores)
+    # the metrics read the scores more than once
+    scores = settle(fit_and_score(rows, specs, GROUP, ["y"], tasks=tasks, max_group_rows=bound))
     tested = scores.where(F.col("split") == "test")
     each = ranking_metrics(tested, [*GROUP, "detector_id"], ranges=1 if bound is None else None)
     grid = spec_table(corpus.sparkSession, specs)

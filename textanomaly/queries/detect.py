@@ -20,6 +20,8 @@ GROUP = ["run", "inlier"]
 SHORT = {"epochs": 5, "batch_size": 1000, "hidden_dims": (16, 8), "dropout_rate": 0.2}
 # labels of the small tables have about 20 rows a split; all else in the grids is as in full experiments, but for epochs
 GRID = {"min_size": 15, "seed": SEED}
+# the studies have up to 1,331 detectors a group
+FEW = {**GRID, "runs": 2, "classes": 4}
 
 SPECS = {
     "fit_base": detectors.base(**SHORT),
@@ -131,7 +133,7 @@ def ablation(study, epochs=3):
     def query(spark, folder):
         corpus = vector_corpus(spark, folder)
         specs = experiments.ablation_specs(study, epochs=epochs)
-        return experiments.ablation(corpus, study, vector_hierarchy(corpus), "contextual", NU, "given", specs=specs, **GRID)
+        return experiments.ablation(corpus, study, vector_hierarchy(corpus), "contextual", NU, "given", specs=specs, **FEW)
 
     return query
 
