@@ -221,3 +221,19 @@ def test_prepare_with_and_without_cache(spark, tmp_path):
     other = raw.withColumn("label", F.lit("b"))
     assert {r["label"] for r in prepare(other, encode, cap=4, lowercase=True, cache=str(tmp_path)).collect()} == {"b"}
     assert prepare(raw, encode).count() == 20
+
+
+def test_pooling_paths_agree_on_repeated_tokens_doubles_and_capitals(spark):
+    vectors = spark.createDataFrame(
+        [("a", [0.15, 2.0]), ("a", [0.1, 9.0]), ("éa", [1.0, -1.0]), ("dog", [3.0, 0.3]), (None, [7.0, 7.0])],
+        "token string, vector array<double>",
+    )
+    docs = spark.createDataFrame([(1, "a ÉA (Dog)!"), (2, "!!! zebra"), (3, "  "), (4, "dog " * 40000)], "doc_id int, text string")
+    for how, first in (("mean", [4.1 / 3, 8.3 / 3]), ("sum", [4.1, 8.3]), ("max", [3.0, 9.0])):
+        got = [
+            {r[0]: list(r[1]) for r in embed.pool_word_vectors(docs, vectors, 2, how, "skip", "sentence", max_vocabulary_bytes=limit).collect()}
+            for limit in (1 << 20, 0)
+        ]
+        for result in got:
+            assert np.allclose(result[1], first) and result[2] == result[3] == [0, 0]
+            assert np.allclose(result[4], [120000, 12000] if how == "sum" else [3.0, 0.3])
