@@ -8,6 +8,7 @@ from textanomaly.detectors import net
 from textanomaly.detectors import spec as detectors
 from textanomaly.operators import fit as fitting
 from textanomaly.operators import losses, neighbours
+from textanomaly.operators import score as scoring
 from textanomaly.operators.metrics import roc_auc
 from textanomaly.operators.score import rebuilt, score
 from textanomaly.plans import experiments
@@ -286,3 +287,25 @@ def test_planted_outliers_are_found(spark):
     spec = detectors.base(**{**SMALL, "epochs": 60, "activation": "tanh"})
     scores = fitting.fit_and_score(df, [spec], KEYS, carry=["y"]).where("split = 'test'")
     assert roc_auc(scores, ["detector_id"]).first()["auc"] > 0.8
+
+
+def test_blocks_and_chunks_score_alike(rows, monkeypatch):
+    """Many blocks of rows and a chunk a detector give the scores of one block and one chunk."""
+    specs = [*SPECS, *(s.but(detector_id=f"{s.detector_id}-b") for s in SPECS)]
+    models = fitting.fit_detectors(rows.where("split = 'train'"), specs, KEYS)
+    options = {"carry": ["split"], "within": ["split"], "batch_size": 10, "max_model_bytes": 0}
+    whole = as_dict(score(rows, models, KEYS, **options))
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 1)
+    close(whole, as_dict(score(rows, models, KEYS, **options)))
+
+
+def test_training_begins_at_given_weights(rows):
+    spec = SPECS[0].but(epochs=0)
+    given = net.initial(spec, len(rows.first()["embedding"]), np.random.default_rng(5))
+    for bound in (None, 0):
+        found = fitting.fit_detectors(rows, [spec], KEYS, max_group_rows=bound, start={spec.detector_id: given})
+        for row in found.collect():
+            assert np.allclose(row["data"], given[row["name"]].ravel())
+    with pytest.raises(ValueError, match="features"):
+        net.starting(spec, 3, np.random.default_rng(0), given)

@@ -69,6 +69,17 @@ def initial(spec: DetectorSpec, dim: int, rng: np.random.Generator, dtype=np.flo
     return params
 
 
+def starting(spec: DetectorSpec, dim: int, rng: np.random.Generator, start: dict | None = None, dtype=np.float32) -> dict:
+    """Copies of the given weights, in their own type, or else seeded ones."""
+    if start is None:
+        return initial(spec, dim, rng, dtype)
+    if start["enc0.W"].shape[1] != dim:
+        raise ValueError(f"{spec.detector_id} starts from {start['enc0.W'].shape[1]} features, got {dim}")
+    params = {name: np.array(value) for name, value in start.items()}
+    apply_masks(params)
+    return params
+
+
 def apply_masks(params: dict) -> None:
     for name in [n for n in params if n.endswith(".mask")]:
         params[name[: -len(".mask")]] *= params[name]
@@ -259,19 +270,26 @@ class Adam:
 
 
 def fit(
-    spec: DetectorSpec, x: np.ndarray, *key, batches: np.ndarray | None = None, name: str = "", dtype=np.float32
+    spec: DetectorSpec,
+    x: np.ndarray,
+    *key,
+    batches: np.ndarray | None = None,
+    name: str = "",
+    dtype=np.float32,
+    start: dict | None = None,
 ) -> tuple[dict, float]:
     """Train on rows held in one task; returns parameters and the last epoch's loss.
 
     ``batches`` numbers the batch of each row (default: slices in row order). A step takes ``batches_per_step`` of
     them in order and moves the weights by their row-weighted mean gradient; noise is seeded by batch and epoch.
+    Training begins at the weights in ``start``, if given, and keeps their type.
     """
     rng = seeded(spec.seed, spec.detector_id, *key)
-    x = np.asarray(x, dtype)
-    params = initial(spec, x.shape[1], rng, dtype)
+    params = starting(spec, np.shape(x)[1], rng, start, dtype)
+    x = np.asarray(x, params["enc0.W"].dtype)
     if spec.standardize:
         sigma = x.std(axis=0)
-        params["in.mu"], params["in.sigma"] = x.mean(axis=0), np.where(sigma == 0, 1, sigma).astype(dtype)
+        params["in.mu"], params["in.sigma"] = x.mean(axis=0), np.where(sigma == 0, 1, sigma).astype(x.dtype)
     x = standardized(params, x)
     optimizer = Adam(spec.learning_rate, spec.weight_decay)
     losses = [float("nan")]

@@ -114,14 +114,17 @@ def fit_detectors(
     per_task: int = 8,
     tasks: int | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    start: dict[str, dict] | None = None,
 ) -> DataFrame:
     """Fit every detector on every group; returns the model table.
 
     Groups from contaminated splits are bounded by their split size and trained
     inside a task. A group above ``max_group_rows`` is trained by all tasks
     together (``fit_detector_large``); None skips the count where groups are
-    known to be small.
+    known to be small. ``start`` has weights by detector that training begins at,
+    by parameter name; other detectors begin at seeded ones.
     """
+    start = start or {}
     chunks = chunked(specs, per_task)
     rows = train.select(*keys, F.col(id_col).alias("doc_id"), F.col(vector).alias("embedding"))
     small, large = split_by_size(rows, keys, max_group_rows)
@@ -133,14 +136,15 @@ def fit_detectors(
         x = np.stack(pdf["embedding"].to_numpy())
         out = []
         for spec in chunks[pdf["chunk"].iloc[0]]:
-            params, _ = net.fit(spec, x, *key, batches=batch_numbers(pdf, spec), name=pdf["__model"].iloc[0])
+            name, first = pdf["__model"].iloc[0], start.get(spec.detector_id)
+            params, _ = net.fit(spec, x, *key, batches=batch_numbers(pdf, spec), name=name, start=first)
             out += [(*key, *row) for row in model_rows(spec, params)]
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
     models = spread(_numbered(small, keys), keys, len(chunks), tasks).groupBy(*keys, "chunk").applyInPandas(train_group, schema)
     if large is not None:
         for spec in specs:
-            models = models.unionByName(fit_detector_large(large, spec, keys))
+            models = models.unionByName(fit_detector_large(large, spec, keys, start=start.get(spec.detector_id)))
     return models
 
 
@@ -153,6 +157,7 @@ def fit_and_score(
     tasks: int | None = None,
     train: str = "train",
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    start: dict[str, dict] | None = None,
 ) -> DataFrame:
     """Fit on the train rows of a group and score all its rows in the same task.
 
@@ -160,9 +165,11 @@ def fit_and_score(
     doc_id, *carry, detector_id, score)``. Parameters never leave the task, so
     grids of many detectors shuffle vectors once and nothing else. Groups above
     ``max_group_rows`` are fitted by all tasks and scored from their model table.
+    ``start`` is as in ``fit_detectors``.
     """
     from textanomaly.operators.score import score
 
+    start = start or {}
     chunks = chunked(specs, per_task)
     carry = carry or []
     columns = [*keys, "split", "doc_id", *carry]
@@ -182,7 +189,8 @@ def fit_and_score(
         out = []
         for spec in chunks[pdf["chunk"].iloc[0]] if len(learn) else []:
             x, name = np.stack(learn["embedding"].to_numpy()), learn["__model"].iloc[0]
-            params, _ = net.fit(spec, x, *key, batches=batch_numbers(learn, spec), name=name)
+            first = start.get(spec.detector_id)
+            params, _ = net.fit(spec, x, *key, batches=batch_numbers(learn, spec), name=name, start=first)
             # without batches in the key, rows of a split are scored in equal slices of the hash order
             for split, part in pdf.groupby("split"):
                 n = -(-len(part) // spec.batch_size)
@@ -198,7 +206,8 @@ def fit_and_score(
     scores = spread(_numbered(small, keys), keys, len(chunks), tasks).groupBy(*keys, "chunk").applyInPandas(run_group, schema)
     if large is not None:
         for spec in specs:
-            models = fit_detector_large(large.where(F.col("split") == train), spec, keys)
+            learn = large.where(F.col("split") == train)
+            models = fit_detector_large(learn, spec, keys, start=start.get(spec.detector_id))
             found = score(large, models, keys, carry=["split", *carry], within=["split"])
             scores = scores.unionByName(found.select(*[f.name for f in schema.fields]))
     return scores
@@ -212,6 +221,7 @@ def fit_detector_large(
     vector: str = "embedding",
     tasks: int | None = None,
     max_driver_bytes: int = MAX_DRIVER_BYTES,
+    start: dict | None = None,
 ) -> DataFrame:
     """Fit one detector on tables of any size, one model a key, all tasks together.
 
@@ -223,7 +233,8 @@ def fit_detector_large(
     ``batches_per_step`` batches of each group; they act as one synchronous batch,
     normalisation statistics stay local to a batch and the running ones are
     row-weighted means. Models above ``max_driver_bytes`` together are trained in
-    waves, each from the same layout.
+    waves, each from the same layout. ``start`` has the weights that every model
+    begins at instead of seeded ones.
     """
     keys = keys or []
     spark = df.sparkSession
@@ -252,7 +263,7 @@ def fit_detector_large(
     table, wave, held = spark.createDataFrame([], model_schema(df, keys)), [], 0
     for row in members.orderBy("model").toLocalIterator():
         key = tuple(row[k] for k in keys)
-        params = net.initial(spec, row["dim"], net.seeded(spec.seed, spec.detector_id, *key))
+        params = net.starting(spec, row["dim"], net.seeded(spec.seed, spec.detector_id, *key), start)
         if spec.standardize:
             sigma = np.asarray(row["sigma"], np.float32)
             params["in.mu"], params["in.sigma"] = np.asarray(row["mu"], np.float32), np.where(sigma == 0, 1, sigma)

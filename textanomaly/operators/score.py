@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,13 @@ from textanomaly.detectors import net
 from textanomaly.detectors.spec import DetectorSpec
 from textanomaly.operators.fit import rows_of
 from textanomaly.operators.neighbours import batch_counts, hash_batches
-from textanomaly.session import measured_bytes, settle, small_side
+from textanomaly.session import attach, broadcast_if_small, measured_bytes, settle, small_side
 
 # Every Python worker keeps its own copy of broadcast models.
 MAX_MODEL_BYTES = 128 << 20
+# Beyond that a task holds so many rows, in whole batches, and so many bytes of models at a time.
+BLOCK_ROWS = 1 << 15
+CHUNK_BYTES = 64 << 20
 
 
 def rebuilt(rows: pd.DataFrame) -> list[tuple[DetectorSpec, dict]]:
@@ -56,8 +59,8 @@ def score(
     Models measured below ``max_model_bytes`` are broadcast: row-wise detectors
     then score where rows are read, and only those looking at neighbours gather
     hash batches (within ``keys`` and ``within``) of their own ``batch_size``, or of
-    the one given here. Larger model tables are cogrouped with the batches of their
-    key. Rows of a key without any model are an error.
+    the one given here. Larger model tables are cogrouped with blocks of
+    batches of their key. Rows of a key without any model are an error.
     """
     carry, within = carry or [], within or []
     columns = [*keys, "doc_id", *[c for c in carry if c not in keys]]
@@ -143,26 +146,43 @@ def check_fitted(rows: DataFrame, models: DataFrame, keys: list[str]) -> None:
 
 
 def by_cogroup(rows, models, keys, within, batch_size, scored, schema) -> DataFrame:
-    """Scores from batches cogrouped with the models of their key."""
+    """Scores from blocks of batches cogrouped with the models of their key.
+
+    A block is many batches and a chunk of models is bounded in bytes, so a task holds one of each; models are
+    copied once a block of rows, and rows once a chunk of their key's models.
+    """
     names = [f.name for f in schema.fields]
     group = [*keys, *within]
+    per_block = max(1, BLOCK_ROWS // batch_size)
     counts = small_side(batch_counts(rows, group, batch_size))
     batched = hash_batches(rows, group, batch_size, counts=counts)
-    numbered = F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1))
+    batched = batched.withColumn("block", F.floor(F.col("batch") / per_block))
+
+    sizes = models.groupBy(*keys, "detector_id").agg(F.sum(F.size("data") * 4).alias("bytes"))
+    before = Window.partitionBy(*keys).orderBy("detector_id").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / CHUNK_BYTES)
+    placed = settle(sizes.select(*keys, "detector_id", chunk.alias("chunk")))
+    chunks = small_side(placed.groupBy(*keys).agg(F.collect_set("chunk").alias("chunks")))
+    batched = attach(batched, chunks, keys).withColumn("chunk", F.explode("chunks")).drop("chunks")
+
+    numbered = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("batches") / per_block) - 1))
     if keys:
-        copies = models.join(counts, keys).withColumn("batch", numbered).drop("batches")
+        copies = models.join(counts, keys).withColumn("block", numbered).drop("batches")
     else:
         plan = counts.agg(F.collect_list(F.struct(*within, "batches"))).scalar()
         copies = models.withColumn("plan", F.explode(plan)).select(*models.columns, "plan.*")
-        copies = copies.withColumn("batch", numbered).drop("batches")
+        copies = copies.withColumn("block", numbered).drop("batches")
+    copies = attach(copies, broadcast_if_small(placed), [*keys, "detector_id"])
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
-        left = left.sort_values("doc_id")
-        label = [left[c].iloc[0] for c in [*group, "batch"]]
-        return scored(left, rebuilt(right), *label)
+        detectors = rebuilt(right)
+        label = [left[c].iloc[0] for c in group]
+        parts = [
+            scored(part.sort_values("doc_id"), detectors, *label, number) for number, part in left.groupby("batch")
+        ]
+        return pd.concat(parts)
 
-    place = [*group, "batch"]
+    place = [*group, "block", "chunk"]
     return batched.groupBy(*place).cogroup(copies.groupBy(*place)).applyInPandas(pair, schema)
-

@@ -115,17 +115,20 @@ def benchmark(
     combination: str = "median",
     specs: list[DetectorSpec] | None = None,
     tasks: int | None = None,
+    start: dict[str, dict] | None = None,
     **split_options,
 ) -> DataFrame:
     """ROC-AUC and average precision of every model, run and inlier class.
 
     ``corpus(doc_id, label, split, embedding)``. Detectors named ``ens-*`` form
     the ensemble ``ens``; the others are models of their own. Groups are bounded
-    by the split size, so each is fitted, scored and ranked within a task.
+    by the split size, so each is fitted, scored and ranked within a task. ``start``
+    has the weights by detector that training begins at.
     """
     rows = splits(corpus, hierarchy, mode, nu=nu, **split_options)
     bound = group_bound(**split_options)
-    scores = settle(fit_and_score(rows, specs or benchmark_specs(), GROUP, ["y"], tasks=tasks, max_group_rows=bound))
+    specs = specs or benchmark_specs()
+    scores = settle(fit_and_score(rows, specs, GROUP, ["y"], tasks=tasks, max_group_rows=bound, start=start))
     member = F.col("detector_id").startswith("ens-")
     tested = scores.where(F.col("split") == "test")
     single = tested.where(~member).withColumnRenamed("detector_id", "model")
@@ -161,17 +164,19 @@ def ablation(
     sizes: list[int] | None = None,
     seed: int = 0,
     tasks: int | None = None,
+    start: dict[str, dict] | None = None,
     **split_options,
 ) -> DataFrame:
     """Metrics of every detector of a grid; ``ensemble`` adds sub-ensembles of growing size.
 
-    Each detector is fitted and scored once; sub-ensembles are drawn from those scores.
+    Each detector is fitted and scored once; sub-ensembles are drawn from those scores. ``start`` has the weights
+    by detector that training begins at.
     """
     specs = specs or ablation_specs(study)
     rows = splits(corpus, hierarchy, mode, nu=nu, seed=seed, **split_options)
     bound = group_bound(**split_options)
     # the metrics read the scores more than once
-    scores = settle(fit_and_score(rows, specs, GROUP, ["y"], tasks=tasks, max_group_rows=bound))
+    scores = settle(fit_and_score(rows, specs, GROUP, ["y"], tasks=tasks, max_group_rows=bound, start=start))
     tested = scores.where(F.col("split") == "test")
     each = ranking_metrics(tested, [*GROUP, "detector_id"], ranges=1 if bound is None else None)
     grid = spec_table(corpus.sparkSession, specs)

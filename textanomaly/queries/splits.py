@@ -74,19 +74,19 @@ def no_outliers(spark, folder):
     return tac.without_outliers(split)
 
 
-def inliers_sql(mode: str) -> str:
+def inliers_sql(mode: str, runs: int = RUNS, classes: int = CLASSES) -> str:
     keep = "" if mode == "independent" else """and label in (select h.label from hierarchy h join
     (select parent from hierarchy group by parent having count(*) >= 2) s on h.parent = s.parent)"""
     return f"""eligible as (select label from corpus where split = 'train' group by label having count(*) >= {MIN_SIZE} {keep}),
 drawn as (select r.run, label as inlier, row_number() over (partition by r.run
     order by {order_sql(f"'{SEED}'", "'inlier'", 'r.run::varchar', 'label::varchar')}, label) as k
-  from eligible, (select unnest(range({RUNS}))::int as run) r qualify k <= {CLASSES})"""
+  from eligible, (select unnest(range({runs}))::int as run) r qualify k <= {classes})"""
 
 
-def split_sql(mode: str, size: int = SIZE, nu: float = NU, drawn_mode: str | None = None) -> str:
+def split_sql(mode: str, size: int = SIZE, nu: float = NU, drawn_mode: str | None = None, **grid) -> str:
     """Common table expressions ending in ``chosen``: every class looks through all rows."""
     sibling = "<>" if mode == "independent" else "="
-    return f"""{inliers_sql(drawn_mode or mode)},
+    return f"""{inliers_sql(drawn_mode or mode, **grid)},
 placed as (select c.doc_id, c.label, c.split, h.parent from corpus c join hierarchy h on c.label = h.label),
 groups as (select d.run, d.inlier, s.split, h.parent as p,
     least(coalesce(n.n, 0), {size})::int as m, trunc(least(coalesce(n.n, 0), {size}) * {nu}::double)::int as c
