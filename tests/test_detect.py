@@ -309,3 +309,10 @@ def test_training_begins_at_given_weights(rows):
             assert np.allclose(row["data"], given[row["name"]].ravel())
     with pytest.raises(ValueError, match="features"):
         net.starting(spec, 3, np.random.default_rng(0), given)
+
+
+def test_chunks_follow_from_groups_and_cores():
+    assert fitting.detectors_per_task(25, 1000, 8) == 25  # groups enough: rows are copied once
+    assert fitting.detectors_per_task(25, 1, 8) == 1
+    assert fitting.detectors_per_task(1331, 400, 8) == 1331
+    assert fitting.detectors_per_task(25, 0, 1) == 1

@@ -29,6 +29,9 @@ MAX_GROUP_ROWS = 5000
 # Models of large groups that are trained in the same jobs; more are trained in waves.
 MAX_DRIVER_BYTES = 1 << 30
 BLOCK = 8192
+# Bytes of vectors that one task of a large fit reads a step, and (group, chunk) pieces a core in a grid.
+TASK_BYTES = 128 << 20
+PIECES = 32
 
 
 def model_schema(df: DataFrame, keys: list[str]) -> T.StructType:
@@ -61,6 +64,12 @@ def chunked(specs: list[DetectorSpec], per_task: int) -> list[list[DetectorSpec]
     return [specs[i::count] for i in range(count)]
 
 
+def detectors_per_task(detectors: int, groups: int, cores: int) -> int:
+    """How many detectors a task takes: rows are copied once a chunk, so no more chunks than cores need."""
+    chunks = min(detectors, -(-PIECES * cores // max(groups, 1)))
+    return -(-detectors // chunks)
+
+
 def spread(df: DataFrame, keys: list[str], chunks: int, tasks: int | None) -> DataFrame:
     """Copy rows once a chunk of detectors, and give each (key, chunk) its own place.
 
@@ -69,8 +78,8 @@ def spread(df: DataFrame, keys: list[str], chunks: int, tasks: int | None) -> Da
     """
     copies = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     if tasks is None:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        tasks = max(cores, min(16 * cores, 4096))
+        spark = df.sparkSession
+        tasks = max(16 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return copies.repartition(tasks, *keys, "chunk")
 
 
@@ -244,7 +253,9 @@ def fit_detector_large(
     counts = small_side(batch_counts(rows, keys, spec.batch_size))
     if tasks is None:
         batches = counts.agg(F.sum("batches")).first()[0] or 1
-        tasks = min(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        first = rows.select(F.size("embedding")).first()
+        held = batches * spec.batch_size * 4 * (first[0] if first else 0)
+        tasks = min(batches, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES)))
     steps = -(-(counts.agg(F.max("batches")).first()[0] or 0) // spec.batches_per_step)
     laid_out = settle(
         hash_batches(rows, keys, spec.batch_size, counts=counts)
@@ -282,7 +293,8 @@ def _trained(laid_out: DataFrame, spec: DetectorSpec, wave: list[tuple], steps:
     models, owners = {m: params for m, _, params in wave}, {m: key for m, key, _ in wave}
     optimizers = {m: net.Adam(spec.learning_rate, spec.weight_decay) for m in models}
     own = F.broadcast(spark.createDataFrame([(m,) for m in models], "model string"))  # bounded with the wave
-    rows = laid_out.join(own, "model", "left_semi")
+    # kept in columns, so a step skips the blocks of other batches; what is lost is read from the layout again
+    rows = laid_out.join(own, "model", "left_semi").select("model", "batch", "embedding").persist()
     for turn in range(spec.epochs * steps):
         epoch, step = divmod(turn, steps)
         batches = rows
@@ -291,6 +303,7 @@ def _trained(laid_out: DataFrame, spec: DetectorSpec, wave: list[tuple], steps:
         for name, grads, stats in gradient_sums(batches, spec, models, epoch):
             optimizers[name].step(models[name], grads)
             net.update_running(models[name], stats)
+    rows.unpersist()
     data = [(*owners[m], *row[:4], row[4].tolist()) for m, p in models.items() for row in model_rows(spec, p)]
     return settle(spark.createDataFrame(data, schema))
 

@@ -12,7 +12,7 @@ from textanomaly.detectors.spec import DetectorSpec
 from textanomaly.operators import ensemble
 from textanomaly.operators.contaminate import contaminate, draw_inliers, paired_splits, with_vectors
 from textanomaly.operators.corpus import eligible_inliers
-from textanomaly.operators.fit import MAX_GROUP_ROWS, fit_and_score
+from textanomaly.operators.fit import MAX_GROUP_ROWS, detectors_per_task, fit_and_score
 from textanomaly.operators.metrics import ranking_metrics
 from textanomaly.session import broadcast_if_small, settle
 
@@ -58,6 +58,22 @@ def ablation_specs(study: str, **changes) -> list[DetectorSpec]:
     raise ValueError("study is latent, hidden, lambda or ensemble")
 
 
+def drawn_inliers(
+    corpus: DataFrame,
+    hierarchy: DataFrame | None = None,
+    mode: str = "independent",
+    runs: int = 10,
+    min_size: int = 100,
+    classes: int = 40,
+    seed: int = 0,
+    test: str = "test",
+    **_,
+) -> DataFrame:
+    """The inlier classes of every run, from the train split."""
+    train = paired_splits(corpus, test).where(F.col("split") == "train")
+    return settle(draw_inliers(eligible_inliers(train, mode, min_size, hierarchy), runs, classes, seed))
+
+
 def splits(
     corpus: DataFrame,
     hierarchy: DataFrame | None = None,
@@ -69,15 +85,16 @@ def splits(
     classes: int = 40,
     seed: int = 0,
     test: str = "test",
+    inliers: DataFrame | None = None,
 ) -> DataFrame:
     """Contaminated train and test rows of every (run, inlier), with their vectors.
 
-    Inlier classes are drawn from the train split and used in both. Ids are unique
+    Inlier classes are drawn from the train split, unless given, and used in both. Ids are unique
     within a split; the test split may number its rows anew.
     """
     paired = paired_splits(corpus, test)
-    eligible = eligible_inliers(paired.where(F.col("split") == "train"), mode, min_size, hierarchy)
-    inliers = settle(draw_inliers(eligible, runs, classes, seed))
+    if inliers is None:
+        inliers = drawn_inliers(corpus, hierarchy, mode, runs, min_size, classes, seed, test)
     chosen = contaminate(paired.select("doc_id", "label", "split"), inliers, mode, nu, split_size, seed, hierarchy)
     # a stand-in test split repeats train rows under its own name, so vectors are joined by split and id
     if not paired.groupBy("split", "doc_id").count().where("count > 1").isEmpty():
@@ -92,6 +109,19 @@ def group_bound(split_size: int = 1000, **_) -> int | None:
     return None if 2 * (split_size + 1) <= MAX_GROUP_ROWS else MAX_GROUP_ROWS
 
 
+def grid_scores(corpus, hierarchy, mode, nu, specs, tasks, start, split_options) -> tuple[DataFrame, int | None]:
+    """Scores of all detectors on all groups, computed once, and the bound above which groups are counted."""
+    inliers = drawn_inliers(corpus, hierarchy, mode, **split_options)
+    rows = splits(corpus, hierarchy, mode, nu=nu, inliers=inliers, **split_options)
+    bound = group_bound(**split_options)
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    per_task = detectors_per_task(len(specs), inliers.count(), cores)
+    scores = fit_and_score(
+        rows, specs, GROUP, ["y"], per_task=per_task, tasks=tasks, max_group_rows=bound, start=start
+    )
+    return settle(scores), bound
+
+
 def described(results: DataFrame, embedding: str, nu: float, mode: str) -> DataFrame:
     return results.select(
         "model",
@@ -125,10 +155,8 @@ def benchmark(
     by the split size, so each is fitted, scored and ranked within a task. ``start``
     has the weights by detector that training begins at.
     """
-    rows = splits(corpus, hierarchy, mode, nu=nu, **split_options)
-    bound = group_bound(**split_options)
     specs = specs or benchmark_specs()
-    scores = settle(fit_and_score(rows, specs, GROUP, ["y"], tasks=tasks, max_group_rows=bound, start=start))
+    scores, bound = grid_scores(corpus, hierarchy, mode, nu, specs, tasks, start, split_options)
     member = F.col("detector_id").startswith("ens-")
     tested = scores.where(F.col("split") == "test")
     single = tested.where(~member).withColumnRenamed("detector_id", "model")
@@ -173,10 +201,7 @@ def ablation(
     by detector that training begins at.
     """
     specs = specs or ablation_specs(study)
-    rows = splits(corpus, hierarchy, mode, nu=nu, seed=seed, **split_options)
-    bound = group_bound(**split_options)
-    # the metrics read the scores more than once
-    scores = settle(fit_and_score(rows, specs, GROUP, ["y"], tasks=tasks, max_group_rows=bound, start=start))
+    scores, bound = grid_scores(corpus, hierarchy, mode, nu, specs, tasks, start, {"seed": seed, **split_options})
     tested = scores.where(F.col("split") == "test")
     each = ranking_metrics(tested, [*GROUP, "detector_id"], ranges=1 if bound is None else None)
     grid = spec_table(corpus.sparkSession, specs)

@@ -36,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="textanomaly-checkpoint-")
     context.setCheckpointDir(shared)
