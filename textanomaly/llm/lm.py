@@ -30,7 +30,7 @@ MIN_PAIR = 2
 DISCOUNT = 0.75
 FLUSH_TOKENS = 2 << 20
 PIECE = 1 << 20  # bytes of text at a time; filters take the memory
-WAVE_BYTES = 160 << 20
+WAVE_BYTES = 128 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # the hash of the token that ends a text, and stands before its first word
 _PAIR, _PROBE = np.uint64(0xD1342543DE82EF95), 0x9E3779B97F4A7C15
 
