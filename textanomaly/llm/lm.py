@@ -32,7 +32,7 @@ FLUSH_TOKENS = 2 << 20
 PIECE = 1 << 20  # bytes of text at a time; filters take the memory
 WAVE_BYTES = 128 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # the hash of the token that ends a text, and stands before its first word
-_PAIR, _PROBE = np.uint64(0xD1342543DE82EF95), 0x9E3779B97F4A7C15
+_PAIR, _PROBE, _LOW = np.uint64(0xD1342543DE82EF95), 0x9E3779B97F4A7C15, np.uint64(0xFFFFFFFF)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,9 +100,15 @@ def count_of(steps: np.ndarray) -> np.ndarray:
     return np.where(steps > 0, (low + np.maximum(low, np.ceil(BASE ** (steps * 1.0)) - 1)) / 2, 0.0)
 
 
-def _places(keys: np.ndarray, step: int, probe: int, size: np.ndarray) -> np.ndarray:
-    salt = np.uint64((16 * step + probe) * _PROBE % (1 << 64))
-    return (mixed(keys + salt) % size).astype(np.int64)
+def _halves(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers of 32 bits that all probes of a key's step follow from."""
+    hashed = mixed(keys + np.uint64(step * _PROBE % (1 << 64)))
+    return hashed & _LOW, (hashed >> np.uint64(32)) | np.uint64(1)
+
+
+def _places(low: np.ndarray, high: np.ndarray, probe: int, size: np.ndarray) -> np.ndarray:
+    """Places in a filter of ``size`` bits, below 2 ** 32."""
+    return ((((low + np.uint64(probe) * high) & _LOW) * size) >> np.uint64(32)).astype(np.int64)
 
 
 def filter_bits(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -111,9 +117,9 @@ def filter_bits(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     size = max(64, -(-int(steps.sum()) * BITS // 64) * 64)
     bits = np.zeros(size, bool)
     for step in range(1, int(steps.max(initial=0)) + 1):
-        held = keys[steps >= step]
+        low, high = _halves(keys[steps >= step], step)
         for probe in range(PROBES):
-            bits[_places(held, step, probe, np.uint64(size))] = True
+            bits[_places(low, high, probe, np.uint64(size))] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -177,10 +183,14 @@ class Wave:
         alive = np.flatnonzero(shards[at] == shard)
         step = 1
         while len(alive) and step < 255:
+            own = at[alive]
+            low, high = _halves(keys[alive], step)
+            start, bound = offset[own], size[own].astype(np.uint64)
             for probe in range(PROBES):
-                own = at[alive]
-                place = offset[own] + _places(keys[alive], step, probe, size[own].astype(np.uint64))
-                alive = alive[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
+                place = start + _places(low, high, probe, bound)
+                held = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                if len(held) < len(alive):
+                    alive, low, high, start, bound = (v[held] for v in (alive, low, high, start, bound))
             found[alive] = step
             step += 1
         return found
