@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textanomaly.session import ensure_checkpoint_dir, settle
@@ -38,6 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs inside hand at most so many rows at a time to Python; Spark's buffers for whole texts stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2, ... in the given order, each range of rows numbered apart."""
     ordered = settle(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))

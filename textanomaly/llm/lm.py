@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textanomaly.llm.classifier import fold
-from textanomaly.llm.common import Words, mixed, pieces, stored, text_bytes
+from textanomaly.llm.common import Words, mixed, pieces, small_batches, stored, text_bytes
 
 BASE = 1.3  # of the logarithm that counts are quantised by
 BITS, PROBES = 12, 5  # of the filter, a held step
@@ -286,7 +286,8 @@ def score(docs: DataFrame, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     )
     parts = max(1, rows.rdd.getNumPartitions())
     shard_bits = max(4, (4 * parts - 1).bit_length())  # a shard has a share of the tokens of a partition
-    shards = stored(train(rows.where("not held_out"), shard_bits), "lm-shards")
+    with small_batches(spark):
+        shards = stored(train(rows.where("not held_out"), shard_bits), "lm-shards")
     known = shards.where("kind = 1").agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")
     ).first()
@@ -303,7 +304,8 @@ def score(docs: DataFrame, wave_bytes: int = WAVE_BYTES) -> DataFrame:
         shared = spark.sparkContext.broadcast(Wave(rows_of_wave, shard_bits))
         del rows_of_wave
         annotate = _annotator(shared, turn == waves - 1, notes.columns)
-        notes = stored(notes.mapInArrow(annotate, NOTES), "lm-notes")
+        with small_batches(spark):
+            notes = stored(notes.mapInArrow(annotate, NOTES), "lm-notes")
         shared.destroy()
     left = notes.where("not held_out").select("one", "two").mapInArrow(_left_over, "step long, seen double, taken double")
     mass = np.ones(256)
