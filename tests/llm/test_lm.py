@@ -61,6 +61,24 @@ def test_filter_gives_steps_back():
     assert (wave.steps(2, np.setdiff1d(fresh, keys)) > 0).mean() < 0.02
 
 
+def test_pairs_seen_once_are_held(spark, documents):
+    rows = [(i, f"a{i} b{i} c{i}") for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    shards = [r.asDict() for r in lm.train(documents(rows), 4).collect()]
+    _, two, _ = lm.tokens([t.encode() for _, t in rows])
+    wave = lm.Wave([{k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.items()} for r in shards], 4)
+    assert (wave.steps(2, two) > 0).all()
+
+
+def test_pairs_seen_once_raise_the_score(spark, documents):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, f"a{i} b{i} c{i}") for i in train]
+    one, two = train[0], train[1]
+    scored = lm.score(documents([*rows, (held[0], f"a{one} b{one} c{one}"), (held[1], f"a{one} b{two} c{one}")]))
+    got = {r.doc_id: r.score for r in scored.where("held_out").collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
 def test_no_rows_and_no_training_rows(spark, documents):
     assert lm.score(documents([])).collect() == []
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2)

@@ -2,7 +2,7 @@
 
 Counts of words and word pairs are gathered in shards of their hash. A shard's filter holds a key once for every step
 of the logarithm of its count; a lookup probes one step after the other until one is missing, which gives the quantised
-count. Pairs that occur once are not held. With D the discount, the probability of a word after another is
+count. With D the discount, the probability of a word after another is
 
     (count(pair) - D) / count(first)  +  mass(first) * (count(word) + 1) / (N + V + 1)
 
@@ -26,7 +26,6 @@ from textanomaly.llm.common import Words, mixed, pieces, small_batches, stored,
 
 BASE = 1.3  # of the logarithm that counts are quantised by
 BITS, PROBES = 12, 5  # of the filter, a held step
-MIN_PAIR = 2
 DISCOUNT = 0.75
 FLUSH_TOKENS = 2 << 20
 PIECE = 1 << 20  # bytes of text at a time; filters take the memory
@@ -130,13 +129,12 @@ def _shard(key, table):
     kind, shard = key[0].as_py(), key[1].as_py()
     blobs = zip(table["keys"].to_pylist(), table["counts"].to_pylist())
     keys, counts = _counted([(np.frombuffer(k, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)) for k, c in blobs])
-    held = np.ones(len(keys), bool) if kind == 1 else counts >= MIN_PAIR
     once = (counts == 1) & (kind == 1)
     often = (counts > 1) & (kind == 1)
     row = {
         "kind": kind, "shard": shard, "types": len(keys), "total": int(counts.sum()),
         "singles": keys[once].tobytes(), "keys": keys[often].tobytes(), "counts": counts[often].astype("<i8").tobytes(),
-        "bits": filter_bits(keys[held], counts[held]).tobytes(),
+        "bits": filter_bits(keys, counts).tobytes(),
     }
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array([v], t) for v, t in zip(row.values(), kinds)], list(row))
