@@ -41,6 +41,20 @@ def test_equal_values_stay_linked():
     assert names.replace("ann.34@mail.example.com")[0].endswith("@mail.example.com")
 
 
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+44 20 7946 0958", "+49 1512 3456 789", "(826) 555-4081"])
+@pytest.mark.parametrize("kind, other", [
+    ("ip", "190.137.223.204"), ("card", "4539 5787 6362 1486"), ("card", "4539578763621486"),
+    ("date", "1999-02-28"), ("date", "28.02.1999"), ("social", "078-05-1120"), (None, "2024"),
+])
+def test_phones_end_before_other_values(phone, kind, other):
+    names = pii.Pseudonyms(b"k")
+    changed, found = names.replace(f"call {phone} {other} now")
+    assert found == ({"phone": 1, kind: 1} if kind else {"phone": 1})
+    assert changed == f"call {names.replace(phone)[0]} {names.replace(other)[0]} now"
+    assert phone not in changed and (other in changed) == (kind is None)
+    assert pii.Pseudonyms(b"k", back=True).replace(changed)[0] == f"call {phone} {other} now"
+
+
 def test_key_gives_values_back(spark, documents):
     texts = [None, "", "no values", " ".join([*CARDS, "é.4@x.example", "17.2.3.4", "2020-01-31", "(212) 555-0100", "078-05-1120"]), "9" * 15 + " a@b.c " * 2, "w 8.8.8.8 " * 20_000]
     docs = documents([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[3])])

@@ -35,6 +35,43 @@ NUMBERS = re.compile(
 )
 
 
+# parts of a phone match: the whole of a number that starts with a country, its runs of digits, and what doesn't belong
+INTERNATIONAL = re.compile(
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}"
+)
+RUN = re.compile(r"[0-9]+")
+OTHER = re.compile(
+    r" (?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+    r"|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?![0-9]|(?P=gap)[0-9]{4}(?![0-9]))"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
+    r"|[0-9]{2}(?P<dot>[/.])[0-9]{2}(?P=dot)[0-9]{4}(?![0-9]|[/.][0-9])"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+)
+FOUR = re.compile(r" [0-9]{4}(?![0-9])")
+
+
+def phone_end(text: str, start: int, end: int) -> int:
+    """Where the phone number at ``start`` ends, at the latest at ``end``; ``start`` if it has too few or many digits.
+
+    Another value's format after a space ends it, and so does a space and four digits after ten or more. After
+    "+1" and a separator a number has eleven digits. Only places of digits are looked at, so that a pseudonym ends
+    where its value does.
+    """
+    if text[start] != "+":
+        return end
+    best, digits = start, 0
+    for run in RUN.finditer(text, start, end):
+        at = run.end()
+        digits += at - run.start()
+        if not 8 <= digits <= 15 or not INTERNATIONAL.fullmatch(text, start, at):
+            continue
+        best = at
+        american = digits == 11 and text[start + 1] == "1" and text[start + 2] in " .(-"
+        if american or OTHER.match(text, at) or (digits >= 10 and FOUR.match(text, at)):
+            break
+    return best
+
+
 class Feistel:
     """Keyed permutations of 0 .. size - 1, another one for every tweak."""
 
@@ -140,9 +177,9 @@ class Pseudonyms:
         year, month, day = f"{moved.year:04d}", f"{moved.month:02d}", f"{moved.day:02d}"
         return _written(value, year + month + day if order == "ymd" else day + month + year)
 
-    def number(self, found: re.Match) -> tuple[str | None, str]:
-        """(kind, pseudonym), or None and the text itself if the value isn't valid."""
-        value, kind = found[0], found.lastgroup
+    def number(self, found: re.Match, value: str) -> tuple[str | None, str]:
+        """(kind, pseudonym) of ``value``, or None and the text itself if it isn't valid."""
+        kind = found.lastgroup
         if found["long"]:
             return self._long(value)
         if found["ip"]:
@@ -177,14 +214,25 @@ class Pseudonyms:
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
 
-        def numbered(found: re.Match) -> str:
-            kind, moved = self.number(found)
-            if kind:
-                counts[kind] = counts.get(kind, 0) + 1
-            return moved
-
         def around(part: str) -> str:
-            return NUMBERS.sub(numbered, part) if _DIGITS.search(part) else part
+            if not _DIGITS.search(part):
+                return part
+            done, at = [], 0
+            found = NUMBERS.search(part)
+            while found:
+                start, end = found.span()
+                if found["phone"]:
+                    end = phone_end(part, start, end)
+                if end == start:  # no phone number: other values may begin inside
+                    found = NUMBERS.search(part, start + 1)
+                    continue
+                kind, moved = self.number(found, part[start:end])
+                if kind:
+                    counts[kind] = counts.get(kind, 0) + 1
+                done += [part[at:start], moved]
+                at = end
+                found = NUMBERS.search(part, end)
+            return "".join([*done, part[at:]])
 
         if "@" not in text:
             return around(text), counts
