@@ -43,7 +43,7 @@ def test_equal_values_stay_linked():
 
 @pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+44 20 7946 0958", "+49 1512 3456 789", "(826) 555-4081"])
 @pytest.mark.parametrize("kind, other", [
-    ("ip", "190.137.223.204"), ("card", "4539 5787 6362 1486"), ("card", "4539578763621486"),
+    ("ip", "190.137.223.204"), ("ip", "8.8.8.8"), ("card", "4539 5787 6362 1486"), ("card", "4539578763621486"),
     ("date", "1999-02-28"), ("date", "28.02.1999"), ("social", "078-05-1120"), (None, "2024"),
 ])
 def test_phones_end_before_other_values(phone, kind, other):
@@ -55,6 +55,16 @@ def test_phones_end_before_other_values(phone, kind, other):
     assert pii.Pseudonyms(b"k", back=True).replace(changed)[0] == f"call {phone} {other} now"
 
 
+@pytest.mark.parametrize("address", ["8.8.8.8", "1.1.1.1"])
+def test_lone_addresses_of_single_digits_change(address):
+    names = pii.Pseudonyms(b"k")
+    changed, found = names.replace(f"ping {address} now")
+    assert found == {"ip": 1} and address not in changed
+    assert names.replace(f"12 {address}")[0].split()[1] == changed.split()[1]
+    assert names.replace(f"a.b@c.example {address}")[0].split()[1] == changed.split()[1]
+    assert pii.Pseudonyms(b"k", back=True).replace(changed)[0] == f"ping {address} now"
+
+
 def test_key_gives_values_back(spark, documents):
     texts = [None, "", "no values", " ".join([*CARDS, "é.4@x.example", "17.2.3.4", "2020-01-31", "(212) 555-0100", "078-05-1120"]), "9" * 15 + " a@b.c " * 2, "w 8.8.8.8 " * 20_000]
     docs = documents([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[3])])

@@ -244,7 +244,8 @@ class Pseudonyms:
         return "".join([*parts, around(text[at:])]), counts
 
 
-_DIGITS = re.compile(r"[0-9]{2}")
+# every number has two digits in a row, or an address of single ones
+_DIGITS = re.compile(r"[0-9]\.?[0-9]")
 
 
 def _replacer(key: bytes, back: bool, columns: list[str], column: str) -> Callable:
