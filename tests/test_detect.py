@@ -316,3 +316,15 @@ def test_chunks_follow_from_groups_and_cores():
     assert fitting.detectors_per_task(25, 1, 8) == 1
     assert fitting.detectors_per_task(1331, 400, 8) == 1331
     assert fitting.detectors_per_task(25, 0, 1) == 1
+
+
+@pytest.mark.parametrize("study", ["latent", "hidden", "lambda", "ensemble"])
+def test_studies_take_all_runs_and_classes(spark, monkeypatch, study):
+    from textanomaly.queries import detect
+
+    asked = {}
+    monkeypatch.setattr(experiments, "ablation", lambda *a, **options: asked.update(options))
+    monkeypatch.setattr(detect, "vector_corpus", lambda *a: None)
+    monkeypatch.setattr(detect, "vector_hierarchy", lambda *a: None)
+    detect.QUERIES[f"ablation_{study}"](spark, "")
+    assert asked.get("runs", 10) == 10 and asked.get("classes", 40) == 40 and asked.get("split_size", 1000) == 1000
