@@ -39,6 +39,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A new shared folder of intermediate tables, each deleted once what was made of it is stored."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, shared_path(df, name)
+
+    def store(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        df.write.option("compression", codec).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables whose readers have all been stored."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs inside hand at most so many rows at a time to Python; Spark's buffers for whole texts stay small."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textanomaly.llm import classifier, decontaminate, lm, mixing, pii, quality_rules, simhash, suffix, url_rules, warc
+from textanomaly.llm import classifier, decontaminate, lm, mixing, phrases, pii, quality_rules, simhash, suffix, url_rules, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.phrases(_table(spark, folder, "documents")).drop("most_left", "most_right")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -72,5 +76,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_lm": op9_lm,
     "op10_url_rules": op10_url_rules,
+    "op11_phrases": op11_phrases,
 }
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op7_mixing": mixing.ORACLE}
+ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op7_mixing": mixing.ORACLE, "op11_phrases": phrases.ORACLE}
