@@ -28,6 +28,7 @@ from textanomaly.session import broadcast_if_small
 
 LEAST, LONGER, FIRST = 30, 80, 2000
 LONGEST = 4  # words
+ID_BITS = 31  # of a word's id
 SHARD_BYTES = 8 << 20  # of text; a longer text is a shard of its own
 SCALE = 2_000_000
 UNDEFINED = "und"
@@ -178,7 +179,7 @@ def extended(transform: Transform, grams: Grams, left: bool = True) -> Grams:
 
 
 SHARDS = "shard long, lang string, words array<string>, counts array<long>, sequence binary"
-PAIRS = "shard long, vocabulary array<long>, sequence binary, first array<long>, last array<long>, counts array<long>"
+PAIRS = "shard long, vocabulary array<long>, sequence binary, pairs array<long>, counts array<long>"
 LONG = "size int, first array<long>, last array<long>, counts array<long>"
 
 
@@ -197,13 +198,13 @@ def _pairs(key, shard: pa.Table, words: pa.Table) -> pa.Table:
     sequence[inside] = local + 1
     grams, numbers = single_words(sequence)
     pairs = extended(Transform(sequence, 2), grams)
-    first, last = vocabulary[numbers[pairs.prefix] - 1], vocabulary[numbers[pairs.suffix] - 1]
+    ids = vocabulary[numbers[pairs.prefix] - 1] << ID_BITS | vocabulary[numbers[pairs.suffix] - 1]
     return pa.table(
         [
             pa.array([key[0].as_py()], pa.int64()), *_lists(vocabulary), pa.array([sequence.astype("<i4").tobytes()]),
-            *_lists(first, last, pairs.count),
+            *_lists(ids, pairs.count),
         ],
-        ["shard", "vocabulary", "sequence", "first", "last", "counts"],
+        ["shard", "vocabulary", "sequence", "pairs", "counts"],
     )
 
 
@@ -215,10 +216,9 @@ def _longer(key, shard: pa.Table, pairs: pa.Table) -> pa.Table:
     sequence = np.frombuffer(shard["sequence"][0].as_py(), "<i4").astype(np.int64)
     vocabulary = shard["vocabulary"].combine_chunks().values.to_numpy()
     base = len(vocabulary) + 1
-    first, last, ids = (np.asarray(pairs[c]) for c in ("first", "last", "pair_id"))
-    keys = (np.searchsorted(vocabulary, first) + 1) * base + np.searchsorted(vocabulary, last) + 1
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
+    ids = np.sort(np.asarray(pairs["pair"]))
+    first, last = (np.searchsorted(vocabulary, part) + 1 for part in (ids >> ID_BITS, ids & ((1 << ID_BITS) - 1)))
+    keys = first * base + last  # in the same order
     good = np.isin(sequence[:-1] * base + sequence[1:], keys)
     keep = np.zeros(len(sequence), bool)
     keep[:-1] |= good
@@ -241,19 +241,13 @@ def _longer(key, shard: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.concat_tables(rows)
 
 
-def _rows(df: DataFrame, *also: str) -> DataFrame:
-    """A row for each n-gram of a shard."""
-    zipped = F.explode(F.arrays_zip("first", "last", "counts")).alias("g")
-    return df.select(*also, zipped).select(*also, "g.first", "g.last", F.col("g.counts").alias("count"))
+def _words(pair: Column) -> Column:
+    return F.array(F.shiftright(pair, ID_BITS), pair.bitwiseAND(F.lit((1 << ID_BITS) - 1)))
 
 
-def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    return ranked(df, [F.col(c) for c in order], name)
-
-
-def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
-    """N-grams of 1 to 4 words that occur ``least`` times: (lang, words array of word ids, n_gram count ``a``); the words
-    by id; the number of all word occurrences by language; and the folder that holds them."""
+def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """N-grams of 1 to 4 words that occur ``least`` times: (lang, words by id, ``a``); the words by id; the number of
+    all word occurrences by language."""
     scratch = Scratch(docs, "phrases")
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(UNDEFINED)).alias("lang"),
@@ -268,39 +262,41 @@ def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
         .groupBy("lang").agg(F.sum("n").alias("n")),
         "totals",
     )
-    words = scratch.store(_numbered(summed.where(F.col("a") >= least), ["lang", "word"], "word_id"), "words")
+    words = ranked(summed.where(F.col("a") >= least), [F.col("lang"), F.col("word")], "word_id")
+    # a pair of ids is one number
+    words = words.withColumn("word_id", F.when(F.col("word_id") < 1 << ID_BITS, F.col("word_id")).otherwise(F.raise_error(F.lit("too many words"))))
+    words = scratch.store(words, "words")
     places = inside.select("shard", "lang", "place", "word").join(
         broadcast_if_small(words.select("lang", "word", "word_id")), ["lang", "word"]
     )
-    # the sequences are the larger side; both are dealt by shard, a bounded part of a task's texts
+    # both sides are dealt by shard, a bounded part of a task's texts
     paired = shards.select("shard", "sequence").groupBy("shard").cogroup(
         places.select(F.col("shard").alias("own"), "place", "word_id").groupBy("own")
     ).applyInArrow(_pairs, PAIRS)
     found = scratch.store(paired, "pairs")
     scratch.drop("shards")
-    pairs = _rows(found, "shard")
-    frequent = pairs.groupBy("first", "last").agg(F.sum("count").alias("a")).where(F.col("a") >= least)
-    frequent = scratch.store(_numbered(frequent, ["first", "last"], "pair_id"), "frequent")
-    own = pairs.select(F.col("shard").alias("own"), "first", "last").join(
-        broadcast_if_small(frequent.select("first", "last", "pair_id")), ["first", "last"]
-    )
-    longer = found.select("shard", "vocabulary", "sequence").groupBy("shard").cogroup(own.groupBy("own")).applyInArrow(_longer, LONG)
+    # a shard has a pair once, so that adding up and telling the shards takes one shuffle and no join
+    pairs = found.select(F.col("shard").alias("own"), F.explode(F.arrays_zip("pairs", "counts")).alias("p"))
+    pairs = pairs.select("own", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("count"))
+    pairs = pairs.select("own", "pair", F.sum("count").over(Window.partitionBy("pair")).alias("a")).where(F.col("a") >= least)
+    frequent = scratch.store(pairs, "frequent")
+    longer = found.select("shard", "vocabulary", "sequence").groupBy("shard").cogroup(
+        frequent.select("own", "pair").groupBy("own")
+    ).applyInArrow(_longer, LONG)
     longer = scratch.store(longer, "longer")
     scratch.drop("pairs")
-    longer = _rows(longer, "size").groupBy("size", "first", "last").agg(F.sum("count").alias("a")).where(F.col("a") >= least)
-    one = words.select("lang", F.array("word_id").alias("words"), "a")
-    two = frequent.join(words.select("lang", F.col("word_id").alias("first")), "first").select(
-        "lang", F.array("first", "last").alias("words"), "a"
-    )
-    sides = {
-        side: frequent.select(F.col("pair_id").alias(side), F.array("first", "last").alias(f"{side}_words")) for side in ("first", "last")
-    }
-    more = longer.join(sides["first"], "first").join(sides["last"], "last")
+    longer = longer.select("size", F.explode(F.arrays_zip("first", "last", "counts")).alias("g"))
+    longer = longer.groupBy("size", "g.first", "g.last").agg(F.sum("g.counts").alias("a")).where(F.col("a") >= least)
+    first, last = _words(F.col("first")), _words(F.col("last"))
     # three words: the pairs share the middle one
-    both = F.concat("first_words", F.when(F.col("size") == 3, F.slice("last_words", 2, 1)).otherwise(F.col("last_words")))
-    more = more.select(both.alias("words"), "a").withColumn("first", F.col("words")[0])
-    more = more.join(words.select("lang", F.col("word_id").alias("first")), "first").select("lang", "words", "a")
-    return scratch.store(one.unionByName(two).unionByName(more), "grams"), words, totals, scratch
+    spelt = F.concat(first, F.when(F.col("size") == 3, F.slice(last, 2, 1)).otherwise(last))
+    two = frequent.select("pair", "a").distinct().select(_words(F.col("pair")).alias("words"), "a")
+    more = two.unionByName(longer.select(spelt.alias("words"), "a")).withColumn("word_id", F.col("words")[0])
+    more = more.join(words.select("lang", "word_id"), "word_id").select("lang", "words", "a")
+    one = words.select("lang", F.array("word_id").alias("words"), "a")
+    grams = scratch.store(one.unionByName(more), "grams")
+    scratch.drop("frequent", "longer")
+    return grams, words, totals
 
 
 def _exact(column: Column) -> Column:
@@ -317,7 +313,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longer: int = LONGER, first: in
     most_left and most_right are the occurrences of the most frequent phrase one word longer on that side (null: below
     ``least``, or four words already). Without rows the result is empty.
     """
-    grams, words, totals, scratch = counted(docs, least)
+    grams, words, totals = counted(docs, least)
     size = F.size("words")
     phrase = grams.where(size > 1)
     # a longer phrase holds one that is one word longer, which occurs at least as often
