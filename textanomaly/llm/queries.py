@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textanomaly.llm import classifier, decontaminate, lm, mixing, phrases, pii, quality_rules, simhash, suffix, url_rules, warc
+from textanomaly.llm import alignment, classifier, decontaminate, lm, mixing, phrases, pii, quality_rules, simhash, suffix, url_rules, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.phrases(_table(spark, folder, "documents")).drop("most_left", "most_right")
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -77,5 +81,6 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_url_rules": op10_url_rules,
     "op11_phrases": op11_phrases,
+    "op12_alignment": op12_alignment,
 }
 ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op7_mixing": mixing.ORACLE, "op11_phrases": phrases.ORACLE}
