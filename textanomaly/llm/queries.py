@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textanomaly.llm import alignment, classifier, decontaminate, lm, mixing, phrases, pii, quality_rules, simhash, suffix, url_rules, warc
+from textanomaly.llm import alignment, classifier, decontaminate, fingerprints, lm, mixing, phrases, pii, quality_rules, simhash, suffix, url_rules, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(_table(spark, folder, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -82,5 +86,11 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
     "op11_phrases": op11_phrases,
     "op12_alignment": op12_alignment,
+    "op13_fingerprints": op13_fingerprints,
+}
+ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op11_phrases": phrases.ORACLE,
+    "op13_fingerprints": fingerprints.ORACLE,
 }
-ORACLES = {"op2_quality_rules": quality_rules.ORACLE, "op7_mixing": mixing.ORACLE, "op11_phrases": phrases.ORACLE}
