@@ -212,11 +212,11 @@ def test_gradient_sums_are_the_row_weighted_mean(spark):
     x = rng.standard_normal((50, 5)).astype(np.float32)
     spec = detectors.base("g", **{**SMALL, "batchnorm": False})
     params = net.initial(spec, 5, np.random.default_rng(0))
-    df = spark.createDataFrame([("m", i % 3, v.tolist()) for i, v in enumerate(x)], "model string, batch long, embedding array<float>")
-    laid = df.repartition(2, "batch").sortWithinPartitions("model", "batch")
-    ((name, grads, stats),) = fitting.gradient_sums(laid, spec, {"m": params}, 0)
+    df = spark.createDataFrame([(0, "m", i % 3, v.tolist()) for i, v in enumerate(x)], "lane int, model string, batch long, embedding array<float>")
+    laid = df.repartition(2, "batch").sortWithinPartitions("lane", "model", "batch")
+    ((name, grads, stats),) = fitting.gradient_sums(laid, {("m", "g"): (spec, params)}, 0)
     _, want, _ = net.loss_and_grads(spec, params, x, rng)
-    assert name == "m" and stats == {}
+    assert name == ("m", "g") and stats == {}
     assert all(np.allclose(grads[k], want[k], atol=1e-6) for k in want)
 
 
@@ -328,3 +328,31 @@ def test_studies_take_all_runs_and_classes(spark, monkeypatch, study):
     monkeypatch.setattr(detect, "vector_hierarchy", lambda *a: None)
     detect.QUERIES[f"ablation_{study}"](spark, "")
     assert asked.get("runs", 10) == 10 and asked.get("classes", 40) == 40 and asked.get("split_size", 1000) == 1000
+
+
+def test_detectors_of_all_shapes_take_the_same_steps(rows, monkeypatch):
+    many = [s.but(detector_id=f"{s.family}-{w}", hidden_dims=(w, 4), batch_size=12, activation="tanh", batchnorm=False) for s in SPECS for w in (6, 9)]
+    many.append(many[0].but(detector_id="short", epochs=1))
+    train = rows.where("split = 'train'")
+    steps, layouts = [], []
+    real, layout = fitting.gradient_sums, fitting._layout
+    monkeypatch.setattr(fitting, "gradient_sums", lambda *a: steps.append(len(a[1])) or real(*a))
+    monkeypatch.setattr(fitting, "_layout", lambda *a: layouts.append(a) or layout(*a))
+    together = fitting.fit_detectors(train, many, KEYS, max_group_rows=0).collect()
+    # the largest group has 40 rows, so 4 batches a model and epoch; 3 groups of 11 detectors, 10 of them to the end
+    assert len(layouts) == 1 and steps == [33] * 4 + [30] * 12
+    apart = fitting.fit_detectors(train, many, KEYS, max_group_rows=None).collect()
+    key = lambda r: (r["run"], r["inlier"], r["detector_id"], r["name"])
+    got, want = ({key(r): r["data"] for r in table} for table in (together, apart))
+    assert got.keys() == want.keys()
+    for name in want:
+        assert np.allclose(got[name], want[name], atol=1e-4), name
+
+
+def test_wanted_detectors_only(rows):
+    specs = [SPECS[0].but(epochs=1), SPECS[3].but(epochs=1)]
+    wanted = rows.sparkSession.createDataFrame([(0, "a", "base"), (0, "b", "rsr"), (1, "a", "base"), (1, "a", "rsr")], "run int, inlier string, detector_id string")
+    for bound in (None, 0):
+        found = fitting.fit_and_score(rows, specs, KEYS, wanted=wanted, max_group_rows=bound, per_task=1)
+        got = {tuple(r) for r in found.select(*KEYS, "detector_id").distinct().collect()}
+        assert got == {tuple(r) for r in wanted.collect()}

@@ -70,13 +70,15 @@ def detectors_per_task(detectors: int, groups: int, cores: int) -> int:
     return -(-detectors // chunks)
 
 
-def spread(df: DataFrame, keys: list[str], chunks: int, tasks: int | None) -> DataFrame:
-    """Copy rows once a chunk of detectors, and give each (key, chunk) its own place.
+def spread(df: DataFrame, keys: list[str], chunks: int, tasks: int | None, wanted: DataFrame | None = None) -> DataFrame:
+    """Copy rows once a chunk of detectors (one that ``wanted`` has), and give each (key, chunk) its own place.
 
     The explicit partition number keeps adaptive execution from merging groups
     that are small in bytes but costly to train.
     """
     copies = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    if wanted is not None:
+        copies = attach(copies, wanted, [*keys, "chunk"])
     if tasks is None:
         spark = df.sparkSession
         tasks = max(16 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -151,10 +153,7 @@ def fit_detectors(
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
     models = spread(_numbered(small, keys), keys, len(chunks), tasks).groupBy(*keys, "chunk").applyInPandas(train_group, schema)
-    if large is not None:
-        for spec in specs:
-            models = models.unionByName(fit_detector_large(large, spec, keys, start=start.get(spec.detector_id)))
-    return models
+    return models if large is None else models.unionByName(fit_detectors_large(large, specs, keys, start=start))
 
 
 def fit_and_score(
@@ -167,6 +166,7 @@ def fit_and_score(
     train: str = "train",
     max_group_rows: int | None = MAX_GROUP_ROWS,
     start: dict[str, dict] | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Fit on the train rows of a group and score all its rows in the same task.
 
@@ -174,7 +174,8 @@ def fit_and_score(
     doc_id, *carry, detector_id, score)``. Parameters never leave the task, so
     grids of many detectors shuffle vectors once and nothing else. Groups above
     ``max_group_rows`` are fitted by all tasks and scored from their model table.
-    ``start`` is as in ``fit_detectors``.
+    ``start`` is as in ``fit_detectors``. ``wanted(*keys, detector_id)`` names the
+    detectors to fit on each group, if not all on all.
     """
     from textanomaly.operators.score import score
 
@@ -191,12 +192,17 @@ def fit_and_score(
         ]
     )
 
+    chosen = wanted is not None
+
     def run_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["split", "doc_id"])
         key = [pdf[k].iloc[0] for k in keys]
         learn = pdf[pdf["split"] == train]
         out = []
-        for spec in chunks[pdf["chunk"].iloc[0]] if len(learn) else []:
+        picked = chunks[pdf["chunk"].iloc[0]] if len(learn) else []
+        if chosen:
+            picked = [s for s in picked if s.detector_id in set(pdf["__wanted"].iloc[0])]
+        for spec in picked:
             x, name = np.stack(learn["embedding"].to_numpy()), learn["__model"].iloc[0]
             first = start.get(spec.detector_id)
             params, _ = net.fit(spec, x, *key, batches=batch_numbers(learn, spec), name=name, start=first)
@@ -212,16 +218,27 @@ def fit_and_score(
         return pd.concat(out)
 
     small, large = split_by_size(rows, keys, max_group_rows)
-    scores = spread(_numbered(small, keys), keys, len(chunks), tasks).groupBy(*keys, "chunk").applyInPandas(run_group, schema)
+    lists = None if wanted is None else small_side(wanted_by_chunk(wanted, chunks, keys))
+    copies = spread(_numbered(small, keys), keys, len(chunks), tasks, lists)
+    scores = copies.groupBy(*keys, "chunk").applyInPandas(run_group, schema)
     if large is not None:
-        for spec in specs:
-            learn = large.where(F.col("split") == train)
-            models = fit_detector_large(learn, spec, keys, start=start.get(spec.detector_id))
-            found = score(large, models, keys, carry=["split", *carry], within=["split"])
-            scores = scores.unionByName(found.select(*[f.name for f in schema.fields]))
+        learn = large.where(F.col("split") == train)
+        models = fit_detectors_large(learn, specs, keys, start=start, wanted=wanted)
+        if wanted is not None:
+            large = large.join(F.broadcast(models.select(*keys).distinct()), keys, "left_semi")
+        found = score(large, models, keys, carry=["split", *carry], within=["split"])
+        scores = scores.unionByName(found.select(*[f.name for f in schema.fields]))
     return scores
 
 
+def wanted_by_chunk(wanted: DataFrame, chunks: list[list[DetectorSpec]], keys: list[str]) -> DataFrame:
+    """The wanted detectors of every group, by chunk."""
+    numbers = [(s.detector_id, i) for i, chunk in enumerate(chunks) for s in chunk]
+    numbered = wanted.sparkSession.createDataFrame(numbers, "detector_id string, chunk int")
+    listed = wanted.join(F.broadcast(numbered), "detector_id")  # as many as settings name
+    return listed.groupBy(*keys, "chunk").agg(F.collect_set("detector_id").alias("__wanted"))
+
+
 def fit_detector_large(
     df: DataFrame,
     spec: DetectorSpec,
@@ -232,79 +249,127 @@ def fit_detector_large(
     max_driver_bytes: int = MAX_DRIVER_BYTES,
     start: dict | None = None,
 ) -> DataFrame:
-    """Fit one detector on tables of any size, one model a key, all tasks together.
+    """Fit one detector on tables of any size, one model a key, all tasks together (``fit_detectors_large``)."""
+    starts = None if start is None else {spec.detector_id: start}
+    return fit_detectors_large(df, [spec], keys, id_col, vector, tasks, max_driver_bytes, starts)
 
-    Rows are laid out once in hash batches of about ``batch_size`` (whole batches
+
+def fit_detectors_large(
+    df: DataFrame,
+    specs: list[DetectorSpec],
+    keys: list[str] | None = None,
+    id_col: str = "doc_id",
+    vector: str = "embedding",
+    tasks: int | None = None,
+    max_driver_bytes: int = MAX_DRIVER_BYTES,
+    start: dict[str, dict] | None = None,
+    wanted: DataFrame | None = None,
+) -> DataFrame:
+    """Fit detectors on tables of any size, one model a key and detector, all tasks together.
+
+    Rows are laid out once a batch size in hash batches of about that size (whole batches
     stay in a task, a hot key covers many tasks) and written to the checkpoint
-    folder. A step is a job without a row shuffle: each task adds up the gradients
-    of its batches, the sums are added by Spark and only model-sized vectors reach
+    folder; where there are fewer batches than cores, detectors are dealt over lanes
+    that each hold a copy. A step is a job without a row shuffle, whatever the number and
+    shapes of the detectors: each task adds up the gradients of its batches by key and
+    detector, the sums are added by Spark and only model-sized vectors reach
     the driver, which moves the weights. As in ``net.fit`` a step takes
     ``batches_per_step`` batches of each group; they act as one synchronous batch,
     normalisation statistics stay local to a batch and the running ones are
     row-weighted means. Models above ``max_driver_bytes`` together are trained in
-    waves, each from the same layout. ``start`` has the weights that every model
-    begins at instead of seeded ones.
+    waves, each from the same layout. ``start`` has the weights by detector that models
+    begin at instead of seeded ones; ``wanted(*keys, detector_id)`` the models to fit, if
+    not all.
     """
     keys = keys or []
     spark = df.sparkSession
     rows = df.select(*keys, F.col(id_col).alias("doc_id"), as_float(vector).alias("embedding"))
-    if spec.standardize:
-        scaler = settle(fit_scaler(rows, keys))
-    counts = small_side(batch_counts(rows, keys, spec.batch_size))
+    scaler = settle(fit_scaler(rows, keys)) if any(s.standardize for s in specs) else None
+    if wanted is not None:
+        named = wanted.select(*keys, "detector_id").distinct().groupBy(*keys).agg(F.collect_set("detector_id").alias("__wanted"))
+    table = spark.createDataFrame([], model_schema(df, keys))
+    for size in sorted({s.batch_size for s in specs}):
+        own = [s for s in specs if s.batch_size == size]
+        laid_out, most, lanes = _layout(rows, keys, size, len(own), tasks)
+        members = laid_out.where("lane = 0").groupBy("model", *keys).agg(
+            F.max(F.size("embedding")).alias("dim"), F.min(F.size("embedding")).alias("low")
+        )
+        if scaler is not None:
+            members = attach(members, scaler, keys)
+        if wanted is not None:
+            members = attach(members, small_side(named), keys)
+        members = settle(members)
+        if not members.where("low <> dim").isEmpty():
+            raise ValueError("vectors of one group differ in length")
+        for pace in sorted({s.batches_per_step for s in own}):
+            paced = [s for s in own if s.batches_per_step == pace]
+            for wave in _waves(members, paced, keys, start or {}, max_driver_bytes, wanted is not None):
+                table = table.unionByName(_trained(laid_out, wave, -(-most // pace), lanes, model_schema(df, keys)))
+    return table
+
+
+def _layout(rows: DataFrame, keys: list[str], batch_size: int, detectors: int, tasks: int | None) -> tuple[DataFrame, int, int]:
+    """Rows (lane, model, batch, embedding) in whole batches a task, the most batches of a model and the lanes."""
+    spark = rows.sparkSession
+    counts = small_side(batch_counts(rows, keys, batch_size))
+    of_all, most = counts.agg(F.coalesce(F.sum("batches"), F.lit(0)), F.coalesce(F.max("batches"), F.lit(0))).first()
+    lanes = min(detectors, -(-2 * spark.sparkContext.defaultParallelism // max(of_all, 1)))
     if tasks is None:
-        batches = counts.agg(F.sum("batches")).first()[0] or 1
         first = rows.select(F.size("embedding")).first()
-        held = batches * spec.batch_size * 4 * (first[0] if first else 0)
-        tasks = min(batches, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES)))
-    steps = -(-(counts.agg(F.max("batches")).first()[0] or 0) // spec.batches_per_step)
-    laid_out = settle(
-        hash_batches(rows, keys, spec.batch_size, counts=counts)
+        held = lanes * of_all * batch_size * 4 * (first[0] if first else 0)
+        tasks = min(lanes * max(of_all, 1), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES)))
+    laid_out = (
+        hash_batches(rows, keys, batch_size, counts=counts)
         .withColumn("model", model_name(keys))
-        .repartition(tasks, "model", "batch")
-        .sortWithinPartitions("model", "batch", "doc_id")
-    )
-    members = laid_out.groupBy("model", *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"), F.min(F.size("embedding")).alias("low")
+        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+        .repartition(tasks, "model", "batch", "lane")
+        .sortWithinPartitions("lane", "model", "batch", "doc_id")
     )
-    if spec.standardize:
-        members = attach(members, scaler, keys)
-    members = settle(members)
-    if not members.where("low <> dim").isEmpty():
-        raise ValueError("vectors of one group differ in length")
-    table, wave, held = spark.createDataFrame([], model_schema(df, keys)), [], 0
+    return settle(laid_out), most, lanes
+
+
+def _waves(members: DataFrame, specs: list[DetectorSpec], keys: list[str], start: dict, most_bytes: int, chosen: bool):
+    """Starting parameters of (model, detector), as many at a time as the driver may hold."""
+    wave, held = {}, 0
     for row in members.orderBy("model").toLocalIterator():
         key = tuple(row[k] for k in keys)
-        params = net.starting(spec, row["dim"], net.seeded(spec.seed, spec.detector_id, *key), start)
-        if spec.standardize:
-            sigma = np.asarray(row["sigma"], np.float32)
-            params["in.mu"], params["in.sigma"] = np.asarray(row["mu"], np.float32), np.where(sigma == 0, 1, sigma)
-        size = 4 * sum(p.nbytes for p in params.values())
-        if wave and held + size > max_driver_bytes:
-            table = table.unionByName(_trained(laid_out, spec, wave, steps, model_schema(df, keys)))
-            wave, held = [], 0
-        wave.append((row["model"], key, params))
-        held += size
-    return table.unionByName(_trained(laid_out, spec, wave, steps, model_schema(df, keys))) if wave else table
-
-
-def _trained(laid_out: DataFrame, spec: DetectorSpec, wave: list[tuple], steps: int, schema: T.StructType) -> DataFrame:
-    """The model rows of one wave of (model, key, starting parameters), written to the checkpoint folder."""
+        for spec in specs:
+            if chosen and spec.detector_id not in row["__wanted"]:
+                continue
+            seed = net.seeded(spec.seed, spec.detector_id, *key)
+            params = net.starting(spec, row["dim"], seed, start.get(spec.detector_id))
+            if spec.standardize:
+                sigma = np.asarray(row["sigma"], np.float32)
+                params["in.mu"], params["in.sigma"] = np.asarray(row["mu"], np.float32), np.where(sigma == 0, 1, sigma)
+            size = 4 * sum(p.nbytes for p in params.values())
+            if wave and held + size > most_bytes:
+                yield wave
+                wave, held = {}, 0
+            wave[row["model"], spec.detector_id] = (spec, key, params)
+            held += size
+    if wave:
+        yield wave
+
+
+def _trained(laid_out: DataFrame, wave: dict[tuple, tuple], steps: int, lanes: int, schema: T.StructType) -> DataFrame:
+    """The model rows of one wave of (spec, key, starting parameters), written to the checkpoint folder."""
     spark = laid_out.sparkSession
-    models, owners = {m: params for m, _, params in wave}, {m: key for m, key, _ in wave}
-    optimizers = {m: net.Adam(spec.learning_rate, spec.weight_decay) for m in models}
-    own = F.broadcast(spark.createDataFrame([(m,) for m in models], "model string"))  # bounded with the wave
+    optimizers = {name: net.Adam(spec.learning_rate, spec.weight_decay) for name, (spec, _, _) in wave.items()}
+    own = F.broadcast(spark.createDataFrame([(m,) for m in {m for m, _ in wave}], "model string"))  # bounded with the wave
     # kept in columns, so a step skips the blocks of other batches; what is lost is read from the layout again
-    rows = laid_out.join(own, "model", "left_semi").select("model", "batch", "embedding").persist()
-    for turn in range(spec.epochs * steps):
+    rows = laid_out.join(own, "model", "left_semi").select("lane", "model", "batch", "embedding").persist()
+    pace = next(iter(wave.values()))[0].batches_per_step
+    for turn in range(max(spec.epochs for spec, _, _ in wave.values()) * steps):
         epoch, step = divmod(turn, steps)
         batches = rows
         if steps > 1:
-            batches = rows.where(F.floor(F.col("batch") / spec.batches_per_step) == step)
-        for name, grads, stats in gradient_sums(batches, spec, models, epoch):
-            optimizers[name].step(models[name], grads)
-            net.update_running(models[name], stats)
+            batches = rows.where(F.floor(F.col("batch") / pace) == step)
+        models = {name: (spec, params) for name, (spec, _, params) in wave.items() if epoch < spec.epochs}
+        for name, grads, stats in gradient_sums(batches, models, epoch, lanes):
+            optimizers[name].step(models[name][1], grads)
+            net.update_running(models[name][1], stats)
     rows.unpersist()
-    data = [(*owners[m], *row[:4], row[4].tolist()) for m, p in models.items() for row in model_rows(spec, p)]
+    data = [(*key, *row[:4], row[4].tolist()) for spec, key, params in wave.values() for row in model_rows(spec, params)]
     return settle(spark.createDataFrame(data, schema))
 
 
@@ -317,28 +382,32 @@ def rows_of(vectors: pa.ListArray) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def whole_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
-    """Rows arrive sorted by (model, batch); yield each batch whole."""
+def whole_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, int, np.ndarray]]:
+    """Rows arrive sorted by (lane, model, batch); yield each batch whole."""
     key, held = None, []
     for frame in frames:
-        names, numbers = (frame.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        changes = np.flatnonzero((names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])) + 1
-        ends = [*changes, len(names)] if len(names) else []
+        lanes, names, numbers = (frame.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        new = (names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1]) | (lanes[1:] != lanes[:-1])
+        ends = [*(np.flatnonzero(new) + 1), len(names)] if len(names) else []
         start = 0
         for end in ends:
-            if held and key != (names[start], numbers[start]):
+            found = (lanes[start], names[start], numbers[start])
+            if held and key != found:
                 yield *key, np.concatenate(held)
                 held = []
-            key = (names[start], numbers[start])
-            held.append(rows_of(frame.column(2).slice(start, end - start)))
+            key = found
+            held.append(rows_of(frame.column(3).slice(start, end - start)))
             start = end
     if held:
         yield *key, np.concatenate(held)
 
 
-def gradient_sums(batches: DataFrame, spec: DetectorSpec, models: dict, epoch: int):
-    """Row-weighted mean gradients and batch statistics of every model, for one step of an epoch."""
-    shared = batches.sparkSession.sparkContext.broadcast(models)
+def gradient_sums(batches: DataFrame, models: dict[tuple, tuple], epoch: int, lanes: int = 1):
+    """Row-weighted mean gradients and batch statistics of every (model, detector), for one step of an epoch."""
+    by_model: dict = {}
+    for (model, detector), (spec, params) in models.items():
+        by_model.setdefault(model, []).append((detector, spec, params))
+    shared = batches.sparkSession.sparkContext.broadcast(by_model)
 
     def flatten(params: dict, grads: dict, stats: dict) -> np.ndarray:
         parts = [grads[n] for n in net.trainable(params)]
@@ -347,38 +416,40 @@ def gradient_sums(batches: DataFrame, spec: DetectorSpec, models: dict, epoch: i
 
     def partial(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for name, number, x in whole_batches(frames):
-            params = shared.value[name]
-            rng = net.seeded(spec.seed, spec.detector_id, name, int(number), epoch)
-            _, grads, stats = net.loss_and_grads(spec, params, net.standardized(params, x), rng)
-            total, n = sums.get(name, (0, 0))
-            sums[name] = (total + len(x) * flatten(params, grads, stats), n + len(x))
-        for name, (total, n) in sums.items():
+        for lane, name, number, x in whole_batches(frames):
+            for detector, spec, params in shared.value.get(name, [])[lane::lanes]:
+                rng = net.seeded(spec.seed, spec.detector_id, name, int(number), epoch)
+                _, grads, stats = net.loss_and_grads(spec, params, net.standardized(params, x), rng)
+                total, n = sums.get((name, detector), (0, 0))
+                sums[name, detector] = (total + len(x) * flatten(params, grads, stats), n + len(x))
+        for (name, detector), (total, n) in sums.items():
             blocks = np.split(total, range(BLOCK, len(total), BLOCK))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name] * len(blocks), pa.string()),
+                    pa.array([detector] * len(blocks), pa.string()),
                     pa.array(range(len(blocks)), pa.int32()),
                     pa.array([n] * len(blocks), pa.int64()),
                     pa.array(blocks, pa.list_(pa.float64())),
                 ],
-                names=["model", "block", "n", "data"],
+                names=["model", "detector", "block", "n", "data"],
             )
 
-    parts = batches.select("model", "batch", "embedding").mapInArrow(
-        partial, "model string, block int, n long, data array<double>"
+    parts = batches.select("lane", "model", "batch", "embedding").mapInArrow(
+        partial, "model string, detector string, block int, n long, data array<double>"
     )
-    summed = parts.groupBy("model", "block").agg(
+    summed = parts.groupBy("model", "detector", "block").agg(
         F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("data"))).alias("data")
     )
     # model-sized: one row a block of parameters, bounded by MAX_DRIVER_BYTES
-    table = summed.toArrow().combine_chunks().sort_by([("model", "ascending"), ("block", "ascending")])
+    order = [("model", "ascending"), ("detector", "ascending"), ("block", "ascending")]
+    table = summed.toArrow().combine_chunks().sort_by(order)
     shared.destroy()
     found: dict = {}
-    for name, n, data in zip(table["model"].to_pylist(), table["n"].to_pylist(), table["data"]):
-        found.setdefault(name, []).append(data.values.to_numpy() / n)
+    for model, detector, n, data in zip(*(table[c].to_pylist() for c in ("model", "detector", "n")), table["data"]):
+        found.setdefault((model, detector), []).append(data.values.to_numpy() / n)
     for name, blocks in found.items():
-        yield name, *unflatten(spec, models[name], np.concatenate(blocks))
+        yield name, *unflatten(*models[name], np.concatenate(blocks))
 
 
 def unflatten(spec: DetectorSpec, params: dict, flat: np.ndarray) -> tuple[dict, dict]:

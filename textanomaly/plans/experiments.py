@@ -6,6 +6,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textanomaly.detectors import spec as detectors
 from textanomaly.detectors.spec import DetectorSpec
@@ -14,7 +15,10 @@ from textanomaly.operators.contaminate import contaminate, draw_inliers, paired_
 from textanomaly.operators.corpus import eligible_inliers
 from textanomaly.operators.fit import MAX_GROUP_ROWS, detectors_per_task, fit_and_score
 from textanomaly.operators.metrics import ranking_metrics
+from textanomaly.plans import ledger
+from textanomaly.plans.prepare import contents
 from textanomaly.session import broadcast_if_small, settle
+from textanomaly.sources.corpus import fingerprint, save_results, stage_path
 
 GROUP = ["run", "inlier"]
 
@@ -109,17 +113,56 @@ def group_bound(split_size: int = 1000, **_) -> int | None:
     return None if 2 * (split_size + 1) <= MAX_GROUP_ROWS else MAX_GROUP_ROWS
 
 
-def grid_scores(corpus, hierarchy, mode, nu, specs, tasks, start, split_options) -> tuple[DataFrame, int | None]:
-    """Scores of all detectors on all groups, computed once, and the bound above which groups are counted."""
+def grid_scores(
+    corpus: DataFrame,
+    hierarchy: DataFrame | None,
+    mode: str,
+    nu: float,
+    specs: list[DetectorSpec],
+    tasks: int | None = None,
+    start: dict[str, dict] | None = None,
+    split_options: dict | None = None,
+    store: str | None = None,
+    commit_cells: int = ledger.COMMIT_CELLS,
+    commits: int | None = None,
+) -> tuple[DataFrame, int | None]:
+    """Scores of all detectors on all groups, computed once, and the bound above which groups are counted.
+
+    With ``store`` (``grid_path``) scores are kept there by cell, and only cells that it lacks are fitted; ``commits``
+    stops after so many blocks of cells and gives the scores up to there.
+    """
+    split_options = split_options or {}
     inliers = drawn_inliers(corpus, hierarchy, mode, **split_options)
     rows = splits(corpus, hierarchy, mode, nu=nu, inliers=inliers, **split_options)
     bound = group_bound(**split_options)
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    per_task = detectors_per_task(len(specs), inliers.count(), cores)
-    scores = fit_and_score(
-        rows, specs, GROUP, ["y"], per_task=per_task, tasks=tasks, max_group_rows=bound, start=start
-    )
-    return settle(scores), bound
+    options = {"tasks": tasks, "max_group_rows": bound, "start": start}
+    if store is None:
+        cores = corpus.sparkSession.sparkContext.defaultParallelism
+        per_task = detectors_per_task(len(specs), inliers.count(), cores)
+        return settle(fit_and_score(rows, specs, GROUP, ["y"], per_task=per_task, **options)), bound
+    wanted = settle(ledger.cells(inliers, specs))
+    ledger.fill(lambda: rows, wanted, specs, store, ["y"], commit_cells, commits, **options)
+    columns = [*[rows.schema[c] for c in (*GROUP, "split", "doc_id", "y")]]
+    schema = T.StructType([*columns, T.StructField("detector_id", T.StringType()), T.StructField("score", T.DoubleType())])
+    return ledger.scores(wanted, store, schema), bound
+
+
+def grid_path(corpus, hierarchy, mode, nu, start, split_options, folder: str) -> str:
+    """The folder of a grid's cells: another corpus, split or set of starting weights has another one."""
+    settings = {
+        "corpus": contents(corpus), "hierarchy": None if hierarchy is None else contents(hierarchy), "mode": mode, "nu": nu,
+        "start": ledger.weights_digest(start), **split_options,
+    }
+    return stage_path(folder, settings)
+
+
+def kept(results: DataFrame, path: str | None, *settings) -> DataFrame:
+    """Results written by run next to the cells they come from, and read again."""
+    if path is None:
+        return results
+    target = f"{path}/results-{fingerprint({'settings': settings})}"
+    save_results(results, target)
+    return results.sparkSession.read.schema(results.schema).parquet(target).select(*results.columns)
 
 
 def described(results: DataFrame, embedding: str, nu: float, mode: str) -> DataFrame:
@@ -146,6 +189,7 @@ def benchmark(
     specs: list[DetectorSpec] | None = None,
     tasks: int | None = None,
     start: dict[str, dict] | None = None,
+    store: str | None = None,
     **split_options,
 ) -> DataFrame:
     """ROC-AUC and average precision of every model, run and inlier class.
@@ -153,10 +197,12 @@ def benchmark(
     ``corpus(doc_id, label, split, embedding)``. Detectors named ``ens-*`` form
     the ensemble ``ens``; the others are models of their own. Groups are bounded
     by the split size, so each is fitted, scored and ranked within a task. ``start``
-    has the weights by detector that training begins at.
+    has the weights by detector that training begins at. In the folder ``store`` scores
+    are kept by cell and results by run, so a grid that was stopped fits only what is missing.
     """
     specs = specs or benchmark_specs()
-    scores, bound = grid_scores(corpus, hierarchy, mode, nu, specs, tasks, start, split_options)
+    path = store and grid_path(corpus, hierarchy, mode, nu, start, split_options, store)
+    scores, bound = grid_scores(corpus, hierarchy, mode, nu, specs, tasks, start, split_options, path)
     member = F.col("detector_id").startswith("ens-")
     tested = scores.where(F.col("split") == "test")
     single = tested.where(~member).withColumnRenamed("detector_id", "model")
@@ -166,7 +212,8 @@ def benchmark(
     combined = ensemble.combine(scaled, [*GROUP, "doc_id", "y"], combination).withColumn("model", F.lit("ens"))
     columns = [*GROUP, "model", "y", "score"]
     together = single.select(*columns).unionByName(combined.select(*columns))
-    return described(ranking_metrics(together, [*GROUP, "model"], ranges=1 if bound is None else None), embedding, nu, mode)
+    results = ranking_metrics(together, [*GROUP, "model"], ranges=1 if bound is None else None)
+    return kept(described(results, embedding, nu, mode), path, embedding, combination, [s.to_json() for s in specs])
 
 
 def spec_table(spark: SparkSession, specs: list[DetectorSpec]) -> DataFrame:
@@ -193,15 +240,18 @@ def ablation(
     seed: int = 0,
     tasks: int | None = None,
     start: dict[str, dict] | None = None,
+    store: str | None = None,
     **split_options,
 ) -> DataFrame:
     """Metrics of every detector of a grid; ``ensemble`` adds sub-ensembles of growing size.
 
     Each detector is fitted and scored once; sub-ensembles are drawn from those scores. ``start`` has the weights
-    by detector that training begins at.
+    by detector that training begins at, ``store`` the folder where scores and results are kept, as in ``benchmark``.
     """
     specs = specs or ablation_specs(study)
-    scores, bound = grid_scores(corpus, hierarchy, mode, nu, specs, tasks, start, {"seed": seed, **split_options})
+    split_options = {"seed": seed, **split_options}
+    path = store and grid_path(corpus, hierarchy, mode, nu, start, split_options, store)
+    scores, bound = grid_scores(corpus, hierarchy, mode, nu, specs, tasks, start, split_options, path)
     tested = scores.where(F.col("split") == "test")
     each = ranking_metrics(tested, [*GROUP, "detector_id"], ranges=1 if bound is None else None)
     grid = spec_table(corpus.sparkSession, specs)
@@ -233,4 +283,4 @@ def ablation(
             F.lit(first.latent_dim).alias("latent"),
         )
         results = results.unionByName(curve)
-    return described(results, embedding, nu, mode)
+    return kept(described(results, embedding, nu, mode), path, embedding, study, sizes, [s.to_json() for s in specs])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -16,8 +17,11 @@ from textanomaly.operators.score import score
 from textanomaly.plans import experiments
 from textanomaly.queries import detect
 from textanomaly.queries.evaluate import metrics_sql
-from textanomaly.queries.shared import CORPUS, DIM, HIERARCHY, SEED, bits_sql, order_sql, rounded, vector_corpus, vector_hierarchy
+from textanomaly.queries.shared import (
+    CORPUS, DIM, HIERARCHY, SEED, bits_sql, order_sql, rounded, scratch, vector_corpus, vector_hierarchy,
+)
 from textanomaly.queries.splits import MIN_SIZE, NU, split_sql
+from textanomaly.session import settle
 
 WIDTH, LATENT = 3, 2
 BIAS = (0.05, -0.05, 0.1)
@@ -134,6 +138,57 @@ def benchmark(spark, folder):
     return results.withColumns(rounded("auc", "ap"))
 
 
+def halfway(spark, folder):
+    """A store where the benchmark was stopped after some of its blocks of cells, and what it takes to go on."""
+    corpus, specs = vector_corpus(spark, folder), grid_specs()
+    start = {s.detector_id: weights(s) for s in specs}
+    hierarchy = vector_hierarchy(corpus)
+    store = scratch(spark, f"grid-{uuid.uuid4().hex}")
+    path = experiments.grid_path(corpus, hierarchy, "contextual", NU, start, GRID, store)
+    args = (corpus, hierarchy, "contextual", NU, specs, None, start, GRID, path)
+    scores, _ = experiments.grid_scores(*args, commit_cells=100, commits=2)
+    return store, path, args, scores
+
+
+def benchmark_restarted(spark, folder):
+    """The benchmark stopped after two blocks of cells and started again; results are read from where they are kept."""
+    store, _, (corpus, hierarchy, mode, nu, specs, _, start, options, _), _ = halfway(spark, folder)
+    results = experiments.benchmark(corpus, hierarchy, mode, nu, "given", specs=specs, start=start, store=store, **options)
+    return results.withColumns(rounded("auc", "ap"))
+
+
+def grid_ledger(spark, folder):
+    """Cells with scores when the grid was stopped, at its end, and those fitted more than once."""
+    _, path, args, scores = halfway(spark, folder)
+    cell = ["run", "inlier", "detector_id"]
+    first = settle(scores.select(*cell).distinct())
+    whole, _ = experiments.grid_scores(*args)
+    held = spark.read.parquet(f"{path}/ledger").groupBy(*cell).agg(F.count(F.lit(1)).alias("times"))
+    done = whole.select(*cell).distinct().join(held, cell, "left").join(first.withColumn("early", F.lit(1)), cell, "left")
+    return done.groupBy("detector_id").agg(
+        F.count(F.lit(1)).alias("cells"), (F.sum("early") < F.count(F.lit(1))).alias("some_missing"),
+        F.sum(F.coalesce("times", F.lit(0)) - 1).alias("repeated"),
+    )
+
+
+def fit_many(spark, folder):
+    """Weights that differ between a fit in one task and one by all tasks, for detectors of all shapes in the same jobs."""
+    corpus = vector_corpus(spark, folder).where("split = 'train'")
+    small = {"epochs": 2, "batch_size": 64, "batches_per_step": 2, "activation": "tanh", "batchnorm": False, "dropout_rate": 0.1}
+    specs = [make(f"{make.__name__}-{a}-{b}", hidden_dims=(a, b), **small) for make in (detectors.base, detectors.pruned) for a in (16, 12) for b in (8, 6)]
+    specs += [
+        make(f"{make.__name__}-{a}-{n}", hidden_dims=(a, 6), latent_dim=n, **small)
+        for make in (detectors.rsr, detectors.lne) for a in (16, 12, 8) for n in (2, 3, 4)
+    ]
+    one, many = (
+        fit_detectors(corpus, specs, [], max_group_rows=bound).select("detector_id", "name", "data") for bound in (None, 0)
+    )
+    gaps = F.zip_with("data", F.col("other"), lambda a, b: F.coalesce(F.abs(a - b), F.lit(1.0)))
+    apart = F.size(F.filter(gaps, lambda gap: gap > 1e-4))
+    both = one.join(many.withColumnRenamed("data", "other"), ["detector_id", "name"], "full")
+    return both.groupBy("detector_id").agg(F.sum(F.coalesce(apart, F.lit(1))).alias("differing"))
+
+
 def benchmark_summary(spark, folder):
     return summary(benchmark(spark, folder)).withColumns(rounded("auc", "ap", digits=5))
 
@@ -300,6 +355,9 @@ QUERIES = {
     **{f"score_joined_{family}": score_fixed(family, max_model_bytes=0) for family in ("base", "rsr", "lne")},
     "benchmark_fixed": benchmark,
     "benchmark_fixed_summary": benchmark_summary,
+    "benchmark_restarted": benchmark_restarted,
+    "grid_ledger": grid_ledger,
+    "fit_many": fit_many,
     "ablation_fixed": ablation,
 }
 
@@ -310,12 +368,21 @@ SCORED = {
 select h.doc_id, detector_id, round({distance_sql(code_sql('g'), LATENT)}, 4) as score
 from hidden h join sums s on h.doc_id = s.doc_id""",
 }
+FIXED = f"{BENCHMARK} select model, round(auc, 6) as auc, round(ap, 6) as ap, {TOLD}, run, inlier from ranked"
 ORACLES = {
     **{f"fit_step_{family}": step_sql(family) for family in STEPS},
     **{name.replace("fit_", "fit_shapes_"): shapes_sql(name) for name in detect.SPECS},
     **{f"score_fixed_{family}": SCORED[family] for family in ("rsr", "lne")},
     **{f"score_joined_{family}": SCORED[family] for family in ("base", "rsr", "lne")},
-    "benchmark_fixed": f"""{BENCHMARK} select model, round(auc, 6) as auc, round(ap, 6) as ap, {TOLD}, run, inlier from ranked""",
+    "benchmark_fixed": FIXED,
+    "benchmark_restarted": FIXED,
+    "grid_ledger": f"""with {CORPUS}, {HIERARCHY}, {GRID_SPLIT}
+select unnest({[s.detector_id for s in grid_specs()]}) as detector_id,
+  (select count(*) from (select distinct run, inlier from chosen)) as cells, true as some_missing, 0::bigint as repeated""",
+    "fit_many": """select f || '-' || a || '-' || b as detector_id, 0::bigint as differing
+from (values ('base'), ('pruned')) as x(f), (values (16), (12)) as y(a), (values (8), (6)) as z(b)
+union all select f || '-' || a || '-' || b, 0
+from (values ('rsr'), ('lne')) as x(f), (values (16), (12), (8)) as y(a), (values (2), (3), (4)) as z(b)""",
     "benchmark_fixed_summary": f"""{BENCHMARK} select model, round(avg(round(auc, 6)), 5) as auc, round(avg(round(ap, 6)), 5) as ap
 from ranked group by model""",
     "ablation_fixed": f"""{PLACED}, {near_scores_sql([(f'k-{k}', k) for k in STUDY])},

@@ -8,7 +8,7 @@ from textanomaly.operators import contaminate as tac
 from textanomaly.operators import corpus as ops
 from textanomaly.queries.shared import CORPUS, HIERARCHY, SEED, labelled_documents, order_sql, vector_corpus, vector_hierarchy
 
-RUNS, CLASSES, NU, SIZE, MIN_SIZE = 3, 6, 0.1, 20, 15
+RUNS, CLASSES, NU, SIZE, MIN_SIZE = 10, 40, 0.1, 1000, 15
 
 
 def document_hierarchy(docs):
@@ -119,6 +119,7 @@ QUERIES = {
     "contaminate_independent": contaminate("independent"),
     "contaminate_contextual": contaminate("contextual"),
     "contaminate_flat": contaminate("independent", nested=False),
+    "contaminate_cut": contaminate("contextual", size=20),
     "contaminate_heavy": contaminate("contextual", size=350, nu=1.0),
     "contaminate_none": contaminate("independent", size=350, nu=0.0),
     "contaminate_paired": paired,
@@ -137,6 +138,7 @@ group by label having count(*) >= 50""",
     "contaminate_independent": full_sql("independent"),
     "contaminate_contextual": full_sql("contextual"),
     "contaminate_flat": full_sql("independent", hierarchy=FLAT),
+    "contaminate_cut": full_sql("contextual", size=20),
     "contaminate_heavy": full_sql("contextual", size=350, nu=1.0),
     "contaminate_none": full_sql("independent", size=350, nu=0.0),
     "contaminate_paired": full_sql("contextual", corpus=TRAIN_ONLY),

@@ -74,10 +74,15 @@ def stage_path(path: str, settings: dict) -> str:
     return f"{path.rstrip('/')}/{fingerprint(settings)}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at ``path``, on any file system Spark reaches."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a finished write lies at ``path``, on any file system Spark reaches."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    """Whether a finished write lies at ``path``."""
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def cached(spark: SparkSession, build: Callable[[], DataFrame], path: str, settings: dict) -> DataFrame:
@@ -92,7 +97,12 @@ def cached(spark: SparkSession, build: Callable[[], DataFrame], path: str, setti
     return spark.read.parquet(target)
 
 
+def write_partitions(df: DataFrame, path: str, column: str) -> None:
+    """Write ``df`` by ``column``; partitions already stored and not in ``df`` stay."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(column).parquet(path)
+
+
 def save_results(results: DataFrame, path: str) -> None:
     """Write results by run; runs already stored and not in ``results`` stay."""
-    writer = results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("run").parquet(path)
+    write_partitions(results, path, "run")
