@@ -237,3 +237,23 @@ def test_pooling_paths_agree_on_repeated_tokens_doubles_and_capitals(spark):
         for result in got:
             assert np.allclose(result[1], first) and result[2] == result[3] == [0, 0]
             assert np.allclose(result[4], [120000, 12000] if how == "sum" else [3.0, 0.3])
+
+
+def test_the_sketch_keeps_what_most_texts_hold(spark):
+    texts = spark.createDataFrame([(["the", "a", "the", f"w{i}", f"x{i % 50}"],) for i in range(400)] + [(None,), ([],)], "tokens array<string>")
+    whole = {r["token"]: r["texts"] for r in embed.frequent_tokens(texts.repartition(3), "tokens").collect()}
+    assert whole["the"] == whole["a"] == 400 and whole["x3"] == 8 and len(whole) == 452
+    few = {r["token"]: r["texts"] for r in embed.frequent_tokens(texts.repartition(3), "tokens", 8).collect()}
+    assert len(few) <= 24 and all(whole[t] >= n for t, n in few.items()) and min(few["the"], few["a"]) > 100
+
+
+@pytest.mark.parametrize("how", ["mean", "max", "sum"])
+@pytest.mark.parametrize("oov", ["zero", "skip"])
+def test_heavy_tokens_do_not_change_a_join(spark, how, oov):
+    vectors = spark.createDataFrame([("the", [1.0, 2.0]), ("cat", [3.0, -4.0]), ("sat", [-1.0, -1.0])], "token string, vector array<float>")
+    docs = spark.createDataFrame(
+        [(1, "the The cat xx the"), (2, "xx yy"), (3, ""), (4, None), (5, "sat sat cat"), (6, "the the")], "doc_id long, text string"
+    )
+    show = lambda **o: {r["doc_id"]: np.round(r["embedding"], 9).tolist() for r in embed.pool_by_join(docs, vectors, 2, how, oov, "whitespace", **o).collect()}
+    want = {r["doc_id"]: np.round(r["embedding"], 9).tolist() for r in embed.pool_word_vectors(docs, vectors, 2, how, oov, "whitespace").collect()}
+    assert show() == want and show(heavy_bytes=16) == want and show(heavy_bytes=32) == want

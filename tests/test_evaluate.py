@@ -174,3 +174,11 @@ def test_summary(spark):
     rows = [("a", 0.5, 0.1), ("a", 1.0, 0.3), ("b", None, 0.2)]
     out = metrics.summary(spark.createDataFrame(rows, "model string, auc double, ap double"))
     assert {tuple(r) for r in out.collect()} == {("a", 0.75, 0.2), ("b", None, 0.2)}
+
+
+def test_detectors_a_row_lacks_do_not_count(spark):
+    z = spark.createDataFrame([(1, "a", 1.0), (1, "b", 5.0), (2, "b", 7.0)], "doc_id int, detector_id string, z double")
+    draws = spark.createDataFrame([(2, 0, "a"), (2, 1, "a"), (3, 0, "a"), (3, 1, "b"), (3, 2, "b")], "draw int, slot int, detector_id string")
+    for how, want in (("median", [1.0, 5.0, None, 7.0]), ("average", [1.0, 11 / 3, None, 7.0]), ("maximisation", [1.0, 5.0, None, 7.0])):
+        rows = ensemble.sub_ensemble(z, ["doc_id"], draws, how).orderBy("doc_id", "draw").collect()
+        assert [r["score"] for r in rows] == want

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textanomaly.functions import text as text_functions
-from textanomaly.session import measured_bytes
+from textanomaly.session import measured_bytes, settle
 
 # A Python worker keeps its own copy of a broadcast vocabulary.
 MAX_VOCABULARY_BYTES = 512 << 20
 
+# Vectors of the tokens that most texts hold, in a join; counters of a task's sketch.
+HEAVY_BYTES, HEAVY_SLOTS = 4 << 20, 1 << 12
+
 # so many tokens are added up at a time
 BLOCK_TOKENS = 1 << 14
 
@@ -135,6 +138,44 @@ def _pool_in_place(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carr
     return texts.mapInArrow(pool, schema)
 
 
+def frequent_tokens(texts: DataFrame, tokens: str, slots: int = HEAVY_SLOTS) -> DataFrame:
+    """(token, texts): candidates for the tokens that most texts hold, with a lower bound of how many do.
+
+    Every task keeps at most ``slots`` counters: when there are more, the largest count that does not fit is taken from
+    all of them. A token that more than one in ``slots`` of the texts holds is never lost, and sketches add up.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+        for batch in batches:
+            words, _, codes, _ = _counted_tokens(batch.column(0))
+            for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
+                held[word] = held.get(word, 0) + n
+            if len(held) > slots:
+                least = sorted(held.values(), reverse=True)[slots]
+                held = {word: n - least for word, n in held.items() if n > least}
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "texts"])
+
+    return texts.select(tokens).mapInArrow(sketch, "token string, texts long").groupBy("token").agg(F.sum("texts").alias("texts"))
+
+
+def _counted_tokens(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of a batch; and row, token's number and count of every token that a row holds."""
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    pairs, counts = np.unique(rows * max(len(words), 1) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return words, pairs // max(len(words), 1), pairs % max(len(words), 1), counts
+
+
+def _looked_up(tokens: DataFrame, vectors: DataFrame, tokenizer: str) -> DataFrame:
+    """(token, vector) of the distinct tokens that are known in some form, the first that is."""
+    forms = F.array(F.col("token"), *[form(F.col("token")) for form in FALLBACKS[tokenizer]])
+    tried = tokens.select("token", F.posexplode(forms).alias("place", "form"))
+    by_form = one_vector_a_token(vectors).withColumnRenamed("token", "form")
+    return tried.join(by_form, "form").groupBy("token").agg(F.min_by("vector", "place").alias("vector"))
+
+
 def pool_by_join(
     df: DataFrame,
     vectors: DataFrame,
@@ -145,39 +186,73 @@ def pool_by_join(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: list[str] | None = None,
+    heavy_bytes: int = HEAVY_BYTES,
 ) -> DataFrame:
     """The same pooling as a join on the token, for vocabularies of any size.
 
-    Tokens are counted per text before the join, so a frequent word costs one
-    row a text; a word found in most texts is a skewed join key, which adaptive
-    execution splits. Other forms are tried on the distinct tokens only.
+    The tokens that most texts hold are found by a sketch, and as many of their
+    vectors as ``heavy_bytes`` take are broadcast: they are added up where texts
+    are read, so no frequent word crosses a shuffle or makes a skewed key. The
+    other tokens are counted per text, joined with their vectors, and both parts
+    of a text's sum are added. Other forms are tried on distinct tokens only.
     """
-    tokens = TOKENIZERS[tokenizer](F.col(text_col))
-    counted = (
-        df.where(F.col(text_col).isNotNull())
-        .select(id_col, F.explode(tokens).alias("token"))
-        .groupBy(id_col, "token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    forms = F.array(F.col("token"), *[form(F.col("token")) for form in FALLBACKS[tokenizer]])
-    tried = counted.select("token").distinct().select("token", F.posexplode(forms).alias("place", "form"))
-    by_form = one_vector_a_token(vectors).withColumnRenamed("token", "form")
-    known = tried.join(by_form, "form").groupBy("token").agg(F.min_by("vector", "place").alias("vector"))
-    found = counted.join(known, "token", "left")
-    if oov == "skip":
+    texts = df.where(F.col(text_col).isNotNull()).select(id_col, TOKENIZERS[tokenizer](F.col(text_col)).alias("tokens"))
+    most = max(1, min(HEAVY_SLOTS // 2, heavy_bytes // (8 * dim)))
+    heavy = settle(frequent_tokens(texts, "tokens").orderBy(F.desc("texts"), "token").limit(most))
+    known = {r["token"]: r["vector"] for r in _looked_up(heavy.select("token"), vectors, tokenizer).collect()}  # heavy_bytes
+    names = [r["token"] for r in heavy.select("token").toLocalIterator()]
+    table = np.array([known.get(name) or [0.0] * dim for name in names], np.float64).reshape(len(names), dim)
+    shared = df.sparkSession.sparkContext.broadcast((names, np.array([name in known for name in names], bool), table))
+    skip, add = oov == "skip", np.maximum if how == "max" else np.add
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, has_vector, values = shared.value
+        index = {name: i for i, name in enumerate(listed)}
+        for batch in batches:
+            words, rows, codes, counts = _counted_tokens(batch.column(1))
+            place = np.array([index.get(word, -1) for word in words], np.int64)[codes] if words else codes
+            own, n = batch.num_rows, np.where(place >= 0, counts, 0)
+            inside = place >= 0
+            if skip:
+                inside &= has_vector[np.maximum(place, 0)] if len(listed) else False
+            pooled = np.full((own, dim), -np.inf if how == "max" else 0.0)
+            at, found = rows[inside], place[inside]
+            for start in range(0, len(at), BLOCK_TOKENS):
+                stop = start + BLOCK_TOKENS
+                block = values[found[start:stop]] * (1 if how == "max" else counts[inside][start:stop, None])
+                starts = np.flatnonzero(np.diff(at[start:stop], prepend=-1))
+                pooled[at[start:stop][starts]] = add(pooled[at[start:stop][starts]], add.reduceat(block, starts))
+            n = np.bincount(at, counts[inside], own).astype(np.int64)
+            rest = place < 0
+            offsets = pa.array(np.searchsorted(rows[rest], np.arange(own + 1)), pa.int32())
+            left = pa.array(words, pa.string()).take(pa.array(codes[rest]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(own + 1) * dim, pa.int32()), pa.array(pooled.ravel())),
+                    pa.array(n), pa.ListArray.from_arrays(offsets, left), pa.ListArray.from_arrays(offsets, pa.array(counts[rest])),
+                ],
+                names=[id_col, "vector", "n", "tokens", "counts"],
+            )
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, vector array<double>, n long, tokens array<string>, counts array<long>"
+    parts = settle(texts.mapInArrow(part, schema))
+    tail = parts.select(id_col, F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
+    tail = tail.select(id_col, F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
+    found = tail.join(_looked_up(tail.select("token").distinct(), vectors, tokenizer), "token", "left")
+    if skip:
         found = found.where(F.col("vector").isNotNull())
     zero = F.array_repeat(F.lit(0.0), dim)
-    vector = array_to_vector(F.coalesce(F.col("vector"), zero))
-    weight = F.col("n").cast("double")
-    if how == "max":
-        pooled = Summarizer.max(vector)
-    elif how == "sum":
-        pooled = Summarizer.sum(vector, weight)
-    else:
-        pooled = Summarizer.mean(vector, weight)
-    result = found.groupBy(id_col).agg(vector_to_array(pooled).alias("embedding"))
+    found = found.select(id_col, F.coalesce("vector", zero).alias("vector"), F.col("n").cast("double").alias("weight"), "n")
+    # a text's heavy part is one vector, added up already
+    both = found.unionByName(parts.where("n > 0").select(id_col, "vector", F.lit(1.0).alias("weight"), "n"))
+    vector = array_to_vector("vector")
+    pooled = Summarizer.max(vector) if how == "max" else Summarizer.sum(vector, F.col("weight"))
+    result = both.groupBy(id_col).agg(vector_to_array(pooled).alias("embedding"), F.sum("n").alias("n"))
+    if how == "mean":
+        result = result.withColumn("embedding", F.transform("embedding", lambda v: v / F.col("n")))
     every = df.where(F.col(text_col).isNotNull()).select(id_col, *(carry or []))
-    return every.join(result, id_col, "left").withColumn("embedding", F.coalesce("embedding", zero))
+    return every.join(result.drop("n"), id_col, "left").withColumn("embedding", F.coalesce("embedding", zero))
 
 
 def embed_with(

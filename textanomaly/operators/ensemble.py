@@ -6,11 +6,13 @@ Scores are long tables ``(*keys, doc_id, detector_id, score)``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,13 +56,6 @@ def combine(scores: DataFrame, rows: list[str], how: str = "median", value: str
     return scores.groupBy(*rows).agg(merged.alias("score"))
 
 
-def array_median(values: Column) -> Column:
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return (F.get(ordered, low) + F.get(ordered, high)) / 2
-
-
 def draw_detectors(scores: DataFrame, sizes: list[int], seed: int = 0) -> DataFrame:
     """``draws(draw, slot, detector_id)``: for every size n, n detectors with replacement.
 
@@ -85,24 +80,62 @@ def sub_ensemble(
     """Scores of sub-ensembles drawn with replacement, without scoring anything again.
 
     ``draws(draw, slot, detector_id)`` lists each draw's detectors; a detector
-    drawn twice counts twice. Standardised scores do not depend on a draw, so a
-    row's scores are gathered once (as wide as the ensemble) and every draw is
-    read from that array.
+    drawn twice counts twice, one that a row has no score of doesn't count (a draw
+    of such ones only is null). A row's scores are gathered once and sorted once;
+    every draw is a list of how often each detector counts, and its median is where
+    those numbers, added up in the order of the scores, pass the middle.
     """
-    held = z_scores.groupBy(*rows).agg(
-        F.map_from_entries(F.collect_list(F.struct("detector_id", "z"))).alias("by_detector")
-    )
-    listed = draws.groupBy("draw").agg(F.collect_list("detector_id").alias("members"))
-    plans = small_side(listed).agg(F.collect_list(F.struct("draw", "members"))).scalar()
-    expanded = held.withColumn("plan", F.explode(plans))
-    picked = F.transform("plan.members", lambda d: F.element_at(F.col("by_detector"), d))
+    drawn = draws.groupBy("draw", "detector_id").agg(F.count(F.lit(1)).alias("times")).collect()  # as many as settings name
+    names, numbers = sorted({r["draw"] for r in drawn}), {d: i for i, d in enumerate(sorted({r["detector_id"] for r in drawn}))}
+    times = np.zeros((len(names), len(numbers)), np.int64)
+    for r in drawn:
+        times[names.index(r["draw"]), numbers[r["detector_id"]]] = r["times"]
+    listed = z_scores.sparkSession.createDataFrame(list(numbers.items()), T.StructType([z_scores.schema["detector_id"], T.StructField("at", T.IntegerType())]))
+    placed = z_scores.select(*rows, "detector_id", "z").join(F.broadcast(listed), "detector_id")
+    held = placed.groupBy(*rows).agg(F.collect_list("at").alias("at"), F.collect_list("z").alias("z"))
+    schema = T.StructType([*[held.schema[c] for c in rows], draws.schema["draw"], T.StructField("score", T.DoubleType())])
+    kind = {"int": pa.int32(), "bigint": pa.int64()}.get(draws.schema["draw"].dataType.simpleString())
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            lengths = batch.column("at").value_lengths().to_numpy(zero_copy_only=False)
+            z = np.full((n, len(numbers)), np.nan)
+            z[np.repeat(np.arange(n), lengths), batch.column("at").flatten().to_numpy(zero_copy_only=False)] = (
+                batch.column("z").flatten().to_numpy(zero_copy_only=False)
+            )
+            scores = np.stack([drawn_scores(own, how) for own in _in_order(z, times)], axis=1) if n else np.zeros((0, len(names)))
+            again = pa.array(np.repeat(np.arange(n), len(names)))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(again) for c in rows], pa.array(np.tile(names, n), kind), pa.array(scores.ravel(), from_pandas=True)],
+                names=[*rows, "draw", "score"],
+            )
+
+    return held.mapInArrow(merged, schema)
+
+
+def _in_order(z: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Scores of every row in order, and for each draw how often each counts; missing ones are last and don't count."""
+    order = np.argsort(z, axis=1)
+    ordered = np.take_along_axis(z, order, axis=1)
+    there = ~np.isnan(ordered)
+    for own in times:
+        yield ordered, own[order] * there
+
+
+def drawn_scores(own: tuple[np.ndarray, np.ndarray], how: str) -> np.ndarray:
+    """A draw's score of every row."""
+    ordered, times = own
+    total = times.sum(axis=1)
+    rows = np.arange(len(ordered))
     if how == "average":
-        merged = F.aggregate(picked, F.lit(0.0), lambda a, v: a + v) / F.size(picked)
-    elif how == "maximisation":
-        merged = F.array_max(picked)
-    else:
-        merged = array_median(picked)
-    return expanded.select(*rows, F.col("plan.draw").alias("draw"), merged.alias("score"))
+        merged = np.where(times > 0, ordered, 0) * times
+        return np.where(total > 0, merged.sum(axis=1) / np.maximum(total, 1), np.nan)
+    if how == "maximisation":
+        return np.where(total > 0, np.where(times > 0, ordered, -np.inf).max(axis=1), np.nan)
+    passed = np.cumsum(times, axis=1)
+    low, high = (np.argmax(passed > middle[:, None], axis=1) for middle in ((total - 1) // 2, total // 2))
+    return np.where(total > 0, (ordered[rows, low] + ordered[rows, high]) / 2, np.nan)
 
 
 def threshold(

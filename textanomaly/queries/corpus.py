@@ -65,11 +65,11 @@ def word_vectors(docs):
     return words.where(size != 3).select("token", F.array(*[v.cast("float") for v in values]).alias("vector"))
 
 
-def pooled(how, oov="zero", joined=False, tokenizer="basic_english"):
+def pooled(how, oov="zero", joined=False, tokenizer="basic_english", **options):
     def query(spark, folder):
         docs = texts(spark, folder)
         pool = embed.pool_by_join if joined else embed.pool_word_vectors
-        result = pool(docs, settle(word_vectors(docs)), 4, how, oov, tokenizer)
+        result = pool(docs, settle(word_vectors(docs)), 4, how, oov, tokenizer, **options)
         return result.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 5).alias(f"v{i}") for i in range(4)])
 
     return query
@@ -178,6 +178,8 @@ QUERIES = {
     "pool_skip_oov": pooled("mean", "skip"),
     "pool_mean_joined": pooled("mean", joined=True),
     "pool_max_joined": pooled("max", "skip", joined=True),
+    "pool_sum_few_heavy": pooled("sum", joined=True, heavy_bytes=32 * 50),
+    "pool_skip_few_heavy": pooled("mean", "skip", joined=True, heavy_bytes=32 * 50),
     "pool_sentence": pooled("mean", "skip", tokenizer="sentence"),
     "pool_sentence_joined": pooled("mean", "skip", joined=True, tokenizer="sentence"),
     "pool_lowercase": pooled("mean", "skip", tokenizer="whitespace"),
@@ -206,6 +208,8 @@ order by {order_sql(f"'{SEED}'", 'doc_id::varchar')}, doc_id) as k from document
     "pool_skip_oov": pool_sql("mean", "skip"),
     "pool_mean_joined": pool_sql("mean"),
     "pool_max_joined": pool_sql("max", "skip"),
+    "pool_sum_few_heavy": pool_sql("sum"),
+    "pool_skip_few_heavy": pool_sql("mean", "skip"),
     "pool_sentence": forms_sql(2),
     "pool_sentence_joined": forms_sql(2),
     "pool_lowercase": forms_sql(1),

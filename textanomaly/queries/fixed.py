@@ -54,6 +54,8 @@ STEPS = {
     "base": detectors.base("base", **STEP),
     "masked": detectors.masked("masked", **STEP),
     "rsr": detectors.rsr("rsr", latent_dim=LATENT, **STEP),
+    "pruned": detectors.pruned("pruned", **STEP),
+    "lne": detectors.lne("lne", latent_dim=LATENT, n_neighbors=NEAR, **{**STEP, "robust": True}),
 }
 
 
@@ -244,32 +246,46 @@ def distance_sql(latent: str, width: int, masked: bool = False) -> str:
 
 
 def step_sql(family: str) -> str:
-    masked, robust = family == "masked", family == "rsr"
+    masked, robust, local = family in ("masked", "pruned"), family in ("rsr", "lne"), family == "lne"
     width = LATENT if robust else WIDTH
     spec = STEPS[family]
+    weight = spec.lambda1 + (spec.local_weight if local else 0)
+    # neighbours' hidden units are added up; what comes back goes to every row that was a neighbour
+    source, returned = ("g", "s") if local else ("h", "dz")
     dy = each(f"2 * (y[i] - x[i]) / (n * {1 if robust else DIM}) * (1 - y[i] * y[i])")
     back = [f"list_sum({each('dy[i] * ' + half('i - 1', str(q), masked))})" for q in range(width)]
     gaps = [f"2 * (h[{q + 1}] - {added(f'z[{p + 1}] * {CODE[q, p]}' for p in range(LATENT))}) / n" for q in range(WIDTH)]
     if robust:
-        back = [b + f" - {spec.lambda1} * {added(f'gap[{q + 1}] * {CODE[q, p]}' for q in range(WIDTH))}" for p, b in enumerate(back)]
-        hidden = [f"{spec.lambda1} * gap[{q + 1}] + {added(f'dz[{p + 1}] * {CODE[q, p]}' for p in range(LATENT))}" for q in range(WIDTH)]
+        back = [b + f" - {weight} * {added(f'gap[{q + 1}] * {CODE[q, p]}' for q in range(WIDTH))}" for p, b in enumerate(back)]
+        hidden = [f"{weight} * gap[{q + 1}] + {added(f'{returned}[{p + 1}] * {CODE[q, p]}' for p in range(LATENT))}" for q in range(WIDTH)]
     else:
         hidden = [f"dz[{q + 1}]" for q in range(WIDTH)]
     hidden = ", ".join(f"({d}) * (1 - h[{q + 1}] * h[{q + 1}])" for q, d in enumerate(hidden))
-    own = f"union all select label, 'A', q * {LATENT} + p, sum(h[q + 1] * dz[p + 1] - {spec.lambda1} * gap[q + 1] * z[p + 1]) from rows, qs, ps group by label, q, p"
+    own = f"union all select label, 'A', q * {LATENT} + p, sum({source}[q + 1] * dz[p + 1] - {weight} * gap[q + 1] * z[p + 1]) from rows, qs, ps group by label, q, p"
     grams = 4 * spec.lambda2 / LATENT**2 * (CODE @ (CODE.T @ CODE - np.eye(LATENT)))
     code = " ".join(
         f"union all select 'A', {q * LATENT + p}, {CODE[q, p]}, {grams[q, p]}, 1" for q in range(WIDTH) for p in range(LATENT)
     )
     keep = lambda i, q: f"(({i} + {q}) % 2 = 0)::int" if masked else "1"
     bias = " ".join(f"when {q} then {b}" for q, b in enumerate(BIAS))
-    return f"""with coded as (select label, count(*) over (partition by label) as n, x, {coded_sql(masked)} as h
-  from (select label, embedding::double[] as x from embeddings)),
-latent as (select *, {code_sql('h') if robust else 'h'} as z from coded),
+    gathered, scattered = "", "pulled"
+    if local:
+        added_up = ", ".join(f"sum(b.h[{q + 1}])" for q in range(WIDTH))
+        sent = ", ".join(f"sum(dz[{p + 1}])" for p in range(LATENT))
+        gathered = f"""near as (select a.label, a.doc_id, b.doc_id as other from coded a join coded b on a.label = b.label
+  qualify row_number() over (partition by a.label, a.doc_id
+    order by case when a.doc_id = b.doc_id then 'infinity'::double else list_distance(a.h, b.h) end, b.doc_id) <= {NEAR}),
+sums as (select n.doc_id, [{added_up}]::double[] as g from near n join coded b on n.other = b.doc_id group by n.doc_id),"""
+        scattered = f"""(select p.*, coalesce(t.s, [0, 0]::double[]) as s from pulled p left join (
+  select n.other, [{sent}]::double[] as s from near n join pulled q on n.doc_id = q.doc_id group by n.other) t on p.doc_id = t.other)"""
+    return f"""with coded as (select doc_id, label, count(*) over (partition by label) as n, x, {coded_sql(masked)} as h
+  from (select vec_id as doc_id, label, embedding::double[] as x from embeddings)),
+{gathered}
+latent as (select *, {code_sql(source) if robust else 'h'} as z from {'coded join sums using (doc_id)' if local else 'coded'}),
 decoded as (select *, {decoded_sql('z', width, masked)} as y, [{', '.join(gaps) if robust else '0'}]::double[] as gap from latent),
 errors as (select *, {dy} as dy from decoded),
 pulled as (select *, [{', '.join(back)}]::double[] as dz from errors),
-rows as (select *, [{hidden}]::double[] as dh from pulled),
+rows as (select *, [{hidden}]::double[] as dh from {scattered}),
 qs as (select unnest(range({WIDTH})) as q), ps as (select unnest(range({width})) as p), cells as (select unnest(range({DIM})) as i),
 slopes as (
   select label, 'enc0.W' as name, q * {DIM} + i as at, sum(dh[q + 1] * x[i + 1]) as g from rows, qs, cells group by label, q, i
