@@ -195,27 +195,37 @@ def fit_and_score(
     chosen = wanted is not None
 
     def run_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["split", "doc_id"])
+        pdf = pdf.sort_values(["split", "doc_id"]).reset_index(drop=True)
         key = [pdf[k].iloc[0] for k in keys]
         learn = pdf[pdf["split"] == train]
-        out = []
         picked = chunks[pdf["chunk"].iloc[0]] if len(learn) else []
         if chosen:
             picked = [s for s in picked if s.detector_id in set(pdf["__wanted"].iloc[0])]
+        if not picked:
+            return pd.DataFrame(columns=[f.name for f in schema.fields])
+        vectors, name = np.stack(pdf["embedding"].to_numpy()), learn["__model"].iloc[0]
+        x = vectors[learn.index]
+        cut: dict[int, list] = {}
+
+        def pieces(size: int) -> list[tuple]:
+            """Without batches in the key, rows of a split are scored in equal slices of the hash order."""
+            if size not in cut:
+                cut[size] = [
+                    (split, number, np.asarray(index))
+                    for split, part in pdf.groupby("split")
+                    for number, index in part.groupby(part["__spread"] % -(-len(part) // size)).groups.items()
+                ]
+            return cut[size]
+
+        places, found = [], []
         for spec in picked:
-            x, name = np.stack(learn["embedding"].to_numpy()), learn["__model"].iloc[0]
             first = start.get(spec.detector_id)
             params, _ = net.fit(spec, x, *key, batches=batch_numbers(learn, spec), name=name, start=first)
-            # without batches in the key, rows of a split are scored in equal slices of the hash order
-            for split, part in pdf.groupby("split"):
-                n = -(-len(part) // spec.batch_size)
-                for number, index in part.groupby(part["__spread"] % n).groups.items():
-                    piece = part.loc[index]
-                    found = net.scores(spec, params, np.stack(piece["embedding"].to_numpy()), *key, split, number)
-                    out.append(piece[columns].assign(detector_id=spec.detector_id, score=found))
-        if not out:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        return pd.concat(out)
+            for split, number, at in pieces(spec.batch_size):
+                found.append(net.scores(spec, params, vectors[at], *key, split, number))
+                places.append(at)
+        ids = np.repeat([s.detector_id for s in picked], [sum(len(at) for _, _, at in pieces(s.batch_size)) for s in picked])
+        return pdf[columns].iloc[np.concatenate(places)].assign(detector_id=ids, score=np.concatenate(found))
 
     small, large = split_by_size(rows, keys, max_group_rows)
     lists = None if wanted is None else small_side(wanted_by_chunk(wanted, chunks, keys))

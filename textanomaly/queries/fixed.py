@@ -36,13 +36,14 @@ RUNS, CLASSES, SPLIT_SIZE = 10, 40, 1000
 
 
 def weights(spec) -> dict:
-    """The starting parameters of a detector; masks leave every other weight out."""
-    inner = LATENT if spec.family in ("rsr", "lne") else WIDTH
-    encode = np.array([[detect.encoder_weight(i, q) for i in range(DIM)] for q in range(WIDTH)])
+    """The starting parameters of a detector with one hidden layer; masks leave every other weight out."""
+    (width,) = spec.hidden_dims
+    inner = LATENT if spec.family in ("rsr", "lne") else width
+    encode = np.array([[detect.encoder_weight(i, q) for i in range(DIM)] for q in range(width)])
     decode = np.array([[detect.encoder_weight(j, q) for q in range(inner)] for j in range(DIM)])
-    params = {"enc0.W": encode, "enc0.b": np.array(BIAS), "dec0.W": decode, "dec0.b": np.zeros(DIM)}
+    params = {"enc0.W": encode, "enc0.b": np.array(BIAS[:width]), "dec0.W": decode, "dec0.b": np.zeros(DIM)}
     if spec.family in ("rsr", "lne"):
-        params["A"] = CODE
+        params["A"] = CODE[:width]
     if spec.family in ("masked", "pruned"):
         for name in ("enc0.W", "dec0.W"):
             rows, columns = np.indices(params[name].shape)
@@ -209,6 +210,37 @@ def ablation(spark, folder):
     return results.withColumns(rounded("auc", "ap"))
 
 
+def study(name, specs, **options):
+    """A study with starting weights kept, over the grid that ``specs`` gives."""
+
+    def query(spark, folder):
+        corpus, grid = vector_corpus(spark, folder), specs()
+        start = {s.detector_id: weights(s) for s in grid}
+        results = experiments.ablation(
+            corpus, name, vector_hierarchy(corpus), "contextual", NU, "given", specs=grid, start=start, **options, **GRID
+        )
+        return results.withColumns(rounded("auc", "ap"))
+
+    return query
+
+
+def lambda_specs():
+    """All 1,331 combinations of the loss weights."""
+    return experiments.ablation_specs("lambda", **{**SHAPE, "epochs": 0, "latent_dim": LATENT, "n_neighbors": NEAR})
+
+
+def hidden_specs():
+    one = grid_specs()[3]
+    return [one.but(detector_id=f"hidden-{w}", hidden_dims=(w,)) for w in WIDTHS]
+
+
+def neighbour_specs():
+    return [s.but(detector_id=f"k-{s.n_neighbors}") for s in grid_specs(STUDY)[4:]]
+
+
+WIDTHS, SIZES = (3, 2), [2, 3, 5, 9]
+
+
 def weight_sql(i: str, q: str) -> str:
     return f"((({i}) * ({q} + 3) % 7 - 3) / 10.0::double)"
 
@@ -231,9 +263,9 @@ def coded_sql(masked: bool = False) -> str:
     return f"([{units}]::double[])"
 
 
-def code_sql(h: str) -> str:
+def code_sql(h: str, width: int = WIDTH) -> str:
     """The latent of hidden units."""
-    cells = (added(f"{h}[{q + 1}] * {CODE[q, p]}" for q in range(WIDTH)) for p in range(LATENT))
+    cells = (added(f"{h}[{q + 1}] * {CODE[q, p]}" for q in range(width)) for p in range(LATENT))
     return f"([{', '.join(cells)}]::double[])"
 
 
@@ -348,6 +380,12 @@ near_scores as (select c.run, c.inlier, c.split, c.doc_id, truth, detector_id, {
   from coded c join sums s on c.run = s.run and c.inlier = s.inlier and c.split = s.split and c.doc_id = s.doc_id)"""
 
 
+def settings_sql(ndetector="1", near=str(NEAR), lambdas=("0.1::double",) * 3, hidden=f"'[{WIDTH}]'") -> str:
+    one, two, three = lambdas
+    return f"""{TOLD}, run, inlier, {ndetector} as ndetector, {near} as n_neighbors, {one} as lambda1, {two} as lambda2,
+  {three} as lambda3, {hidden} as hidden, {LATENT} as latent"""
+
+
 TOLD = "'given' as embedding, {nu}::double as nu, 'contextual' as generation".format(nu=NU)
 BENCHMARK = f"""{PLACED},
 {near_scores_sql([('lleae', NEAR), *[(f'ens-{k}', k) for k in MEMBERS]])},
@@ -375,6 +413,9 @@ QUERIES = {
     "grid_ledger": grid_ledger,
     "fit_many": fit_many,
     "ablation_fixed": ablation,
+    "ablation_fixed_lambda": study("lambda", lambda_specs),
+    "ablation_fixed_hidden": study("hidden", hidden_specs),
+    "ablation_fixed_ensemble": study("ensemble", neighbour_specs, sizes=SIZES),
 }
 
 SCORED = {
@@ -407,4 +448,30 @@ tested as (select run, inlier, detector_id, truth as y, score from near_scores w
 select 'lleae' as model, round(auc, 6) as auc, round(ap, 6) as ap, {TOLD}, run, inlier, 1 as ndetector,
   substr(detector_id, 3)::int as n_neighbors, 0.1::double as lambda1, 0.1::double as lambda2, 0.1::double as lambda3,
   '[{WIDTH}]' as hidden, {LATENT} as latent from ranked""",
+    "ablation_fixed_lambda": f"""{PLACED}, {near_scores_sql([('lleae', NEAR)])},
+tested as (select run, inlier, truth as y, score from near_scores where split = 'test'),
+{metrics_sql('run, inlier', 'tested')},
+a as (select unnest(range(11)) / 10.0::double as a), b as (select a as b from a), c as (select a as c from a)
+select 'lleae' as model, round(auc, 6) as auc, round(ap, 6) as ap, {settings_sql(lambdas=('a', 'b', 'c'))} from ranked, a, b, c""",
+    "ablation_fixed_hidden": f"""{PLACED}, narrow as (select * exclude (h), h[1:2] as h from coded),
+{near_scores_sql([('3', NEAR)])},
+{gathered_sql('narrow', KEYS, 'detector_id', f"(values ('2', {NEAR})) as v(detector_id, k)").replace('pairs', 'narrow_pairs').replace('sums as', 'narrow_sums as')},
+tested as (select run, inlier, detector_id, truth as y, score from near_scores where split = 'test' union all
+  select c.run, c.inlier, detector_id, truth, {distance_sql(code_sql('g', 2), LATENT)} from narrow c join narrow_sums s
+  on c.run = s.run and c.inlier = s.inlier and c.split = s.split and c.doc_id = s.doc_id where c.split = 'test'),
+{metrics_sql('run, inlier, detector_id', 'tested')}
+select 'lleae' as model, round(auc, 6) as auc, round(ap, 6) as ap, {settings_sql(hidden="'[' || detector_id || ']'")} from ranked""",
+    "ablation_fixed_ensemble": f"""{PLACED}, {near_scores_sql([(f'k-{k}', k) for k in STUDY])},
+moments as (select run, inlier, detector_id, avg(score) as mu, stddev_pop(score) as sigma from near_scores where split = 'train' group by all),
+z as (select s.run, s.inlier, s.doc_id, s.truth as y, s.detector_id, (score - mu) / case when sigma = 0 then 1 else sigma end as z
+  from near_scores s join moments m on s.run = m.run and s.inlier = m.inlier and s.detector_id = m.detector_id where split = 'test'),
+draws as (select n as draw, 'k-' || ({STUDY.start} + {bits_sql(order_sql(f"'{SEED}'", "'draw'", 'n::varchar', 'slot::varchar'))} % {len(STUDY)}) as d
+  from (select n, unnest(range(n))::int as slot from (select unnest({SIZES})::int as n))),
+mixed as (select run, inlier, draw, doc_id, y, median(z) as score from z join draws on z.detector_id = draws.d group by all),
+tested as (
+  select run, inlier, 0 as draw, detector_id, truth as y, score from near_scores where split = 'test'
+  union all select run, inlier, draw, 'ens', y, score from mixed),
+{metrics_sql('run, inlier, draw, detector_id', 'tested')}
+select case when draw = 0 then 'lleae' else 'ens' end as model, round(auc, 6) as auc, round(ap, 6) as ap,
+  {settings_sql('case when draw = 0 then 1 else draw end', "case when draw = 0 then substr(detector_id, 3)::int else -1 end")} from ranked""",
 }
