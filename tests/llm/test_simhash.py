@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from textanomaly.llm import simhash
 
@@ -97,3 +98,10 @@ def test_nulls_repeats_and_no_rows(spark, documents):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "one text here"), (3, "another text there"), (4, "")]
     assert simhash.near_duplicates(documents([])).collect() == []
+
+
+def test_unlike_texts_of_one_id_stay(spark, documents):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abc"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["c"]), (3, text["a"]), (1, text["a"]), (None, text["b"]), (4, None), (4, "")]
+    got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(documents(rows).repartition(5)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
+    assert got == [(1, text["a"]), (1, text["b"]), (2, text["c"]), (4, "")]

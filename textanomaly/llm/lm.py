@@ -30,6 +30,7 @@ DISCOUNT = 0.75
 FLUSH_TOKENS = 2 << 20
 PIECE = 1 << 20  # bytes of text at a time; filters take the memory
 WAVE_BYTES = 128 << 20
+SHARD_TEXT = 8 << 20  # bytes of training text that a shard has the n-grams of, about
 END = np.uint64(0x5851F42D4C957F2D)  # the hash of the token that ends a text, and stands before its first word
 _PAIR, _PROBE, _LOW = np.uint64(0xD1342543DE82EF95), 0x9E3779B97F4A7C15, np.uint64(0xFFFFFFFF)
 
@@ -232,16 +233,15 @@ NOTES = "doc_id long, held_out boolean, text string, one binary, two binary, n_k
 
 
 def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By step of the first word: tokens, and the share of them that the pairs held account for."""
-    seen, taken = np.zeros(256), np.zeros(256)
+    """How many tokens have each pair of steps: of the word before, and of the pair with it."""
+    seen = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             one, two = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
-            before = np.append(one[-1], one[:-1])
-            held = count_of(two)
-            seen += np.bincount(before, minlength=256)
-            taken += np.bincount(before, np.where(held > 0, 1 - DISCOUNT / np.maximum(held, 1), 0), 256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(seen), pa.array(taken)], ["step", "seen", "taken"])
+            before = np.append(one[-1], one[:-1]).astype(np.int64)
+            seen += np.bincount(before << 8 | two, minlength=1 << 16)
+    places = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(places >> 8), pa.array(places & 255), pa.array(seen[places])], ["step", "pair", "seen"])
 
 
 def _scorer(mass: np.ndarray, total: float):
@@ -275,15 +275,16 @@ def score(docs: DataFrame, wave_bytes: int = WAVE_BYTES) -> DataFrame:
 
     Words are lower-cased (A-Z); every text, also a null or empty one, ends with one more token. Rows whose crc32 of
     the id modulo 7 is 2 are held out, the others train. Repeated rows count and are scored each. Without training rows
-    N and V are 0.
+    N and V are 0. Scores are the same however the rows are laid out over files and partitions.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 7) == 2).alias("held_out"),
         F.col("text").cast("string").alias("text"),
     )
-    parts = max(1, rows.rdd.getNumPartitions())
-    shard_bits = max(4, (4 * parts - 1).bit_length())  # a shard has a share of the tokens of a partition
+    # shards follow from the texts alone, so scores don't depend on how rows are laid out
+    texts = rows.where("not held_out").agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    shard_bits = max(4, (texts // SHARD_TEXT).bit_length())
     with small_batches(spark):
         shards = stored(train(rows.where("not held_out"), shard_bits), "lm-shards")
     known = shards.where("kind = 1").agg(
@@ -305,11 +306,13 @@ def score(docs: DataFrame, wave_bytes: int = WAVE_BYTES) -> DataFrame:
         with small_batches(spark):
             notes = stored(notes.mapInArrow(annotate, NOTES), "lm-notes")
         shared.destroy()
-    left = notes.where("not held_out").select("one", "two").mapInArrow(_left_over, "step long, seen double, taken double")
-    mass = np.ones(256)
-    for row in left.groupBy("step").agg(F.sum("seen").alias("seen"), F.sum("taken").alias("taken")).collect():  # 256 rows
-        if row["seen"]:
-            mass[row["step"]] = min(1.0, max(1e-3, 1 - row["taken"] / row["seen"]))
+    left = notes.where("not held_out").select("one", "two").mapInArrow(_left_over, "step long, pair long, seen long")
+    counts = np.zeros((256, 256))
+    for row in left.groupBy("step", "pair").agg(F.sum("seen").alias("seen")).collect():  # 65,536 rows at most
+        counts[row["step"], row["pair"]] = row["seen"]
+    held = count_of(np.arange(256))
+    taken, seen = counts @ np.where(held > 0, 1 - DISCOUNT / np.maximum(held, 1), 0), counts.sum(axis=1)
+    mass = np.where(seen > 0, np.clip(1 - taken / np.maximum(seen, 1), 1e-3, 1), 1.0)
     mass[0] = 1.0
     total = known["n"] + known["v"] + 1
     scored = notes.select("one", "two", "doc_id", "held_out", F.octet_length("one").cast("long").alias("n_tokens"), "n_known", "log_sum")

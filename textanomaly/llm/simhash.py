@@ -243,27 +243,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest doc_id.
 
-    Rows that share the smallest doc_id stay once; of a group without any doc_id one row stays.
+    Of rows that share the smallest doc_id that of the smallest fingerprint stays, then that of the smallest text, once;
+    rows of other groups with the same doc_id stay too. Of a group without any doc_id one row stays.
     """
     marked = near_duplicates(docs)
     kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.first("doc_id").alias("__id"), F.min("fp").alias("__fp")
     )
     kept = stored(kept.select("__id", "__fp"), "simhash-kept")
-    with_id = docs.join(kept.where("__id is not null").select("__id"), F.col("doc_id") == F.col("__id"), "left_semi")
-    with_id = with_id.dropDuplicates(["doc_id"])
-    without = kept.where("__id is null").select("__fp")
-    if without.isEmpty():
-        return with_id
-    nameless = docs.where("doc_id is null")
-    texts = nameless.select("text").distinct()
-    prints = texts.mapInArrow(_text_prints, "text string, fp long")
-    chosen = prints.join(without, F.col("fp") == F.col("__fp")).groupBy("__fp").agg(F.min("text").alias("__text"))
-    rest = nameless.join(chosen, F.coalesce("text", F.lit("")) == F.coalesce("__text", F.lit("")), "left_semi")
-    return with_id.unionByName(rest.withColumn("__t", F.coalesce("text", F.lit(""))).dropDuplicates(["__t"]).drop("__t"))
+    ids = marked.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    several = stored(ids.where("__n > 1").select("__id"), "simhash-several")
+    of_id = F.col("doc_id") == F.col("__id")
+    result = docs.join(kept.where("__id is not null").select("__id").distinct(), of_id, "left_semi")
+    if not several.isEmpty():
+        result = result.join(several, of_id, "left_anti")
+        result = result.unionByName(_chosen(docs.join(several, of_id, "left_semi"), kept))
+    if not kept.where("__id is null").isEmpty():
+        result = result.unionByName(_chosen(docs.where("doc_id is null"), kept))
+    return result
+
+
+def _chosen(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of ``rows``, whose doc_id doesn't tell them apart, one for each (doc_id, fingerprint) of ``kept``."""
+    texts = rows.select(F.col("doc_id").alias("__own"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    kind = texts.schema["__own"].dataType.simpleString()
+    prints = texts.select("text", "__own").mapInArrow(_text_prints, f"text string, __own {kind}, fp long")
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp"))
+    chosen = prints.join(kept, same).groupBy("__own", "__fp").agg(F.min("text").alias("__text"))
+    wanted = F.col("doc_id").eqNullSafe(F.col("__own")) & (F.coalesce("text", F.lit("")) == F.col("__text"))
+    found = rows.join(chosen.select("__own", "__text"), wanted, "left_semi")
+    return found.withColumn("__t", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "__t"]).drop("__t")
 
 
 def _text_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         prints = pa.array([fingerprint(t) for t in text_bytes(batch)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["text", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, "fp"])
