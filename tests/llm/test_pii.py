@@ -75,4 +75,55 @@ def test_key_gives_values_back(spark, documents):
     assert {k: v for k, v in rows[3].kinds.items()} == {"card": 3, "mail": 1, "ip": 1, "date": 1, "phone": 1, "social": 1}
     back = pii.pseudonymise(changed.drop("kinds"), "secret", back=True)
     assert sorted(back.collect(), key=repr) == sorted(docs.collect(), key=repr)
-    assert pii.pseudonymise(documents([])).collect() == []
+    assert pii.pseudonymise(documents([]), "secret").collect() == []
+
+
+@pytest.mark.parametrize("text, kind", [
+    ("12/31/1999", "date"), ("1999/12/31", "date"), ("12.31.1999", "date"), ("3782 822463 10005", "card"), ("3782-822463-10005", "card"),
+    ("378282246310005", "card"), ("219-09-9999", "social"),
+])
+def test_other_ways_of_writing(text, kind):
+    names = pii.Pseudonyms(b"k")
+    changed, found = names.replace(f"on {text}, so")
+    assert found == {kind: 1} and text not in changed and len(changed) == len(f"on {text}, so")
+    assert names.replace(changed)[1] == {kind: 1}
+    assert pii.Pseudonyms(b"k", back=True).replace(changed)[0] == f"on {text}, so"
+
+
+def test_month_first_only_where_day_first_is_no_date():
+    names, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    for month in range(1, 13):
+        for day in range(1, 32):
+            text = f"{month:02d}/{day:02d}/2003"
+            changed, found = names.replace(text)
+            valid = day <= 12 or day <= [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][month - 1]
+            assert found == ({"date": 1} if valid else {}) and back.replace(changed)[0] == text
+
+
+@pytest.mark.parametrize("text", ["666-12-0000", "000-12-3456", "912-12-3456", "123-00-4567", "123-45-0000", "1999/13/31", "31/31/1999"])
+def test_invalid_values_stay(text):
+    assert pii.Pseudonyms(b"k").replace(f"a {text} b") == (f"a {text} b", {})
+
+
+def test_social_numbers_stay_valid():
+    names = pii.Pseudonyms(b"k")
+    for i in range(300):
+        digits = f"{i + 1:03d}{i % 99 + 1:02d}{i + 1:04d}"
+        if pii.social_valid(digits):
+            moved = names._social(digits)
+            assert pii.social_valid(moved) and pii.Pseudonyms(b"k", back=True)._social(moved) == digits
+
+
+def test_mail_places_and_long_runs():
+    import re
+    import time
+
+    plain = re.compile(r"[\w.%+-]*\w@[\w-]+(?:\.[\w-]+)+")
+    texts = ["a@b@c.de", "@x.y", ".a@b.c", "-@b.c", "é.4@x.example, a+b%c@d-e.f.g@h.i", "a@b.c@d.e", "x@y", "x@y.", "a b@c.d.e. f@g.h", "a-@b.c", "__@b.c"]
+    for text in texts:
+        assert list(pii.mails(text)) == [m.span() for m in plain.finditer(text)], text
+    start = time.time()
+    long = "x" * 1_000_000
+    assert list(pii.mails(f"{long} {long}@b.c {long}@")) == [(1_000_001, 2_000_005)]
+    assert pii.Pseudonyms(b"k").replace(f"a@b.c {long}")[1] == {"mail": 1}
+    assert time.time() - start < 10

@@ -13,7 +13,7 @@ from hashlib import blake2b
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from textanomaly.llm.common import pieces
 
@@ -22,12 +22,14 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 KINDS = ("mail", "card", "number", "phone", "ip", "iban", "social", "date")
 
 # value patterns: fixed formats
-MAIL = re.compile(r"[\w.%+-]*\w@[\w-]+(?:\.[\w-]+)+")
+MAIL_DOMAIN = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+MAIL_NAME = re.compile(r"[\w.%+-]")
 NUMBERS = re.compile(
     r"(?<![\w.])(?P<iban>[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?!\w)"
     r"|(?<![0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])"
-    r"|(?<![0-9])(?P<long>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4})(?![0-9])"
-    r"|(?<![0-9])(?P<ymd>[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9-])"
+    r"|(?<![0-9])(?P<long>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}"
+    r"|[0-9]{4}(?P<gap15>[ -])[0-9]{6}(?P=gap15)[0-9]{5})(?![0-9])"
+    r"|(?<![0-9])(?P<ymd>[0-9]{4}(?P<dash>[-/])[0-9]{2}(?P=dash)[0-9]{2})(?![0-9]|[-/][0-9])"
     r"|(?<![0-9])(?P<dmy>[0-9]{2}(?P<dot>[/.])[0-9]{2}(?P=dot)[0-9]{4})(?![0-9]|[/.][0-9])"
     r"|(?<![0-9-])(?P<social>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"
     r"|(?<![\w+])(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}"
@@ -43,7 +45,8 @@ RUN = re.compile(r"[0-9]+")
 OTHER = re.compile(
     r" (?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
     r"|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?![0-9]|(?P=gap)[0-9]{4}(?![0-9]))"
-    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
+    r"|[0-9]{4}(?P<gap15>[ -])[0-9]{6}(?P=gap15)[0-9]{5}(?![0-9])"
+    r"|[0-9]{4}(?P<dash>[-/])[0-9]{2}(?P=dash)[0-9]{2}(?![0-9]|[-/][0-9])"
     r"|[0-9]{2}(?P<dot>[/.])[0-9]{2}(?P=dot)[0-9]{4}(?![0-9]|[/.][0-9])"
     r"|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
 )
@@ -72,6 +75,25 @@ def phone_end(text: str, start: int, end: int) -> int:
     return best
 
 
+def mails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of mail addresses; every character is looked at a bounded number of times."""
+    end, sign = 0, text.find("@")
+    while sign >= 0:
+        domain = MAIL_DOMAIN.match(text, sign + 1)
+        start = sign
+        if domain and sign > end and re.match(r"\w", text[sign - 1]):
+            while start > end and MAIL_NAME.match(text, start - 1):
+                start -= 1
+            end = domain.end()
+            yield start, end
+        sign = text.find("@", max(sign + 1, end))
+
+
+def social_valid(digits: str) -> bool:
+    """Whether the parts of a social number are ones that are given out."""
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
 class Feistel:
     """Keyed permutations of 0 .. size - 1, another one for every tweak."""
 
@@ -164,18 +186,30 @@ class Pseudonyms:
         return "number", _written(value, digits)
 
     def _date(self, value: str, order: str) -> str | None:
+        """``order`` is ymd, dmy or mdy; dates that can be read as dmy are never taken for mdy, nor become such."""
         parts = re.split(r"[^0-9]", value)
-        year, month, day = (parts if order == "ymd" else reversed(parts))
+        year, month, day = (int(parts[order.index(c)]) for c in "ymd")
         try:
-            found = date(int(year), int(month), int(day))
+            found = date(year, month, day)
         except ValueError:
             return None
         if not FIRST_DAY <= found <= LAST_DAY:
             return None
         span = (LAST_DAY - FIRST_DAY).days + 1
-        moved = FIRST_DAY + timedelta(self.feistel.permute((found - FIRST_DAY).days, span, "date", self.back))
-        year, month, day = f"{moved.year:04d}", f"{moved.month:02d}", f"{moved.day:02d}"
-        return _written(value, year + month + day if order == "ymd" else day + month + year)
+        moved = found
+        while moved is found or (order == "mdy" and moved.day <= 12):
+            moved = FIRST_DAY + timedelta(self.feistel.permute((moved - FIRST_DAY).days, span, "date", self.back))
+        told = {"y": f"{moved.year:04d}", "m": f"{moved.month:02d}", "d": f"{moved.day:02d}"}
+        return _written(value, "".join(told[c] for c in order))
+
+    def _social(self, digits: str) -> str | None:
+        """A permutation of the valid numbers: walk on over those that no one can have."""
+        if not social_valid(digits):
+            return None
+        digits = self.feistel.digits(digits, "social", self.back)
+        while not social_valid(digits):
+            digits = self.feistel.digits(digits, "social", self.back)
+        return digits
 
     def number(self, found: re.Match, value: str) -> tuple[str | None, str]:
         """(kind, pseudonym) of ``value``, or None and the text itself if it isn't valid."""
@@ -197,11 +231,12 @@ class Pseudonyms:
             account = _written(account, self.feistel.digits(digits, f"iban|{shape}", self.back))
             return "iban", country + _iban_check(country, account) + account
         if found["ymd"] or found["dmy"]:
-            moved = self._date(value, "ymd" if found["ymd"] else "dmy")
+            moved = self._date(value, "ymd") if found["ymd"] else self._date(value, "dmy") or self._date(value, "mdy")
             return ("date", moved) if moved else (None, value)
         digits = re.sub(r"[^0-9]", "", value)
         if found["social"]:
-            return "social", _written(value, self.feistel.digits(digits, "social", self.back))
+            moved = self._social(digits)
+            return ("social", _written(value, moved)) if moved else (None, value)
         if found["phone"]:
             if not 8 <= len(digits) <= 15:
                 return None, value
@@ -237,10 +272,10 @@ class Pseudonyms:
         if "@" not in text:
             return around(text), counts
         parts, at = [], 0
-        for found in MAIL.finditer(text):
-            parts += [around(text[at : found.start()]), self.mail(found[0])]
+        for start, end in mails(text):
+            parts += [around(text[at:start]), self.mail(text[start:end])]
             counts["mail"] = counts.get("mail", 0) + 1
-            at = found.end()
+            at = end
         return "".join([*parts, around(text[at:])]), counts
 
 
@@ -261,11 +296,18 @@ def _replacer(key: bytes, back: bool, columns: list[str], column: str) -> Callab
     return replace
 
 
-def pseudonymise(docs: DataFrame, key: str = "key", column: str = "text", found: str | None = None, back: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the setting ``spark.textanomaly.pii.key`` names. Without it a well-known one, which links equal values
+    but protects none: set one of your own before the pseudonyms leave your hands."""
+    return spark.conf.get("spark.textanomaly.pii.key", "key")
+
+
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", found: str | None = None, back: bool = False) -> DataFrame:
     """``docs`` with the personal values of ``column`` replaced; ``found`` names a column for their counts by kind.
 
     Numbers are valid cards (Luhn), other numbers of 13 to 19 digits, phone numbers, IPv4 addresses, IBANs, social
-    numbers and dates from 1900 to 2099; invalid ones stay as they are. Null texts stay null. Rows are changed one by
+    numbers and dates from 1900 to 2099, year first, day first or, where that is no date, month first; invalid ones stay
+    as they are. Null texts stay null. Rows are changed one by
     one, without a shuffle; all other columns stay.
     """
     kinds = docs.schema

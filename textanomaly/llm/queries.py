@@ -29,7 +29,7 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
-    changed = pii.pseudonymise(_table(spark, folder, "documents").select("doc_id", "text"), found="found")
+    changed = pii.pseudonymise(_table(spark, folder, "documents").select("doc_id", "text"), pii.session_key(spark), found="found")
     counts = {f"n_{kind}": F.coalesce(F.col("found")[kind], F.lit(0)) for kind in pii.KINDS}
     return changed.withColumns(counts).drop("found")
 
