@@ -45,9 +45,12 @@ class Scratch:
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.path = df.sparkSession, shared_path(df, name)
 
-    def store(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.option("compression", codec).parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+    def store(self, df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None, options: dict | None = None) -> DataFrame:
+        df.write.options(compression=codec, **(options or {})).parquet(f"{self.path}/{name}", partitionBy=by)
+        return self.read(name, df.schema)
+
+    def read(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         """Delete tables whose readers have all been stored."""

@@ -8,8 +8,10 @@ count. With D the discount, the probability of a word after another is
 
 where mass is what the pairs held leave over, measured on the training texts by step of count(first).
 
-Filters and exact word counts are broadcast in waves of bounded size: a wave adds what its shards know to every
-text's tokens, and the steps found don't depend on how many waves there are.
+A filter is blocked: all probes of a key's step fall into one word of 64 bits. Filters and exact word counts are
+broadcast in waves of bounded size. The distinct n-grams of each bundle of texts are stored once, by the wave that knows
+them, so texts are not read again for each wave: a wave answers its own part, and the answers meet their bundle at the
+end. The steps found don't depend on how many waves there are.
 """
 
 from __future__ import annotations
@@ -18,17 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textanomaly.llm.classifier import fold
-from textanomaly.llm.common import Words, mixed, pieces, small_batches, stored, text_bytes
+from textanomaly.llm.common import Scratch, Words, mixed, pieces, small_batches, text_bytes
 
 BASE = 1.3  # of the logarithm that counts are quantised by
 BITS, PROBES = 12, 5  # of the filter, a held step
 DISCOUNT = 0.75
 FLUSH_TOKENS = 2 << 20
-PIECE = 1 << 20  # bytes of text at a time; filters take the memory
+PIECE = 1 << 20  # bytes of text counted at a time
+BUNDLES = 8  # of texts, or of their n-grams, that Python is handed at a time
+ROW_GROUP = 16 << 20  # bytes of bundles that a reader holds at a time
 WAVE_BYTES = 128 << 20
 SHARD_TEXT = 8 << 20  # bytes of training text that a shard has the n-grams of, about
 END = np.uint64(0x5851F42D4C957F2D)  # the hash of the token that ends a text, and stands before its first word
@@ -100,26 +106,25 @@ def count_of(steps: np.ndarray) -> np.ndarray:
     return np.where(steps > 0, (low + np.maximum(low, np.ceil(BASE ** (steps * 1.0)) - 1)) / 2, 0.0)
 
 
-def _halves(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers of 32 bits that all probes of a key's step follow from."""
+def _probes(keys: np.ndarray, step: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word, of as many as its filter has, that a key's step falls into, and the hash its bits there follow from."""
     hashed = mixed(keys + np.uint64(step * _PROBE % (1 << 64)))
-    return hashed & _LOW, (hashed >> np.uint64(32)) | np.uint64(1)
+    return (((hashed & _LOW) * words) >> np.uint64(32)).astype(np.int64), hashed >> np.uint64(32)
 
 
-def _places(low: np.ndarray, high: np.ndarray, probe: int, size: np.ndarray) -> np.ndarray:
-    """Places in a filter of ``size`` bits, below 2 ** 32."""
-    return ((((low + np.uint64(probe) * high) & _LOW) * size) >> np.uint64(32)).astype(np.int64)
+def _bit(high: np.ndarray, probe: int) -> np.ndarray:
+    return (high >> np.uint64(6 * probe)) & np.uint64(63)
 
 
 def filter_bits(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The filter of a shard as bytes."""
     steps = steps_of(counts)
-    size = max(64, -(-int(steps.sum()) * BITS // 64) * 64)
-    bits = np.zeros(size, bool)
+    words = max(1, -(-int(steps.sum()) * BITS // 64))
+    bits = np.zeros(64 * words, bool)
     for step in range(1, int(steps.max(initial=0)) + 1):
-        low, high = _halves(keys[steps >= step], step)
+        place, high = _probes(keys[steps >= step], step, np.uint64(words))
         for probe in range(PROBES):
-            bits[_places(low, high, probe, np.uint64(size))] = True
+            bits[64 * place + _bit(high, probe).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -158,9 +163,9 @@ class Wave:
         self.filters = {}
         for kind in (1, 2):
             own = [r for r in rows if r["kind"] == kind]
-            size = np.array([8 * len(r["bits"]) for r in own], np.int64)
+            size = np.array([len(r["bits"]) // 8 for r in own], np.int64)
             shards = np.array([r["shard"] for r in own], np.int64)
-            self.filters[kind] = shards, size, np.cumsum(size) - size, _joined(own, "bits", np.uint8)
+            self.filters[kind] = shards, size, np.cumsum(size) - size, _joined(own, "bits", "<u8")
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), np.int64)
@@ -173,63 +178,100 @@ class Wave:
 
     def steps(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """Probe step after step until one is missing."""
-        shards, size, offset, bits = self.filters[kind]
+        shards, size, offset, words = self.filters[kind]
         found = np.zeros(len(keys), np.uint8)
         if not len(shards):
             return found
         shard = (keys >> self.shift).astype(np.int64)
-        at = np.minimum(np.searchsorted(shards, shard), len(shards) - 1)
-        alive = np.flatnonzero(shards[at] == shard)
-        step = 1
+        own = np.minimum(np.searchsorted(shards, shard), len(shards) - 1)
+        alive = np.flatnonzero(shards[own] == shard)
+        own, keys, step = own[alive], keys[alive], 1
         while len(alive) and step < 255:
-            own = at[alive]
-            low, high = _halves(keys[alive], step)
-            start, bound = offset[own], size[own].astype(np.uint64)
+            place, high = _probes(keys, step, size[own].astype(np.uint64))
+            wanted = np.zeros(len(keys), np.uint64)
             for probe in range(PROBES):
-                place = start + _places(low, high, probe, bound)
-                held = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                if len(held) < len(alive):
-                    alive, low, high, start, bound = (v[held] for v in (alive, low, high, start, bound))
+                wanted |= np.uint64(1) << _bit(high, probe)
+            held = np.flatnonzero(words[offset[own] + place] & wanted == wanted)
+            alive, own, keys = alive[held], own[held], keys[held]
             found[alive] = step
             step += 1
         return found
 
 
-def _annotator(wave, last: bool, columns: list[str]):
-    """Add the steps of a wave's shards to each text's tokens, and its words' exact counts to the base sum."""
+BUNDLE = "bundle long, doc_id array<long>, held_out array<boolean>, text array<string>"
+ASKED = "bundle long, wave int, one binary, two binary"
+ANSWER = "bundle long, one binary, two binary, counts binary"
+NOTES = "doc_id long, held_out boolean, one binary, two binary, n_known long, log_sum double"
 
-    def annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some texts a row."""
+    first = TaskContext.get().partitionId() << 32
+    for number, batch in enumerate(pieces(batches)):
+        ends = pa.array([0, batch.num_rows], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, column) for column in batch.columns]
+        yield pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), *lists], ["bundle", *batch.schema.names])
+
+
+def _as_bytes(texts: list[str | None]) -> list[bytes]:
+    return [(text or "").encode() for text in texts]
+
+
+def _asker(waves: int, shard_bits: int):
+    """The distinct n-grams of each bundle, a row for each wave that knows some."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("bundle", pa.int64()), ("wave", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
+        for batch in batches:
+            for at, bundle in enumerate(batch.column(0).to_pylist()):
+                rows: dict[int, dict] = {}
+                for name, found in zip(("one", "two"), tokens(_as_bytes(batch.column(1)[at].as_py()))):
+                    keys = np.unique(found)
+                    shard = keys >> np.uint64(64 - shard_bits)
+                    wave = ((shard * np.uint64(waves)) >> np.uint64(shard_bits)).astype(np.int64)
+                    for turn, start, end in zip(*_runs(wave)):
+                        rows.setdefault(turn, {"bundle": bundle, "wave": turn, "one": b"", "two": b""})[name] = keys[start:end].tobytes()
+                yield pa.RecordBatch.from_pylist(list(rows.values()), schema)
+
+    return ask
+
+
+def _answerer(wave):
+    """The steps of a wave's n-grams, and its words' exact counts."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wave.value
-        for batch in pieces(batches, most=PIECE):
-            texts = text_bytes(batch)
-            one, two, first = tokens(texts)
-            steps = []
-            for kind, found, name in ((1, one, "one"), (2, two, "two")):
-                distinct, place = np.unique(found, return_inverse=True)
-                own = known.steps(kind, distinct)[place]
-                earlier = b"".join(v or b"" for v in batch.column(columns.index(name)).to_pylist())
-                own = own if not earlier else own | np.frombuffer(earlier, np.uint8)
-                steps.append([own[a:b].tobytes() for a, b in zip(first[:-1], first[1:])])
-                if kind == 1:
-                    counts = known.exact(distinct)[place]
-            logs = np.log10(counts + 1.0)
-            sums = np.add.reduceat(logs, first[:-1]) if len(texts) else np.zeros(0)
-            seen = np.add.reduceat((counts > 0).astype(np.int64), first[:-1]) if len(texts) else np.zeros(0, np.int64)
-            arrays = {
-                "doc_id": batch.column(0),
-                "held_out": batch.column(1),
-                "text": pa.nulls(len(texts), pa.string()) if last else batch.column(2),
-                "one": pa.array(steps[0], pa.binary()),
-                "two": pa.array(steps[1], pa.binary()),
-                "n_known": pa.array(np.asarray(batch.column(5)) + seen, pa.int64()),
-                "log_sum": pa.array(np.asarray(batch.column(6)) + sums, pa.float64()),
-            }
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
-
-    return annotate
-
-
-NOTES = "doc_id long, held_out boolean, text string, one binary, two binary, n_known long, log_sum double"
+        for batch in batches:
+            answers = {"one": [], "two": [], "counts": []}
+            for one, two in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                one, two = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
+                answers["one"].append(known.steps(1, one).tobytes())
+                answers["two"].append(known.steps(2, two).tobytes())
+                answers["counts"].append(known.exact(one).astype("<i8").tobytes())
+            arrays = [batch.column(0), *(pa.array(v, pa.binary()) for v in answers.values())]
+            yield pa.RecordBatch.from_arrays(arrays, ["bundle", *answers])
+
+    return answer
+
+
+def _noted(table: pa.Table) -> pa.Table:
+    """A bundle's texts with the steps of their tokens, from the bundle itself (wave -1) and its answers in order."""
+    rows = sorted(table.select(["wave", "one", "two", "counts"]).to_pylist(), key=lambda r: r["wave"])[1:]
+    own = table.filter(pc.equal(table["wave"], -1)).select(["doc_id", "held_out", "text"]).to_pylist()[0]
+    one, two, first = tokens(_as_bytes(own["text"]))
+    steps = {}
+    for name, found in (("one", one), ("two", two)):
+        _, place = np.unique(found, return_inverse=True)
+        told = np.frombuffer(b"".join(r[name] for r in rows), np.uint8)[place]
+        steps[name] = [told[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+        if name == "one":
+            counts = np.frombuffer(b"".join(r["counts"] for r in rows), "<i8")[place]
+    return pa.table({
+        "doc_id": pa.array(own["doc_id"], pa.int64()), "held_out": pa.array(own["held_out"], pa.bool_()),
+        "one": pa.array(steps["one"], pa.binary()), "two": pa.array(steps["two"], pa.binary()),
+        "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), first[:-1]), pa.int64()),
+        "log_sum": pa.array(np.add.reduceat(np.log10(counts + 1.0), first[:-1]), pa.float64()),
+    })
 
 
 def _left_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,27 +327,33 @@ def score(docs: DataFrame, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     # shards follow from the texts alone, so scores don't depend on how rows are laid out
     texts = rows.where("not held_out").agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     shard_bits = max(4, (texts // SHARD_TEXT).bit_length())
+    scratch = Scratch(docs, "lm")
     with small_batches(spark):
-        shards = stored(train(rows.where("not held_out"), shard_bits), "lm-shards")
+        shards = scratch.store(train(rows.where("not held_out"), shard_bits), "shards")
+        bundles = scratch.store(rows.mapInArrow(_bundled, BUNDLE), "bundles", options={"parquet.block.size": ROW_GROUP})
     known = shards.where("kind = 1").agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")
     ).first()
     size = F.octet_length("singles") + F.octet_length("keys") + F.octet_length("counts") + F.octet_length("bits")
     in_all = shards.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
     waves = max(1, -(-in_all // wave_bytes))
-    notes = rows.withColumns(
-        {"one": F.lit(None).cast("binary"), "two": F.lit(None).cast("binary"), "n_known": F.lit(0).cast("long"), "log_sum": F.lit(0.0)}
-    )
-    for turn in range(waves):
-        own = shards.where(F.floor(F.col("shard") * waves / (1 << shard_bits)) == turn)
-        # a partition of the table of shards at a time, so that the driver holds the wave once
-        rows_of_wave = [{k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.asDict().items()} for r in own.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(Wave(rows_of_wave, shard_bits))
-        del rows_of_wave
-        annotate = _annotator(shared, turn == waves - 1, notes.columns)
-        with small_batches(spark):
-            notes = stored(notes.mapInArrow(annotate, NOTES), "lm-notes")
-        shared.destroy()
+    with small_batches(spark, BUNDLES):
+        asked = bundles.select("bundle", "text").mapInArrow(_asker(waves, shard_bits), ASKED)
+        asked = scratch.store(asked, "asked", by=["wave"], options={"parquet.block.size": ROW_GROUP})
+        for turn in range(waves):
+            own = shards.where(F.shiftright(F.col("shard") * waves, shard_bits) == turn)
+            # a partition of the table of shards at a time, so that the driver holds the wave once
+            rows_of_wave = [{k: bytes(v) if isinstance(v, bytearray) else v for k, v in r.asDict().items()} for r in own.toLocalIterator()]
+            shared = spark.sparkContext.broadcast(Wave(rows_of_wave, shard_bits))
+            del rows_of_wave
+            part = asked.where(F.col("wave") == turn).select("bundle", "one", "two")
+            scratch.store(part.mapInArrow(_answerer(shared), ANSWER), f"answers/wave={turn}")
+            shared.destroy()
+            scratch.drop(f"asked/wave={turn}")
+        answers = scratch.read("answers", f"{ANSWER}, wave int")
+        told = bundles.withColumn("wave", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+        notes = scratch.store(told.groupBy("bundle").applyInArrow(_noted, NOTES), "notes")
+    scratch.drop("shards", "bundles", "asked", "answers")
     left = notes.where("not held_out").select("one", "two").mapInArrow(_left_over, "step long, pair long, seen long")
     counts = np.zeros((256, 256))
     for row in left.groupBy("step", "pair").agg(F.sum("seen").alias("seen")).collect():  # 65,536 rows at most
