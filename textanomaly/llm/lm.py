@@ -198,23 +198,36 @@ class Wave:
         return found
 
 
-BUNDLE = "bundle long, doc_id array<long>, held_out array<boolean>, text array<string>"
+BUNDLE = "bundle long, doc_id array<long>, held_out array<boolean>, sizes array<long>, text binary"
 ASKED = "bundle long, wave int, one binary, two binary"
 ANSWER = "bundle long, one binary, two binary, counts binary"
 NOTES = "doc_id long, held_out boolean, one binary, two binary, n_known long, log_sum double"
 
 
+def _packed(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True) if data else b""
+
+
+def _unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
+
+
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some texts a row."""
+    """Some texts a row, compressed together, since they are shuffled once; a null one is empty."""
     first = TaskContext.get().partitionId() << 32
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
     for number, batch in enumerate(pieces(batches)):
-        ends = pa.array([0, batch.num_rows], pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, column) for column in batch.columns]
-        yield pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), *lists], ["bundle", *batch.schema.names])
+        texts = text_bytes(batch)
+        row = [first + number, batch.column(0).to_pylist(), batch.column(1).to_pylist(), [*map(len, texts)], _packed(b"".join(texts))]
+        columns = ["bundle", "doc_id", "held_out", "sizes", "text"]
+        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], columns)
 
 
-def _as_bytes(texts: list[str | None]) -> list[bytes]:
-    return [(text or "").encode() for text in texts]
+def _texts(packed: bytes, sizes: list[int]) -> list[bytes]:
+    """The texts of a bundle."""
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int64).tolist()
+    data = _unpacked(packed, ends[-1])
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def _asker(waves: int, shard_bits: int):
@@ -223,9 +236,9 @@ def _asker(waves: int, shard_bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bundle", pa.int64()), ("wave", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
         for batch in batches:
-            for at, bundle in enumerate(batch.column(0).to_pylist()):
+            for bundle, sizes, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 rows: dict[int, dict] = {}
-                for name, found in zip(("one", "two"), tokens(_as_bytes(batch.column(1)[at].as_py()))):
+                for name, found in zip(("one", "two"), tokens(_texts(packed, sizes))):
                     keys = np.unique(found)
                     shard = keys >> np.uint64(64 - shard_bits)
                     wave = ((shard * np.uint64(waves)) >> np.uint64(shard_bits)).astype(np.int64)
@@ -247,7 +260,7 @@ def _answerer(wave):
                 one, two = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
                 answers["one"].append(known.steps(1, one).tobytes())
                 answers["two"].append(known.steps(2, two).tobytes())
-                answers["counts"].append(known.exact(one).astype("<i8").tobytes())
+                answers["counts"].append(_packed(known.exact(one).astype("<i8").tobytes()))
             arrays = [batch.column(0), *(pa.array(v, pa.binary()) for v in answers.values())]
             yield pa.RecordBatch.from_arrays(arrays, ["bundle", *answers])
 
@@ -257,15 +270,15 @@ def _answerer(wave):
 def _noted(table: pa.Table) -> pa.Table:
     """A bundle's texts with the steps of their tokens, from the bundle itself (wave -1) and its answers in order."""
     rows = sorted(table.select(["wave", "one", "two", "counts"]).to_pylist(), key=lambda r: r["wave"])[1:]
-    own = table.filter(pc.equal(table["wave"], -1)).select(["doc_id", "held_out", "text"]).to_pylist()[0]
-    one, two, first = tokens(_as_bytes(own["text"]))
+    own = table.filter(pc.equal(table["wave"], -1)).select(["doc_id", "held_out", "sizes", "text"]).to_pylist()[0]
+    one, two, first = tokens(_texts(own["text"], own["sizes"]))
     steps = {}
     for name, found in (("one", one), ("two", two)):
         _, place = np.unique(found, return_inverse=True)
         told = np.frombuffer(b"".join(r[name] for r in rows), np.uint8)[place]
         steps[name] = [told[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         if name == "one":
-            counts = np.frombuffer(b"".join(r["counts"] for r in rows), "<i8")[place]
+            counts = np.frombuffer(b"".join(_unpacked(r["counts"], 8 * len(r["one"])) for r in rows), "<i8")[place]
     return pa.table({
         "doc_id": pa.array(own["doc_id"], pa.int64()), "held_out": pa.array(own["held_out"], pa.bool_()),
         "one": pa.array(steps["one"], pa.binary()), "two": pa.array(steps["two"], pa.binary()),
@@ -338,7 +351,7 @@ def score(docs: DataFrame, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     in_all = shards.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
     waves = max(1, -(-in_all // wave_bytes))
     with small_batches(spark, BUNDLES):
-        asked = bundles.select("bundle", "text").mapInArrow(_asker(waves, shard_bits), ASKED)
+        asked = bundles.select("bundle", "sizes", "text").mapInArrow(_asker(waves, shard_bits), ASKED)
         asked = scratch.store(asked, "asked", by=["wave"], options={"parquet.block.size": ROW_GROUP})
         for turn in range(waves):
             own = shards.where(F.shiftright(F.col("shard") * waves, shard_bits) == turn)
