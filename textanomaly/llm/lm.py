@@ -69,7 +69,7 @@ def _counter(shard_bits: int):
         keys, counts = _counted(parts)
         shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int64)
         for s, start, end in zip(*_runs(shard)):
-            yield {"kind": kind, "shard": s, "keys": keys[start:end].tobytes(), "counts": counts[start:end].astype("<u4").tobytes()}
+            yield {"kind": kind, "shard": s, "keys": keys[start:end].tobytes(), "counts": _packed(counts[start:end].astype("<u4").tobytes())}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -134,7 +134,8 @@ SHARD = "kind int, shard long, types long, total long, singles binary, keys bina
 def _shard(key, table):
     kind, shard = key[0].as_py(), key[1].as_py()
     blobs = zip(table["keys"].to_pylist(), table["counts"].to_pylist())
-    keys, counts = _counted([(np.frombuffer(k, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)) for k, c in blobs])
+    parts = [(np.frombuffer(k, "<u8"), np.frombuffer(_unpacked(c, len(k) // 2), "<u4").astype(np.int64)) for k, c in blobs]
+    keys, counts = _counted(parts)
     once = (counts == 1) & (kind == 1)
     often = (counts > 1) & (kind == 1)
     row = {
