@@ -9,7 +9,7 @@ from textanomaly.functions.text import ALPHANUMERIC, BASIC_ENGLISH_RULES, TREEBA
 from textanomaly.operators import corpus as ops
 from textanomaly.operators import embed
 from textanomaly.operators.embed import PUNCTUATION
-from textanomaly.plans.prepare import prepare
+from textanomaly.plans.prepare import prepare, prepare_files
 from textanomaly.queries.shared import SEED, labelled_documents, order_sql, scratch, table
 from textanomaly.session import settle, widen
 from textanomaly.sources.corpus import cached, load_corpus
@@ -107,6 +107,20 @@ def prepared(spark, folder):
     return result.select("doc_id", "label", *[F.col("embedding")[i].cast("long").alias(f"v{i}") for i in range(4)])
 
 
+def prepared_files(spark, folder):
+    """Every text of the table, prepared by files; the second call finds all of them done."""
+
+    def shape(raw):
+        return raw.select("doc_id", F.concat_ws("/", "lang", "source").alias("label"), "text", F.lit("train").alias("split"))
+
+    def call():
+        embed_letters = lambda df: embed.embed_with(df, letter_counts, 4)
+        return prepare_files(spark, f"{folder}/documents.parquet", embed_letters, scratch(spark, "files"), shape=shape, lowercase=True, alnum=True)
+
+    call()
+    return call().select("doc_id", "label", *[F.col("embedding")[i].cast("long").alias(f"v{i}") for i in range(4)])
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -188,6 +202,7 @@ QUERIES = {
     "check_dim": dimensions,
     "stage_roundtrip": stage,
     "prepare_corpus": prepared,
+    "prepare_files": prepared_files,
 }
 
 ORACLES = {
@@ -222,4 +237,6 @@ order by {order_sql(f"'{SEED}'", 'doc_id::varchar')}, doc_id) as k from document
      order by {order_sql(f"'{SEED}'", 'doc_id::varchar')}, doc_id) as k
   from (select doc_id, lang || '/' || source as label, {clean_sql('lower(text)', True)} as t from documents)
   where length(t) > 0) where k <= 10""",
+    "prepare_files": f"""select doc_id, label, length(t) as v0, {LETTERS} from (
+  select doc_id, lang || '/' || source as label, {clean_sql('lower(text)', True)} as t from documents) where length(t) > 0""",
 }
