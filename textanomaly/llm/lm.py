@@ -364,10 +364,11 @@ def score(docs: DataFrame, wave_bytes: int = WAVE_BYTES) -> DataFrame:
             scratch.store(part.mapInArrow(_answerer(shared), ANSWER), f"answers/wave={turn}")
             shared.destroy()
             scratch.drop(f"asked/wave={turn}")
+        scratch.drop("shards", "asked")  # before the bundles are shuffled
         answers = scratch.read("answers", f"{ANSWER}, wave int")
         told = bundles.withColumn("wave", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
         notes = scratch.store(told.groupBy("bundle").applyInArrow(_noted, NOTES), "notes")
-    scratch.drop("shards", "bundles", "asked", "answers")
+    scratch.drop("bundles", "answers")
     left = notes.where("not held_out").select("one", "two").mapInArrow(_left_over, "step long, pair long, seen long")
     counts = np.zeros((256, 256))
     for row in left.groupBy("step", "pair").agg(F.sum("seen").alias("seen")).collect():  # 65,536 rows at most
