@@ -86,13 +86,36 @@ def test_number_of_ranges_follows_the_largest_group(scored, monkeypatch):
     assert ranges.ranges_needed(df, ["g"]) == 9
     assert ranges.ranges_needed(df.limit(0), []) == 1
     monkeypatch.setattr(ranges, "MAX_RANGES", 5)
-    assert ranges.ranges_needed(df, ["g"]) == 5
+    assert ranges.ranges_needed(df, ["g"]) == 9
     placed = ranges.with_range(df.where("g = 'hot'"), ["g"], "score", 9)
     numbered = placed.groupBy("range").agg(F.min("score").alias("low"), F.max("score").alias("high")).orderBy("range")
     spans = [(r["low"], r["high"]) for r in numbered.collect()]
     assert len(spans) > 3 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_a_group_of_more_ranges_than_a_level_has(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 2)
+    monkeypatch.setattr(ranges, "MAX_RANGES", 16)
+    rng, n = np.random.default_rng(3), 600
+    y = rng.integers(0, 2, n)
+    s = np.where(np.arange(n) % 5 == 0, 0.25, rng.random(n).round(4) + y / 4)
+    rows = [("hot", int(a), float(b)) for a, b in zip(y, s)] + [("cold", 0, 1.0), ("cold", 1, 1.0), (None, 1, 2.0), (None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, y int, score double")
+    needed = ranges.ranges_needed(df, ["g"])
+    assert needed == 300
+    placed = ranges.with_range(df, ["g"], "score", needed).where("g = 'hot'").groupBy("range")
+    placed = placed.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.countDistinct("score").alias("n"))
+    spans = [(r["low"], r["high"], r["n"]) for r in placed.orderBy("range").collect()]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and len(spans) > n // 8
+    got = {r["g"]: r for r in metrics.ranking_metrics(df, ["g"]).collect()}
+    pos, neg = s[y == 1], np.sort(s[y == 0])
+    wins = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2
+    assert got["hot"]["auc"] == pytest.approx(wins / len(pos) / len(neg), abs=1e-12) and got["cold"]["auc"] == 0.5
+    assert got[None]["auc"] == 1.0
+    low = {r["g"]: r["quantile"] for r in quantile(df, ["g"], "score", 0.07).collect()}
+    assert low["hot"] == pytest.approx(np.quantile(s, 0.07), abs=1e-12)
+
+
 @pytest.fixture(scope="module")
 def scores(spark):
     rows = [(doc, d, float(v)) for doc, values in enumerate([[1, 5, 2], [3, 5, 4], [8, 5, 0]]) for d, v in enumerate(values)]

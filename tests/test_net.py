@@ -80,11 +80,38 @@ def test_masked_weights_stay_zero_and_biases_are_free():
     assert all((params[k][m == 0] == 0).all() for k, m in masks.items())
 
 
-def test_neighbour_matrix():
-    x = np.array([[0.0], [1.0], [3.0], [3.5]])
-    assert net.neighbour_matrix(x, 1).tolist() == [[0, 1, 0, 0], [1, 0, 0, 0], [0, 0, 0, 1], [0, 0, 1, 0]]
-    assert net.neighbour_matrix(x, 3).sum() == 12 and np.diag(net.neighbour_matrix(x, 3)).sum() == 0
-    assert net.neighbour_matrix(x, 4).sum() == 16  # a row counts itself once k reaches the batch
+def test_neighbour_lists():
+    x = np.array([[0.0], [1.0], [5.0], [6.0]])
+    assert net.nearest_others(x, 1).tolist() == [[1], [0], [3], [2]]
+    assert [sorted(row) for row in net.nearest_others(x, 3).tolist()] == [[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]]
+    assert net.gather_sum(x, None).tolist() == [[12.0]] * 4  # a row counts itself once k reaches the batch
+
+
+@pytest.mark.parametrize("cells", [1, 64, 1 << 23])
+def test_neighbour_lists_equal_dense_products(monkeypatch, cells):
+    monkeypatch.setattr(net, "BLOCK_CELLS", cells)
+    rng = np.random.default_rng(7)
+    x, values = rng.standard_normal((40, 5)), rng.standard_normal((40, 3))
+    near = net.nearest_others(x, 6)
+    gap = ((x[:, None] - x[None]) ** 2).sum(axis=2) + np.diag(np.full(40, np.inf))
+    dense = np.zeros((40, 40))
+    np.put_along_axis(dense, np.argsort(gap, axis=1)[:, :6], 1, axis=1)
+    assert np.array_equal(np.sort(near, axis=1), np.sort(np.argsort(gap, axis=1)[:, :6], axis=1))
+    assert np.allclose(net.gather_sum(values, near), dense @ values)
+    assert np.allclose(net.scatter_add(values, near), dense.T @ values)
+
+
+def test_a_large_batch_of_neighbours_stays_below_a_gigabyte():
+    import tracemalloc
+
+    spec = detectors.lne(hidden_dims=(16,), latent_dim=4, n_neighbors=10, batch_size=20_000)
+    x = np.random.default_rng(8).standard_normal((20_000, 32)).astype(np.float32)
+    params = net.initial(spec, 32, np.random.default_rng(9))
+    tracemalloc.start()
+    net.loss_and_grads(spec, params, x, np.random.default_rng(10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
 
 
 def test_scores_are_distances_and_modes_differ():

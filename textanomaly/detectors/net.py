@@ -16,6 +16,8 @@ from textanomaly.operators.losses import norm_family
 
 BN_EPS = 1e-5
 BN_MOMENTUM = 0.1
+# distances, and gradients of listed neighbours, held at once
+BLOCK_CELLS = 1 << 23
 STATE = ("mean", "var", "mu", "sigma", "mask")
 
 
@@ -148,18 +150,44 @@ def _back(spec, params, tape, grad, grads):
     return grad
 
 
-def neighbour_matrix(x: np.ndarray, k: int) -> np.ndarray:
-    """0/1 rows of the ``min(k, n)`` nearest others; itself only when k reaches n."""
+def nearest_others(x: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the ``k`` nearest others of every row (n x k, unordered), ``k`` below n; distances by blocks of rows."""
     n = len(x)
-    if k >= n:
-        return np.ones((n, n), x.dtype)
     squares = np.einsum("ij,ij->i", x, x)
-    gap = squares[:, None] + squares[None, :] - 2 * (x @ x.T)
-    np.fill_diagonal(gap, np.inf)
-    chosen = np.argpartition(gap, k - 1, axis=1)[:, :k]
-    matrix = np.zeros((n, n), x.dtype)
-    np.put_along_axis(matrix, chosen, 1, axis=1)
-    return matrix
+    chosen = np.empty((n, k), np.int64)
+    step = max(1, BLOCK_CELLS // n)
+    for first in range(0, n, step):
+        rows = np.arange(first, min(first + step, n))
+        gap = squares[rows, None] + squares[None, :] - 2 * (x[rows] @ x.T)
+        gap[np.arange(len(rows)), rows] = np.inf
+        chosen[rows] = np.argpartition(gap, k - 1, axis=1)[:, :k]
+    return chosen
+
+
+def gather_sum(values: np.ndarray, near: np.ndarray | None) -> np.ndarray:
+    """Sum of the listed rows for every row; without lists every row's sum is over all rows, itself too."""
+    if near is None:
+        return np.repeat(values.sum(axis=0, keepdims=True), len(values), axis=0)
+    total = values[near[:, 0]]
+    for column in near.T[1:]:
+        total += values[column]
+    return total
+
+
+def scatter_add(values: np.ndarray, near: np.ndarray | None) -> np.ndarray:
+    """Every row's value added to the rows it lists: the transpose of ``gather_sum``."""
+    if near is None:
+        return gather_sum(values, None)
+    flat = near.ravel()
+    order = np.argsort(flat, kind="stable")
+    total = np.zeros_like(values)
+    step = max(1, BLOCK_CELLS // values.shape[1])
+    for first in range(0, len(order), step):
+        part = order[first : first + step]
+        to = flat[part]
+        starts = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        total[to[starts]] += np.add.reduceat(values[part // near.shape[1]], starts, axis=0)
+    return total
 
 
 def _code(spec, params, encoded, x, train):
@@ -172,8 +200,8 @@ def _code(spec, params, encoded, x, train):
         return raw / norm, {"norm": norm}
     if spec.family == "lne":
         outer = spec.locality == "outer" and train
-        near = neighbour_matrix(x if outer else encoded, spec.n_neighbors)
-        gathered = near @ encoded
+        near = nearest_others(x if outer else encoded, spec.n_neighbors) if spec.n_neighbors < len(x) else None
+        gathered = gather_sum(encoded, near)
         return gathered @ params["A"], {"near": near, "gathered": gathered}
     return encoded, {}
 
@@ -226,7 +254,7 @@ def loss_and_grads(spec: DetectorSpec, params: dict, x: np.ndarray, rng, with_gr
         source = held.get("gathered", encoded)
         grads["A"] = grads.get("A", 0) + source.T @ d_latent
         d_source = d_latent @ params["A"].T
-        d_encoded = d_encoded + (held["near"].T @ d_source if "near" in held else d_source)
+        d_encoded = d_encoded + (scatter_add(d_source, held["near"]) if "near" in held else d_source)
     _back(spec, params, enc_tape, d_encoded, grads)
     for name in grads:
         if f"{name}.mask" in params:
