@@ -5,6 +5,9 @@ the bits of their shingles. Fingerprints within the radius of an item's agree wi
 an eighth of the radius, so a table of each block's values finds all of them; the similarity of the shingles'
 counts (the sum of the smaller over the sum of the larger counts) is then computed from the words themselves.
 
+A document with fewer words than an item has no window of its length; the whole document is then its one window for
+that item, fingerprinted and compared the same way.
+
 A window as similar as asked must hold that share of the item's shingles, so windows with fewer shingles of any
 item are left out before they are fingerprinted; this loses none.
 """
@@ -32,6 +35,8 @@ RADIUS = 39
 ITEMS = 1024
 ITEM_BYTES = 32 << 20
 GATE_BITS = 20
+# bits of shingles held at once while windows are fingerprinted (4 bytes each)
+WINDOW_BITS = 1 << 24
 
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> Counter:
@@ -103,16 +108,18 @@ class Index:
         return window[apart <= RADIUS], item[apart <= RADIUS]
 
 
-def _windows(index: Index, words: Words, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, starts) of the windows that hold enough known shingles of ``size`` words."""
-    hashes = _shingle_hashes(words, size)
+def _known(index: Index, hashes: np.ndarray, size: int) -> np.ndarray:
+    """Whether an item holds the shingle."""
     gate = np.zeros(1 << GATE_BITS, bool)
     gate[(index.known[size] >> np.uint64(64 - GATE_BITS)).astype(np.int64)] = True
     hit = gate[(hashes >> np.uint64(64 - GATE_BITS)).astype(np.int64)]
     at = np.flatnonzero(hit)
     hit[at] = np.isin(hashes[at], index.known[size])
-    if not hit.any():
-        return
+    return hit
+
+
+def _windows(index: Index, words: Words, hit: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, starts) of the windows of an item's length that hold enough known shingles of ``size`` words."""
     before = np.append(0, np.cumsum(hit))
     ends = words.first[1:][words.rows]  # where each word's text ends
     for length in np.unique(index.lengths).tolist():
@@ -126,35 +133,61 @@ def _windows(index: Index, words: Words, size: int) -> Iterator[tuple[int, np.nd
             yield length, starts
 
 
+def _whole_texts(index: Index, words: Words, hit: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, starts) of whole texts that are shorter than an item, but not too short to be as similar as asked."""
+    before = np.append(0, np.cumsum(hit))
+    lengths = index.lengths[np.minimum(SHINGLE, index.lengths) == size]
+    for length in np.unique(words.counts).tolist():
+        held = length - size + 1
+        longer = lengths[lengths > length]
+        if held < 1 or not len(longer) or held < SIMILARITY * (longer.min() - size + 1):
+            continue
+        starts = words.first[:-1][words.counts == length]
+        # the shortest longer item has the fewest shingles, and the text must hold that share of them
+        starts = starts[before[starts + held] - before[starts] >= SIMILARITY * (longer.min() - size + 1)]
+        if len(starts):
+            yield length, starts
+
+
 def _matches(index: Index, texts: list[bytes]) -> dict[tuple[int, int], tuple[float, int, int]]:
     """(text, item) -> best similarity, the window's first word (negated) and its length."""
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     words = Words(texts, lower=False)
     for size in index.known if len(words) else ():
-        hashes = None
-        for length, starts in _windows(index, words, size):
-            hashes = _shingle_hashes(words, size) if hashes is None else hashes
-            held = length - size + 1
-            prints = np.empty((len(starts), BITS // 8), np.uint8)
-            for part in range(0, len(starts), 2048):
-                some = starts[part : part + 2048]
-                bits = _bits(hashes[(some[:, None] + np.arange(held)).ravel()]).reshape(len(some), held, BITS)
-                prints[part : part + 2048] = np.packbits(bits.sum(axis=1) > 0, axis=1)
-            for window, item in zip(*(x.tolist() for x in index.candidates(prints))):
-                if index.lengths[item] != length:
-                    continue
-                start = int(starts[window])
-                text = int(np.searchsorted(words.first, start, "right")) - 1
-                window_words = [
-                    bytes(words.data[a:b]) for a, b in zip(words.starts[start : start + length], words.ends[start : start + length])
-                ]
-                alike = similarity(shingles(window_words), index.counts[item])
-                if alike >= SIMILARITY:
-                    key, found = (text, item), (alike, int(words.first[text]) - start, length)
-                    best[key] = max(best.get(key, found), found)
+        hashes = _shingle_hashes(words, size)
+        hit = _known(index, hashes, size)
+        if not hit.any():
+            continue
+        for find, shorter in ((_windows, False), (_whole_texts, True)):
+            for length, starts in find(index, words, hit, size):
+                wanted = index.lengths > length if shorter else index.lengths == length
+                _compare(index, words, hashes, length, size, starts, wanted, best)
     return best
 
 
+def _compare(index, words: Words, hashes, length: int, size: int, starts, wanted, best) -> None:
+    """Fingerprint the windows, look for the ``wanted`` items near them and keep each text's best in ``best``."""
+    held = length - size + 1
+    prints = np.empty((len(starts), BITS // 8), np.uint8)
+    step = max(1, WINDOW_BITS // (held * BITS))
+    for part in range(0, len(starts), step):
+        some = starts[part : part + step]
+        bits = _bits(hashes[(some[:, None] + np.arange(held)).ravel()]).reshape(len(some), held, BITS)
+        prints[part : part + step] = np.packbits(bits.sum(axis=1) > 0, axis=1)
+    for window, item in zip(*(x.tolist() for x in index.candidates(prints))):
+        if not wanted[item] or min(SHINGLE, int(index.lengths[item])) != size:
+            continue
+        start = int(starts[window])
+        text = int(np.searchsorted(words.first, start, "right")) - 1
+        window_words = [
+            bytes(words.data[a:b]) for a, b in zip(words.starts[start : start + length], words.ends[start : start + length])
+        ]
+        alike = similarity(shingles(window_words), index.counts[item])
+        if alike >= SIMILARITY:
+            key, found = (text, item), (alike, int(words.first[text]) - start, length)
+            best[key] = max(best.get(key, found), found)
+
+
 def _search(index):
     """``index``: a broadcast Index."""
 
@@ -180,8 +213,9 @@ SCHEMA = pa.schema(
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): the best window of each document for each item it holds.
 
-    Words are lower-cased and split at white space; items shorter than a shingle are one shingle. Items without
-    words match nothing. Documents are only read; a document with a null id is listed with it. Items are looked for
+    Words are lower-cased and split at white space; items shorter than a shingle are one shingle. A document shorter
+    than an item is compared whole. Null and empty texts hold nothing, items without words match nothing, repeated
+    rows are each listed, and of equally similar windows the first is given. Documents are only read; a document with a null id is listed with it. Items are looked for
     in passes of a bounded number and size, so the broadcast index stays small for any benchmark.
     """
     spark = docs.sparkSession
