@@ -119,6 +119,14 @@ def test_fit_then_score_equals_fit_and_score(rows):
     assert again == direct
 
 
+@pytest.mark.parametrize("bound", [None, 0])
+def test_scores_of_the_test_split_only(rows, bound):
+    every = fitting.fit_and_score(rows, SPECS[:2], KEYS, ["y"], max_group_rows=bound).where("split = 'test'")
+    tested = fitting.fit_and_score(rows, SPECS[:2], KEYS, ["y"], max_group_rows=bound, scored="test")
+    rounded = F.round("score", 4).alias("score")
+    assert sorted(every.withColumn("score", rounded).collect()) == sorted(tested.withColumn("score", rounded).collect())
+
+
 def test_scores_without_keys_in_both_ways(rows):
     train = rows.where("split = 'train'")
     models = fitting.fit_detectors(train, SPECS[:1] + SPECS[3:], [])

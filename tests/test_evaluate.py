@@ -205,3 +205,14 @@ def test_detectors_a_row_lacks_do_not_count(spark):
     for how, want in (("median", [1.0, 5.0, None, 7.0]), ("average", [1.0, 11 / 3, None, 7.0]), ("maximisation", [1.0, 5.0, None, 7.0])):
         rows = ensemble.sub_ensemble(z, ["doc_id"], draws, how).orderBy("doc_id", "draw").collect()
         assert [r["score"] for r in rows] == want
+
+
+def test_bounded_groups_are_shuffled_once(spark):
+    rng = np.random.default_rng(13)
+    rows = [(int(i % 3), int(y), float(s)) for i, (y, s) in enumerate(zip(rng.integers(0, 2, 90), rng.integers(0, 20, 90)))]
+    df = spark.createDataFrame(rows, "g int, y int, score double")
+    bounded = metrics.ranking_metrics(df, ["g"], ranges=1)
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    near = lambda found: sorted((r["g"], round(r["auc"], 9), round(r["ap"], 9)) for r in found.collect())
+    assert near(bounded) == near(metrics.ranking_metrics(df, ["g"], ranges=4))
