@@ -228,6 +228,15 @@ def test_gradient_sums_are_the_row_weighted_mean(spark):
     assert all(np.allclose(grads[k], want[k], atol=1e-6) for k in want)
 
 
+def test_a_step_runs_on_the_partitions_of_its_batches(rows, monkeypatch):
+    spec = SPECS[0].but(batch_size=4, epochs=1)
+    asked, real = [], fitting.gradient_sums
+    monkeypatch.setattr(fitting, "gradient_sums", lambda *a: asked.append((a[0].getNumPartitions(), a[4], a[5])) or real(*a))
+    fitting.fit_detectors(rows.where("split = 'train'"), [spec], KEYS, max_group_rows=0).collect()
+    # 10, 8 and 7 batches a group; a step takes one of each
+    assert len(asked) == 10 and all(len(places) <= 3 < every for every, _, places in asked)
+
+
 def test_large_groups_are_fitted_and_scored_too(rows):
     few = as_dict(fitting.fit_and_score(rows, [SPECS[0], SPECS[4]], KEYS))
     split = as_dict(fitting.fit_and_score(rows, [SPECS[0], SPECS[4]], KEYS, max_group_rows=70))

@@ -10,9 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,12 +27,23 @@ from textanomaly.session import attach, settle, small_side
 MAX_GROUP_ROWS = 5000
 # Models of large groups that are trained in the same jobs; more are trained in waves.
 MAX_DRIVER_BYTES = 1 << 30
-BLOCK = 8192
-# Bytes of vectors that one task of a large fit reads a step, and (group, chunk) pieces a core in a grid.
-TASK_BYTES = 128 << 20
+# Bytes of vectors that one task of a large fit reads a step, partitions that steps are spread over up to there, and
+# (group, chunk) pieces a core in a grid.
+TASK_BYTES, STEP_PARTS = 16 << 20, 128
 PIECES = 32
 
 
+PACKED = T.StructType(
+    [
+        T.StructField("lane", T.IntegerType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("data", T.BinaryType()),
+    ]
+)
+
+
 def model_schema(df: DataFrame, keys: list[str]) -> T.StructType:
     return T.StructType(
         [
@@ -287,10 +297,10 @@ def fit_detectors_large(
     Rows are laid out once a batch size in hash batches of about that size (whole batches
     stay in a task, a hot key covers many tasks) and written to the checkpoint
     folder; where there are fewer batches than cores, detectors are dealt over lanes
-    that each hold a copy. A step is a job without a row shuffle, whatever the number and
-    shapes of the detectors: each task adds up the gradients of its batches by key and
-    detector, the sums are added by Spark and only model-sized vectors reach
-    the driver, which moves the weights. As in ``net.fit`` a step takes
+    that each hold a copy. A step is a job without a shuffle, whatever the number and
+    shapes of the detectors, on the partitions of its own batches only: each task adds up the
+    gradients of its batches by key and detector, and only model-sized vectors reach the
+    driver, which adds them up and moves the weights. As in ``net.fit`` a step takes
     ``batches_per_step`` batches of each group; they act as one synchronous batch,
     normalisation statistics stay local to a batch and the running ones are
     row-weighted means. Models above ``max_driver_bytes`` together are trained in
@@ -304,29 +314,39 @@ def fit_detectors_large(
     scaler = settle(fit_scaler(rows, keys)) if any(s.standardize for s in specs) else None
     if wanted is not None:
         named = wanted.select(*keys, "detector_id").distinct().groupBy(*keys).agg(F.collect_set("detector_id").alias("__wanted"))
+    lengths = rows.groupBy(*keys).agg(F.max(F.size("embedding")).alias("dim"), F.min(F.size("embedding")).alias("low"))
+    members = lengths.where(F.col("dim").isNotNull()).withColumn("model", model_name(keys))
+    if scaler is not None:
+        members = attach(members, scaler, keys)
+    if wanted is not None:
+        members = attach(members, small_side(named), keys)
+    members = settle(members)
+    if not members.where("low <> dim").isEmpty():
+        raise ValueError("vectors of one group differ in length")
     table = spark.createDataFrame([], model_schema(df, keys))
     for size in sorted({s.batch_size for s in specs}):
         own = [s for s in specs if s.batch_size == size]
-        laid_out, most, lanes = _layout(rows, keys, size, len(own), tasks)
-        members = laid_out.where("lane = 0").groupBy("model", *keys).agg(
-            F.max(F.size("embedding")).alias("dim"), F.min(F.size("embedding")).alias("low")
-        )
-        if scaler is not None:
-            members = attach(members, scaler, keys)
-        if wanted is not None:
-            members = attach(members, small_side(named), keys)
-        members = settle(members)
-        if not members.where("low <> dim").isEmpty():
-            raise ValueError("vectors of one group differ in length")
+        laid_out, most, lanes = _layout(rows, keys, size, len(own), tasks, min(s.batches_per_step for s in own))
+        # a step runs on the partitions of its own batches only; what is lost is read from the layout again
+        batches = laid_out.rdd.persist(StorageLevel.MEMORY_AND_DISK)
+        places: dict[int, set] = {}
+        for number, place in laid_out.select("batch", F.spark_partition_id()).distinct().collect():  # one row a batch
+            places.setdefault(number, set()).add(place)
         for pace in sorted({s.batches_per_step for s in own}):
             paced = [s for s in own if s.batches_per_step == pace]
-            for wave in _waves(members, paced, keys, start or {}, max_driver_bytes, wanted is not None):
-                table = table.unionByName(_trained(laid_out, wave, -(-most // pace), lanes, model_schema(df, keys)))
+            # beside weights, moments and sums, the driver holds those of the tasks that share a model's step
+            sent = 1 + min(pace, 4 * spark.sparkContext.defaultParallelism) // 2
+            for wave in _waves(members, paced, keys, start or {}, max_driver_bytes // sent, wanted is not None):
+                table = table.unionByName(_trained(batches, places, wave, -(-most // pace), lanes, model_schema(df, keys)))
+        batches.unpersist()
     return table
 
 
-def _layout(rows: DataFrame, keys: list[str], batch_size: int, detectors: int, tasks: int | None) -> tuple[DataFrame, int, int]:
-    """Rows (lane, model, batch, embedding) in whole batches a task, the most batches of a model and the lanes."""
+def _layout(rows: DataFrame, keys: list[str], batch_size: int, detectors: int, tasks: int | None, pace: int) -> tuple[DataFrame, int, int]:
+    """Batches (lane, model, batch, rows, data), each whole in a task, the most batches of a model and the lanes.
+
+    The batches of a step lie together in a few partitions of their own, as far as there are partitions.
+    """
     spark = rows.sparkSession
     counts = small_side(batch_counts(rows, keys, batch_size))
     of_all, most = counts.agg(F.coalesce(F.sum("batches"), F.lit(0)), F.coalesce(F.max("batches"), F.lit(0))).first()
@@ -334,15 +354,17 @@ def _layout(rows: DataFrame, keys: list[str], batch_size: int, detectors: int, t
     if tasks is None:
         first = rows.select(F.size("embedding")).first()
         held = lanes * of_all * batch_size * 4 * (first[0] if first else 0)
-        tasks = min(lanes * max(of_all, 1), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES)))
+        tasks = min(lanes * max(of_all, 1), max(STEP_PARTS, -(-held // TASK_BYTES)))
+    slots = 4 * spark.sparkContext.defaultParallelism
     laid_out = (
         hash_batches(rows, keys, batch_size, counts=counts)
         .withColumn("model", model_name(keys))
         .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-        .repartition(tasks, "model", "batch", "lane")
+        .withColumns({"step": F.floor(F.col("batch") / pace), "slot": F.pmod(F.xxhash64("model", "batch", "lane"), F.lit(slots))})
+        .repartition(tasks, "step", "slot")
         .sortWithinPartitions("lane", "model", "batch", "doc_id")
     )
-    return settle(laid_out), most, lanes
+    return settle(packed(laid_out)), most, lanes
 
 
 def _waves(members: DataFrame, specs: list[DetectorSpec], keys: list[str], start: dict, most_bytes: int, chosen: bool):
@@ -368,26 +390,22 @@ def _waves(members: DataFrame, specs: list[DetectorSpec], keys: list[str], start
         yield wave
 
 
-def _trained(laid_out: DataFrame, wave: dict[tuple, tuple], steps: int, lanes: int, schema: T.StructType) -> DataFrame:
+def _trained(batches: RDD, held: dict[int, set], wave: dict[tuple, tuple], steps: int, lanes: int, schema: T.StructType) -> DataFrame:
     """The model rows of one wave of (spec, key, starting parameters), written to the checkpoint folder."""
-    spark = laid_out.sparkSession
     optimizers = {name: net.Adam(spec.learning_rate, spec.weight_decay) for name, (spec, _, _) in wave.items()}
-    own = F.broadcast(spark.createDataFrame([(m,) for m in {m for m, _ in wave}], "model string"))  # bounded with the wave
-    # kept in columns, so a step skips the blocks of other batches; what is lost is read from the layout again
-    rows = laid_out.join(own, "model", "left_semi").select("lane", "model", "batch", "embedding").persist()
     pace = next(iter(wave.values()))[0].batches_per_step
     for turn in range(max(spec.epochs for spec, _, _ in wave.values()) * steps):
         epoch, step = divmod(turn, steps)
-        batches = rows
-        if steps > 1:
-            batches = rows.where(F.floor(F.col("batch") / pace) == step)
+        numbers = range(step * pace, (step + 1) * pace)
+        places = sorted(set().union(*[held.get(number, ()) for number in numbers]))
+        if not places:
+            continue
         models = {name: (spec, params) for name, (spec, _, params) in wave.items() if epoch < spec.epochs}
-        for name, grads, stats in gradient_sums(batches, models, epoch, lanes):
+        for name, grads, stats in gradient_sums(batches, models, epoch, lanes, numbers, places):
             optimizers[name].step(models[name][1], grads)
             net.update_running(models[name][1], stats)
-    rows.unpersist()
     data = [(*key, *row[:4], row[4].tolist()) for spec, key, params in wave.values() for row in model_rows(spec, params)]
-    return settle(spark.createDataFrame(data, schema))
+    return settle(SparkSession.active().createDataFrame(data, schema))
 
 
 def as_float(vector: str):
@@ -419,54 +437,65 @@ def whole_batches(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str,
         yield *key, np.concatenate(held)
 
 
-def gradient_sums(batches: DataFrame, models: dict[tuple, tuple], epoch: int, lanes: int = 1):
-    """Row-weighted mean gradients and batch statistics of every (model, detector), for one step of an epoch."""
+def packed(laid_out: DataFrame) -> DataFrame:
+    """(lane, model, batch, rows, data: their float vectors' bytes) of every batch, in the partitions that hold them."""
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lane, name, number, x in whole_batches(frames):
+            cells = [[lane], [name], [number], [len(x)], [np.ascontiguousarray(x, np.float32).tobytes()]]
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=PACKED.names)
+
+    return laid_out.select("lane", "model", "batch", "embedding").mapInArrow(pack, PACKED)
+
+
+def gradient_sums(
+    batches: DataFrame | RDD,
+    models: dict[tuple, tuple],
+    epoch: int,
+    lanes: int = 1,
+    numbers: range | None = None,
+    partitions: list[int] | None = None,
+):
+    """Row-weighted mean gradients and batch statistics of every (model, detector), for one step of an epoch.
+
+    ``numbers`` are the batches the step takes and ``partitions`` those that hold them, if not all.
+    """
+    if isinstance(batches, DataFrame):
+        batches = packed(batches).rdd
     by_model: dict = {}
     for (model, detector), (spec, params) in models.items():
         by_model.setdefault(model, []).append((detector, spec, params))
-    shared = batches.sparkSession.sparkContext.broadcast(by_model)
+    shared = batches.context.broadcast(by_model)
 
     def flatten(params: dict, grads: dict, stats: dict) -> np.ndarray:
         parts = [grads[n] for n in net.trainable(params)]
         parts += [value for name in sorted(stats) for value in stats[name]]
         return np.concatenate([np.asarray(p, np.float64).ravel() for p in parts])
 
-    def partial(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(found: Iterator[tuple]) -> Iterator[tuple]:
         sums: dict = {}
-        for lane, name, number, x in whole_batches(frames):
+        for lane, name, number, n, data in found:
+            if numbers is not None and number not in numbers:
+                continue
+            x = np.frombuffer(data, np.float32).reshape(n, -1)
             for detector, spec, params in shared.value.get(name, [])[lane::lanes]:
                 rng = net.seeded(spec.seed, spec.detector_id, name, int(number), epoch)
                 _, grads, stats = net.loss_and_grads(spec, params, net.standardized(params, x), rng)
-                total, n = sums.get((name, detector), (0, 0))
-                sums[name, detector] = (total + len(x) * flatten(params, grads, stats), n + len(x))
-        for (name, detector), (total, n) in sums.items():
-            blocks = np.split(total, range(BLOCK, len(total), BLOCK))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(blocks), pa.string()),
-                    pa.array([detector] * len(blocks), pa.string()),
-                    pa.array(range(len(blocks)), pa.int32()),
-                    pa.array([n] * len(blocks), pa.int64()),
-                    pa.array(blocks, pa.list_(pa.float64())),
-                ],
-                names=["model", "detector", "block", "n", "data"],
-            )
-
-    parts = batches.select("lane", "model", "batch", "embedding").mapInArrow(
-        partial, "model string, detector string, block int, n long, data array<double>"
-    )
-    summed = parts.groupBy("model", "detector", "block").agg(
-        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("data"))).alias("data")
-    )
-    # model-sized: one row a block of parameters, bounded by MAX_DRIVER_BYTES
-    order = [("model", "ascending"), ("detector", "ascending"), ("block", "ascending")]
-    table = summed.toArrow().combine_chunks().sort_by(order)
+                total, rows = sums.get((name, detector), (0, 0))
+                sums[name, detector] = (total + n * flatten(params, grads, stats), rows + n)
+        for name, (total, rows) in sums.items():
+            yield name, total, rows
+
+    # model-sized: one vector a task and model, bounded with the wave
+    parts = batches.context.runJob(batches, partial, partitions)
     shared.destroy()
     found: dict = {}
-    for model, detector, n, data in zip(*(table[c].to_pylist() for c in ("model", "detector", "n")), table["data"]):
-        found.setdefault((model, detector), []).append(data.values.to_numpy() / n)
-    for name, blocks in found.items():
-        yield name, *unflatten(*models[name], np.concatenate(blocks))
+    for name, total, rows in parts:
+        before, n = found.get(name, (0, 0))
+        found[name] = (before + total, n + rows)
+    for name, (total, n) in found.items():
+        yield name, *unflatten(*models[name], total / n)
 
 
 def unflatten(spec: DetectorSpec, params: dict, flat: np.ndarray) -> tuple[dict, dict]:
