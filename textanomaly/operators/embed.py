@@ -24,6 +24,8 @@ HEAVY_BYTES, HEAVY_SLOTS = 4 << 20, 1 << 12
 
 # so many tokens are added up at a time
 BLOCK_TOKENS = 1 << 14
+# a task works on the texts of so many tokens at a time, or on one longer text
+PIECE_TOKENS = 1 << 18
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 
@@ -86,6 +88,18 @@ def pool_word_vectors(
     return pool_by_join(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carry)
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches by the tokens in the column numbered ``lists``: a batch is bounded in rows only, however long."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(lists).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + PIECE_TOKENS, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _pool_in_place(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carry) -> DataFrame:
     table = vectors.toArrow()
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -109,7 +123,7 @@ def _pool_in_place(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carr
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, values = shared.value
         index = {word: i for i, word in enumerate(words)}
-        for batch in batches:
+        for batch in in_pieces(batches, 1 + len(carry)):
             lengths = batch.column(forms[0]).value_lengths().to_numpy(zero_copy_only=False)
             found = looked_up(batch.column(forms[0]), index)
             for form in forms[1:]:
@@ -147,7 +161,7 @@ def frequent_tokens(texts: DataFrame, tokens: str, slots: int = HEAVY_SLOTS) ->
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
-        for batch in batches:
+        for batch in in_pieces(batches, 0):
             words, _, codes, _ = _counted_tokens(batch.column(0))
             for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
                 held[word] = held.get(word, 0) + n
@@ -208,7 +222,7 @@ def pool_by_join(
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed, has_vector, values = shared.value
         index = {name: i for i, name in enumerate(listed)}
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             words, rows, codes, counts = _counted_tokens(batch.column(1))
             place = np.array([index.get(word, -1) for word in words], np.int64)[codes] if words else codes
             own, n = batch.num_rows, np.where(place >= 0, counts, 0)
