@@ -257,3 +257,13 @@ def test_heavy_tokens_do_not_change_a_join(spark, how, oov):
     show = lambda **o: {r["doc_id"]: np.round(r["embedding"], 9).tolist() for r in embed.pool_by_join(docs, vectors, 2, how, oov, "whitespace", **o).collect()}
     want = {r["doc_id"]: np.round(r["embedding"], 9).tolist() for r in embed.pool_word_vectors(docs, vectors, 2, how, oov, "whitespace").collect()}
     assert show() == want and show(heavy_bytes=16) == want and show(heavy_bytes=32) == want
+
+
+def test_a_vocabulary_of_a_million_tokens_is_joined(spark, monkeypatch):
+    """A Python worker's copy takes several times the bytes measured, and an executor has a worker a core."""
+    vectors = spark.range(1_000_000).select(F.format_string("%012d", "id").alias("token"), F.array_repeat(F.lit(0.5).cast("float"), 4).alias("vector"))
+    monkeypatch.setattr(embed, "_pool_in_place", lambda *given: "broadcast")
+    monkeypatch.setattr(embed, "pool_by_join", lambda *given: "joined")
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert embed.pool_word_vectors(docs, vectors, 4) == "joined"
+    assert embed.pool_word_vectors(docs, vectors.limit(1000), 4) == "broadcast"

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from textanomaly.functions import text as text_functions
 from textanomaly.session import measured_bytes, settle
 
-# A Python worker keeps its own copy of a broadcast vocabulary.
-MAX_VOCABULARY_BYTES = 512 << 20
+# Every Python worker keeps its own copy of a broadcast vocabulary, in some six times the bytes measured.
+MAX_VOCABULARY_BYTES = 64 << 20
 
 # Vectors of the tokens that most texts hold, in a join; counters of a task's sketch.
 HEAVY_BYTES, HEAVY_SLOTS = 4 << 20, 1 << 12
