@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textanomaly.functions import text as text_functions
 from textanomaly.functions.text import basic_english_tokens, clean_text
 from textanomaly.operators import corpus as ops
 from textanomaly.operators import embed
@@ -259,6 +260,25 @@ def test_heavy_tokens_do_not_change_a_join(spark, how, oov):
     assert show() == want and show(heavy_bytes=16) == want and show(heavy_bytes=32) == want
 
 
+def test_rules_are_left_out_only_where_they_change_nothing(spark):
+    """A rule whose parts a text lacks leaves it alone, so guarded rules give what all rules give."""
+    odd = ["", " ", "plain words", "He said \"yes\" . Mr. X can't. Cannot", "'tis gimme d'ye more'n 'Twas", "a\u0001b", "« “ ‘ „ `q` ''x'' ''", "3:4 a:b a,b",
+           "gonna  wanna gotta lemme", "the end.", "x..y -- z [1] (2)", "dogs' tails' ", "ab\u0085 c\u0085d e_f 12 é", "\"start", "St. Paul. Next\n(One). 5.5"]
+    docs = spark.createDataFrame([(t,) for t in [*odd, None]], "t string")
+    t = F.col("t")
+    guarded = docs.select(text_functions._treebank(t).alias("a"), text_functions.apply_rules(t, text_functions.TREEBANK_RULES).alias("b"))
+    assert all(r["a"] == r["b"] for r in guarded.collect())
+    for (pattern, replacement), parts in zip(text_functions.TREEBANK_RULES, text_functions.TREEBANK_PARTS, strict=True):
+        if parts:
+            lacks = docs
+            for part in parts:
+                lacks = lacks.where(~t.contains(part))
+            assert lacks.where(F.regexp_replace(t, pattern, "\u0002") != t).isEmpty()
+    words = F.filter(text_functions.word_tokens(t), lambda w: w.rlike(text_functions.ALPHANUMERIC))
+    kept = docs.select(text_functions.clean_text(t, alnum=True).alias("a"), F.array_join(words, " ").alias("b"))
+    assert all(r["a"] == r["b"] for r in kept.collect())
+
+
 def test_a_vocabulary_of_a_million_tokens_is_joined(spark, monkeypatch):
     """A Python worker's copy takes several times the bytes measured, and an executor has a worker a core."""
     vectors = spark.range(1_000_000).select(F.format_string("%012d", "id").alias("token"), F.array_repeat(F.lit(0.5).cast("float"), 4).alias("vector"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +45,26 @@ TREEBANK_RULES: list[tuple[str, str]] = [
     ("\u0001", "."),
 ]
 
+# A text without any of these parts is left as it is by the rule of the same place; none: always applied.
+TREEBANK_PARTS: list[tuple[str, ...]] = [
+    (),
+    (".",),
+    ('"',),
+    ("«", "“", "‘", "„", "`"),
+    ('"', "''"),
+    (".",),
+    (".",),
+    (":", ","),
+    ("' ",),
+    (),
+    (),
+    (),
+    ("'",),
+    ("annot", "imme", "emme", "onna", "anna", "otta"),
+    ("'",),
+    (),
+]
+
 # The "basic English" word tokenisation, in the order the rules are applied.
 BASIC_ENGLISH_RULES: list[tuple[str, str]] = [
     (r"(['.,()!?])", r" \1 "),
@@ -52,15 +74,39 @@ BASIC_ENGLISH_RULES: list[tuple[str, str]] = [
 
 WHITESPACE = r"[\s\p{Z}]+"
 ALPHANUMERIC = r"^[\p{L}\p{N}]+$"
+# a space and a word after it that ALPHANUMERIC does not fit ($ also stands before a last U+0085)
+_OTHER_WORD = r" (?![\p{L}\p{N}]++\u0085?(?: |\z))[^ ]++"
 
 
 def spark_replacement(text: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", text.replace("$", r"\$"))
 
 
+def _apply(column: Column, pattern: str, replacement: str) -> Column:
+    if re.escape(pattern) == pattern and "\\" not in replacement:
+        return F.replace(column, F.lit(pattern), F.lit(replacement))  # no expression needed
+    return F.regexp_replace(column, pattern, spark_replacement(replacement))
+
+
 def apply_rules(column: Column, rules: Iterable[tuple[str, str]]) -> Column:
     for pattern, replacement in rules:
-        column = F.regexp_replace(column, pattern, spark_replacement(replacement))
+        column = _apply(column, pattern, replacement)
+    return column
+
+
+def _apply_where(column: Column, parts: tuple[str, ...], pattern: str, replacement: str) -> Column:
+    """A rule for the texts that hold one of ``parts``: to look for them costs far less than the rule."""
+
+    def changed(text: Column) -> Column:
+        return F.when(reduce(or_, [text.contains(part) for part in parts]), _apply(text, pattern, replacement)).otherwise(text)
+
+    # a list of one, so that the text so far is worked out once
+    return F.transform(F.array(column), changed)[0]
+
+
+def _treebank(column: Column) -> Column:
+    for (pattern, replacement), parts in zip(TREEBANK_RULES, TREEBANK_PARTS, strict=True):
+        column = _apply_where(column, parts, pattern, replacement) if parts else _apply(column, pattern, replacement)
     return column
 
 
@@ -70,7 +116,7 @@ def split_words(column: Column) -> Column:
 
 def word_tokens(column: Column) -> Column:
     """Treebank-style word tokens."""
-    return split_words(apply_rules(column, TREEBANK_RULES))
+    return split_words(_treebank(column))
 
 
 def basic_english_tokens(column: Column) -> Column:
@@ -81,7 +127,7 @@ def basic_english_tokens(column: Column) -> Column:
 def clean_text(column: Column, lowercase: bool = False, alnum: bool = False) -> Column:
     """Tokens joined by one space; null stays null; ``alnum`` keeps whole-word tokens."""
     source = F.lower(column) if lowercase else column
+    words = F.trim(F.regexp_replace(_treebank(source), WHITESPACE, " "))
     if not alnum:
-        return F.trim(F.regexp_replace(apply_rules(source, TREEBANK_RULES), WHITESPACE, " "))
-    words = F.filter(word_tokens(source), lambda w: w.rlike(ALPHANUMERIC))
-    return F.when(column.isNotNull(), F.array_join(words, " "))
+        return words
+    return F.substring(F.regexp_replace(F.concat(F.lit(" "), words), _OTHER_WORD, ""), 2, 1 << 30)
