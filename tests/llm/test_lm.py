@@ -119,3 +119,11 @@ def test_score_is_close_to_what_exact_counts_give(spark, documents):
             want += log10(min(1.0, chance + mass(a) * (middle(one[b]) + 1) / total))
         # false positives of the filter raise some steps by one
         assert abs(got[i] - want) < 0.03 * abs(want) + 0.5
+
+
+def test_sorted_keys_are_stored_in_fewer_bytes():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 100_000, np.uint64))
+    assert (lm._unpacked_keys(lm._packed_keys(keys)) == keys).all()
+    assert len(lm._packed_keys(keys)) < 6.6 * len(keys)
+    for few in ([], [0], [(1 << 64) - 1], [0, (1 << 64) - 1], [5, 6]):
+        assert lm._unpacked_keys(lm._packed_keys(np.array(few, np.uint64))).tolist() == few

@@ -69,7 +69,7 @@ def _counter(shard_bits: int):
         keys, counts = _counted(parts)
         shard = (keys >> np.uint64(64 - shard_bits)).astype(np.int64)
         for s, start, end in zip(*_runs(shard)):
-            yield {"kind": kind, "shard": s, "keys": keys[start:end].tobytes(), "counts": _packed(counts[start:end].astype("<u4").tobytes())}
+            yield {"kind": kind, "shard": s, "keys": _packed_keys(keys[start:end]), "counts": _packed(counts[start:end].astype("<u4").tobytes())}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -134,7 +134,7 @@ SHARD = "kind int, shard long, types long, total long, singles binary, keys bina
 def _shard(key, table):
     kind, shard = key[0].as_py(), key[1].as_py()
     blobs = zip(table["keys"].to_pylist(), table["counts"].to_pylist())
-    parts = [(np.frombuffer(k, "<u8"), np.frombuffer(_unpacked(c, len(k) // 2), "<u4").astype(np.int64)) for k, c in blobs]
+    parts = [(_unpacked_keys(k), np.frombuffer(_unpacked(c), "<u4").astype(np.int64)) for k, c in blobs]
     keys, counts = _counted(parts)
     once = (counts == 1) & (kind == 1)
     often = (counts > 1) & (kind == 1)
@@ -206,11 +206,22 @@ NOTES = "doc_id long, held_out boolean, one binary, two binary, n_known long, lo
 
 
 def _packed(data: bytes) -> bytes:
-    return pa.compress(data, "zstd", asbytes=True) if data else b""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True) if data else b""
 
 
-def _unpacked(data: bytes, size: int) -> bytes:
-    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True) if data else b""
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, all first bytes before all second ones: the last are nearly always zero."""
+    steps = np.diff(keys.astype("<u8"), prepend=np.uint64(0))
+    return _packed(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(_unpacked(data), np.uint8).reshape(8, -1).T.tobytes()
+    return np.cumsum(np.frombuffer(steps, "<u8"), dtype=np.uint64)
 
 
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +238,7 @@ def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(packed: bytes, sizes: list[int]) -> list[bytes]:
     """The texts of a bundle."""
     ends = np.append(0, np.cumsum(sizes)).astype(np.int64).tolist()
-    data = _unpacked(packed, ends[-1])
+    data = _unpacked(packed)
     return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
@@ -244,7 +255,7 @@ def _asker(waves: int, shard_bits: int):
                     shard = keys >> np.uint64(64 - shard_bits)
                     wave = ((shard * np.uint64(waves)) >> np.uint64(shard_bits)).astype(np.int64)
                     for turn, start, end in zip(*_runs(wave)):
-                        rows.setdefault(turn, {"bundle": bundle, "wave": turn, "one": b"", "two": b""})[name] = keys[start:end].tobytes()
+                        rows.setdefault(turn, {"bundle": bundle, "wave": turn, "one": b"", "two": b""})[name] = _packed_keys(keys[start:end])
                 yield pa.RecordBatch.from_pylist(list(rows.values()), schema)
 
     return ask
@@ -258,9 +269,9 @@ def _answerer(wave):
         for batch in batches:
             answers = {"one": [], "two": [], "counts": []}
             for one, two in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                one, two = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
-                answers["one"].append(known.steps(1, one).tobytes())
-                answers["two"].append(known.steps(2, two).tobytes())
+                one, two = _unpacked_keys(one), _unpacked_keys(two)
+                answers["one"].append(_packed(known.steps(1, one).tobytes()))
+                answers["two"].append(_packed(known.steps(2, two).tobytes()))
                 answers["counts"].append(_packed(known.exact(one).astype("<i8").tobytes()))
             arrays = [batch.column(0), *(pa.array(v, pa.binary()) for v in answers.values())]
             yield pa.RecordBatch.from_arrays(arrays, ["bundle", *answers])
@@ -276,10 +287,10 @@ def _noted(table: pa.Table) -> pa.Table:
     steps = {}
     for name, found in (("one", one), ("two", two)):
         _, place = np.unique(found, return_inverse=True)
-        told = np.frombuffer(b"".join(r[name] for r in rows), np.uint8)[place]
+        told = np.frombuffer(b"".join(_unpacked(r[name]) for r in rows), np.uint8)[place]
         steps[name] = [told[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         if name == "one":
-            counts = np.frombuffer(b"".join(_unpacked(r["counts"], 8 * len(r["one"])) for r in rows), "<i8")[place]
+            counts = np.frombuffer(b"".join(_unpacked(r["counts"]) for r in rows), "<i8")[place]
     return pa.table({
         "doc_id": pa.array(own["doc_id"], pa.int64()), "held_out": pa.array(own["held_out"], pa.bool_()),
         "one": pa.array(steps["one"], pa.binary()), "two": pa.array(steps["two"], pa.binary()),
