@@ -283,7 +283,17 @@ def test_a_vocabulary_of_a_million_tokens_is_joined(spark, monkeypatch):
     """A Python worker's copy takes several times the bytes measured, and an executor has a worker a core."""
     vectors = spark.range(1_000_000).select(F.format_string("%012d", "id").alias("token"), F.array_repeat(F.lit(0.5).cast("float"), 4).alias("vector"))
     monkeypatch.setattr(embed, "_pool_in_place", lambda *given: "broadcast")
-    monkeypatch.setattr(embed, "pool_by_join", lambda *given: "joined")
+    joined = []
+    monkeypatch.setattr(embed, "pool_by_join", lambda df, *given: joined.append(1) or df.withColumn("embedding", F.lit(None)))
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    assert embed.pool_word_vectors(docs, vectors, 4) == "joined"
+    embed.pool_word_vectors(docs, vectors, 4)
+    assert joined == [1]
     assert embed.pool_word_vectors(docs, vectors.limit(1000), 4) == "broadcast"
+
+
+@pytest.mark.parametrize("how", ["mean", "max", "sum"])
+def test_rows_with_one_id_are_pooled_apart_by_both_paths(spark, how):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (1, "b", "y"), (None, "a", "z"), (2, None, "z")], "doc_id long, text string, label string")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, -1.0])], "token string, vector array<float>")
+    show = lambda limit: sorted(map(repr, embed.pool_word_vectors(docs, vectors, 2, how, max_vocabulary_bytes=limit, carry=["label"]).collect()))
+    assert show(0) == show(1 << 20) and len(show(0)) == 4

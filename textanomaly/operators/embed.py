@@ -85,7 +85,12 @@ def pool_word_vectors(
         raise ValueError("oov should be zero or skip")
     if measured_bytes(vectors) <= max_vocabulary_bytes:
         return _pool_in_place(df, one_vector_a_token(vectors), dim, how, oov, tokenizer, id_col, text_col, carry or [])
-    return pool_by_join(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carry)
+    # ids may repeat or be null: a row is pooled by a number of its own, as in place
+    columns = [id_col, *(carry or [])]
+    rows = df.where(F.col(text_col).isNotNull()).select(*columns, F.col(text_col).alias("__text"))
+    numbered = settle(rows.withColumn("__row", F.monotonically_increasing_id()))
+    pooled = pool_by_join(numbered, vectors, dim, how, oov, tokenizer, "__row", "__text", columns)
+    return pooled.select(*columns, "embedding")
 
 
 def in_pieces(batches: Iterator[pa.RecordBatch], lists: int) -> Iterator[pa.RecordBatch]:
