@@ -1,173 +1,151 @@
-"""Removal of repeated byte strings by distributed suffix sorting with a difference cover.
+"""Removal of repeated byte strings by sorting suffixes from places that the bytes themselves choose.
 
-Positions that aren't multiples of three are the sample. Their triples of eight-byte symbols are sorted and
-named by rank, and the names are sorted again in triples, which orders the sample by 72 bytes. Of any two suffixes
-that are to be compared one of three merges has both: the sample with itself by its names, suffixes one byte before
-a sampled position by that byte and the names, and those two bytes before one likewise. Each merge brings suffixes
-that share their first 100 bytes next to each other, and all but the earliest are repeats.
+Every string of 100 bytes is tied to its anchor, the leftmost of the smallest hashes of the 32-byte strings in it, so equal
+strings have an equal anchor at the same distance. An anchor's strings are neighbours and make one stretch of bytes;
+stretches are the suffixes that are sorted, one for some 35 starts. Only those around anchors that occur twice are made.
 
-Before that, two steps leave out what can't hold a repeat or needs no sorting: of equal texts the first is kept
-alone, and of the others only the surroundings of anchors that occur twice. An anchor is the smallest hash of the 32-byte
-strings in a window of 69 starts, so equal strings of 100 bytes have an equal anchor at the same place.
+Suffixes that share their whole stretch come together, and in all but the earliest every string is a repeat. The earliest
+ones are looked at again in cells of 23, then 6, then single distances from the anchor. All strings of a cell hold the
+same middle bytes, so a suffix whose middle is its own has no repeat there and goes no further. The last cells hold one
+string of 100 bytes each: nothing is left to compare, and no step looks at hashes in place of bytes.
+
+Before that, of equal texts the first is kept alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textanomaly.llm.common import mixed, pieces, ranked, stored
+from textanomaly.llm.common import PIECE_BYTES, Scratch, mixed, pieces, ranked
 from textanomaly.session import broadcast_if_small
 
 LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM + 1  # starts of grams in a string of LENGTH bytes
-SYMBOL, TRIPLE = 8, 24
-NAMED = 3 * TRIPLE  # bytes that the second names stand for
+CELLS = (REACH, 23, 6, 1)  # distances from the anchor that are looked at together
+PLACE_BITS = 31  # of a text's number and a place in it, kept as one number; no text has more bytes
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of a text of at least ``LENGTH`` bytes."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of a text of at least ``LENGTH`` bytes, and how far before an anchor its strings
+    start: least and most. Every start of a string belongs to one anchor."""
     values = mixed(data.astype(np.uint64) + np.uint64(1))
     width, hashes = 1, values
     while width < GRAM:  # hashes of twice as many bytes from two neighbours
         hashes = mixed(hashes[: len(hashes) - width] * _BASE + hashes[width:])
         width *= 2
-    low, span = hashes, 1
+
+    def least(step: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+        left = low[:count] <= low[step : step + count]
+        return np.minimum(low[:count], low[step : step + count]), np.where(left, at[:count], at[step : step + count])
+
+    low, at, span = hashes, np.arange(len(hashes), dtype=np.int32), 1
     while 2 * span <= REACH:
-        low, span = np.minimum(low[: len(low) - span], low[span:]), 2 * span
+        low, at = least(span, len(low) - span)
+        span *= 2
     starts = len(hashes) - REACH + 1
-    least = np.minimum(low[:starts], low[REACH - span : REACH - span + starts])
-    # a place is an anchor if its hash is the least of a window that holds it
-    padded = np.concatenate([np.zeros(REACH - 1, np.uint64), least, np.zeros(REACH - 1, np.uint64)])
-    high, span = padded, 1
-    while 2 * span <= REACH:
-        high, span = np.maximum(high[: len(high) - span], high[span:]), 2 * span
-    largest = np.maximum(high[: len(hashes)], high[REACH - span : REACH - span + len(hashes)])
-    at = np.flatnonzero(hashes == largest)
-    return at, hashes[at]
+    low, at = least(REACH - span, starts)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    place = at[first].astype(np.int64)
+    return place, low[first], place - np.append(first[1:], starts) + 1, place - first
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "data"):
-        for ord_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at, hashes = anchors(np.frombuffer(data, np.uint8))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(np.full(len(at), ord_, np.int64)), pa.array(at.astype(np.int64))], ["hash", "ord", "at"]
-            )
-
-
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings of a text's repeated anchors: every string of LENGTH bytes that holds one."""
-    for batch in batches:
         rows = []
-        for ord_, data, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            at = np.unique(np.asarray(at, np.int64))
-            starts, ends = np.maximum(at - REACH + 1, 0), np.minimum(at + LENGTH, len(data))
-            apart = np.flatnonzero(starts[1:] > ends[:-1]) + 1
-            for a, b in zip(starts[np.append(0, apart)].tolist(), ends[np.append(apart, len(at)) - 1].tolist()):
-                if b - a >= LENGTH:
-                    rows.append({"ord": ord_, "start": a, "data": data[a:b]})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("ord", pa.int64()), ("start", pa.int64()), ("data", pa.binary())]))
-
-
-def _fixed(rows: np.ndarray) -> pa.Array:
-    """Rows of bytes as an array of binaries."""
-    return pa.FixedSizeBinaryArray.from_buffers(
-        pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]
-    ).cast(pa.binary())
-
-
-def _sampled(start: int, count: int) -> np.ndarray:
-    places = np.arange(count)
-    return places[(places + start) % 3 != 0]
-
-
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ord_, start, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            at = _sampled(start, len(data) - TRIPLE + 1)
-            windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), TRIPLE)[at]
-            yield _placed(ord_, start, at, windows)
-
-
-def _placed(ord_: int, start: int, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    same = lambda v: pa.array(np.full(len(at), v, np.int64))
-    return pa.RecordBatch.from_arrays([same(ord_), same(start), pa.array(at.astype(np.int64)), _fixed(keys)], ["ord", "start", "at", "key"])
-
-
-KEYED = "ord long, start long, at long, key binary"
-
-
-def _named(rows: DataFrame) -> DataFrame:
-    """Regions as rows (ord, start, at list, name list): keys sorted, and named by their rank."""
-    rows = stored(rows, "suffix-keys")
-    names = stored(ranked(rows.select("key").distinct(), [F.col("key")], "name"), "suffix-names")
-    joined = rows.join(names, "key")
-    return joined.groupBy("ord", "start").agg(F.collect_list(F.struct("at", "name")).alias("names"))
-
-
-def _table(names: list[dict], count: int) -> np.ndarray:
-    table = np.full(count, -1, np.int64)
-    table[[n["at"] for n in names]] = [n["name"] for n in names]
-    return table
-
-
-def _name_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ord_, start, names in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            count = 1 + max(n["at"] for n in names)
-            table = _table(names, count)
-            at = _sampled(start, count - 2 * TRIPLE)
-            keys = np.column_stack([table[at], table[at + TRIPLE], table[at + 2 * TRIPLE]]).astype(">i8")
-            yield _placed(ord_, start, at, keys.view(np.uint8).reshape(len(at), 24))
+        for ord_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            at, hashes, near, far = anchors(np.frombuffer(data, np.uint8))
+            rows.append((hashes.view(np.int64), np.full(len(at), ord_, np.int64), at, near.astype(np.int8), far.astype(np.int8)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["hash", "ord", "at", "near", "far"])
 
 
-def _merges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of exactly LENGTH bytes in the three merges; the first byte says which."""
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of a text's repeated anchors: the strings that start ``near`` to ``far`` bytes before them."""
+    rows, size = [], 0
     for batch in batches:
-        for ord_, start, data, names in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            text = np.frombuffer(data, np.uint8)
-            table = _table(names, len(data)).astype(">i8").view(np.uint8).reshape(-1, 8)
-            every = np.arange(len(data) - LENGTH + 1)
-            kind = (every + start) % 3
-            # (merge, classes, bytes before the sampled place, step to the second names, bytes after)
-            for merge, classes, before, step, after in ((0, (1, 2), 0, 27, 1), (1, (0, 1), 1, 27, 0), (2, (0, 2), 2, 24, 2)):
-                at = every[np.isin(kind, classes)]
-                parts = [np.full((len(at), 1), merge, np.uint8)]
-                parts += [text[at + b][:, None] for b in range(before)]
-                parts += [table[at + before], table[at + before + step]]
-                parts += [text[at + LENGTH - after + b][:, None] for b in range(after)]
-                yield _placed(ord_, start, at, np.hstack(parts))
-
-
-def repeated_starts(regions: DataFrame) -> DataFrame:
-    """(ord, at): starts of strings of LENGTH bytes in regions (ord, start, data) that also start earlier."""
-    first = _named(regions.mapInArrow(_triples, KEYED))
-    second = _named(first.mapInArrow(_name_triples, KEYED))
-    merged = regions.join(second, ["ord", "start"]).select("ord", "start", "data", "names").mapInArrow(_merges, KEYED)
-    merged = stored(merged.select("ord", (F.col("start") + F.col("at")).alias("at"), "key"), "suffix-merged")
-    heads = merged.groupBy("key").agg(F.min(F.struct("ord", "at")).alias("head"), F.count("*").alias("n"))
-    heads = stored(heads.where("n > 1").select("key", "head"), "suffix-heads")
-    return merged.join(heads, "key").where(F.struct("ord", "at") != F.col("head")).select("ord", "at").distinct()
+        for ord_, data, found in zip(*(batch.column(i) for i in range(3))):
+            at, near, far = (found.values.field(name).to_numpy() for name in ("at", "near", "far"))
+            starts, lengths = at - far, far.astype(np.int64) - near + LENGTH
+            ends = np.cumsum(lengths)
+            # bytes of all stretches one after the other
+            taken = np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
+            text = np.frombuffer(data.as_py(), np.uint8)[taken]
+            offsets = pa.py_buffer(np.append(0, ends).astype(np.int32))
+            part = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(text)])
+            place = pa.array((ord_.as_py() << PLACE_BITS) + at)
+            rows.append(pa.RecordBatch.from_arrays([place, pa.array(near), pa.array(far), part], ["place", "near", "far", "part"]))
+            size += len(text)
+            if size > PIECE_BYTES:
+                yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+                rows, size = [], 0
+    if rows:
+        yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
+
+
+SUFFIX = "place long, near byte, far byte, part binary"
+
+
+def _cells(rows: DataFrame, width: int) -> DataFrame:
+    """Suffixes cut into cells of ``width`` distances from their anchor."""
+    cells = F.sequence(F.floor(F.col("near") / width), F.floor(F.col("far") / width))
+    cut = rows.withColumn("cell", F.explode(cells)).withColumn("low", (F.col("cell") * width).cast("int"))
+    near, far = F.greatest("near", "low").cast("byte"), F.least(F.col("far").cast("int"), F.col("low") + (width - 1)).cast("byte")
+    cut = cut.withColumns({"cut_near": near, "cut_far": far})
+    part = F.substring("part", F.col("far") - F.col("cut_far") + 1, F.col("cut_far") - F.col("cut_near") + LENGTH)
+    return cut.select("place", F.col("cut_near").alias("near"), F.col("cut_far").alias("far"), part.alias("part"))
+
+
+def _with_middle(rows: DataFrame, width: int) -> DataFrame:
+    """Add the cell and the bytes that all strings of ``LENGTH`` bytes in it hold, whichever of them a suffix has."""
+    low = (F.floor(F.col("near") / width) * width).cast("int")
+    middle = F.substring("part", F.col("far") - low + 1, F.lit(LENGTH + 1 - width))
+    return rows.withColumns({"low": low, "middle": middle})
+
+
+def repeated_ranges(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(ord, start, stop): bytes of strings of LENGTH bytes in suffixes (SUFFIX) that also start earlier."""
+    found, key = None, ["near", "far", "part"]
+    for i, width in enumerate(CELLS):
+        cut = f"cut{i}"
+        if i:
+            rows = scratch.store(_cells(rows, width), cut)
+            scratch.drop(f"open{i - 1}")
+        heads = rows.groupBy(*key).agg(F.min("place").alias("head"), F.count("*").alias("n"))
+        heads = scratch.store(heads, f"heads{i}")
+        copies = rows.join(heads.where("n > 1"), key).where("place <> head")
+        at = F.col("place").bitwiseAND((1 << PLACE_BITS) - 1)
+        start, stop = at - F.col("far"), at - F.col("near") + LENGTH
+        copies = copies.select(F.shiftright("place", PLACE_BITS).alias("ord"), start.alias("start"), stop.alias("stop"))
+        copies = scratch.store(copies, f"copies{i}")
+        found = copies if found is None else found.unionByName(copies)
+        scratch.drop(cut if i else "suffixes")
+        if width > 1:
+            # the earliest ones alone still meet each other, where they share their middle
+            open_ = _with_middle(heads.select(F.col("head").alias("place"), *key), width)
+            shared = open_.groupBy("low", "middle").agg(F.count("*").alias("n")).where("n > 1").select("low", "middle")
+            rows = scratch.store(open_.join(shared, ["low", "middle"], "left_semi").select("place", *key), f"open{i}")
+        scratch.drop(f"heads{i}")
+    return found
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["ord", "n_removed", "n_spans", "kept_sha256", "spans"]
     for batch in batches:
         rows = []
-        for ord_, data, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for ord_, data, ranges in zip(*(batch.column(i) for i in range(3))):
+            ord_, data = ord_.as_py(), data.as_py()
             marks = np.zeros(len(data) + 1, np.int32)
-            if at:
-                starts = np.unique(np.asarray(at, np.int64))
-                np.add.at(marks, starts, 1)
-                np.add.at(marks, starts + LENGTH, -1)
+            if ranges.is_valid:
+                np.add.at(marks, ranges.values.field("start").to_numpy(), 1)
+                np.add.at(marks, ranges.values.field("stop").to_numpy(), -1)
             gone = np.cumsum(marks[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -184,27 +162,48 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts that share a doc_id come in the order of their SHA-256, and rows that are equal count once and get equal
     results. Of equal texts of at least LENGTH bytes all but the first go whole.
     """
+    with _shuffles_removed(docs.sparkSession):
+        return _remove_repeats(docs, Scratch(docs, "suffix"))
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Each job inside deletes its shuffle files at its end: what it made is stored, and not read from them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     data = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"))
     rows = rows.withColumns({"sha": F.sha2("data", 256), "n_bytes": F.octet_length("data").cast("long")})
-    plain = stored(rows.select("doc_id", "sha", "n_bytes"), "suffix-rows")
+    plain = scratch.store(rows.select("doc_id", "sha", "n_bytes"), "rows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
     texts = plain.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min(place).alias("place"))
     texts = texts.select("sha", F.col("place.doc_id").alias("head"))
-    texts = stored(ranked(texts, [F.col("head").isNull(), F.col("head"), F.col("sha")], "ord"), "suffix-texts")
+    texts = scratch.store(ranked(texts, [F.col("head").isNull(), F.col("head"), F.col("sha")], "ord"), "texts")
     side = broadcast_if_small(texts.select(F.col("sha").alias("own_sha"), "head", "ord"))
     first = (F.col("sha") == F.col("own_sha")) & F.col("doc_id").eqNullSafe(F.col("head"))
     heads = rows.join(side, first).dropDuplicates(["ord"]).select("ord", "data")
-    heads = stored(heads, "suffix-heads")
-    found = stored(heads.mapInArrow(_anchor_rows, "hash long, ord long, at long"), "suffix-anchors")
+    heads = scratch.store(heads, "heads")
+    found = scratch.store(heads.mapInArrow(_anchor_rows, "hash long, ord long, at long, near byte, far byte"), "anchors")
     twice = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    near = found.join(twice, "hash", "left_semi").groupBy("ord").agg(F.collect_list("at").alias("at"))
-    regions = heads.join(near, "ord").select("ord", "data", "at").mapInArrow(_regions, "ord long, start long, data binary")
-    regions = stored(regions, "suffix-regions")
-    repeats = repeated_starts(regions).groupBy("ord").agg(F.collect_list("at").alias("at"))
+    twice = scratch.store(found.join(twice, "hash", "left_semi").drop("hash"), "twice")
+    scratch.drop("anchors")
+    twice = twice.groupBy("ord").agg(F.collect_list(F.struct("at", "near", "far")).alias("found"))
+    suffixes = heads.join(twice, "ord").select("ord", "data", "found").mapInArrow(_suffixes, SUFFIX)
+    suffixes = scratch.store(suffixes, "suffixes")
+    scratch.drop("twice")
+    repeats = repeated_ranges(suffixes, scratch).groupBy("ord").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     schema = "ord long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>"
-    done = heads.join(repeats, "ord", "left").select("ord", "data", "at").mapInArrow(_removed, schema)
-    done = stored(done.join(texts, "ord").drop("ord"), "suffix-done")
+    done = heads.join(repeats, "ord", "left").select("ord", "data", "ranges").mapInArrow(_removed, schema)
+    done = scratch.store(done.join(texts, "ord").drop("ord"), "done")
+    scratch.drop("heads", "texts", *[f"copies{i}" for i in range(len(CELLS))])
     all_of_it = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))
     head_rows = plain.join(
         done.withColumnsRenamed({"sha": "own_sha"}), (F.col("sha") == F.col("own_sha")) & F.col("doc_id").eqNullSafe(F.col("head")), "left"
