@@ -131,7 +131,9 @@ def repeated_ranges(rows: DataFrame, scratch: Scratch) -> DataFrame:
             # the earliest ones alone still meet each other, where they share their middle
             open_ = _with_middle(heads.select(F.col("head").alias("place"), *key), width)
             shared = open_.groupBy("low", "middle").agg(F.count("*").alias("n")).where("n > 1").select("low", "middle")
+            shared = scratch.store(shared, f"shared{i}")
             rows = scratch.store(open_.join(shared, ["low", "middle"], "left_semi").select("place", *key), f"open{i}")
+            scratch.drop(f"shared{i}")
         scratch.drop(f"heads{i}")
     return found
 
@@ -192,9 +194,10 @@ def _remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     heads = rows.join(side, first).dropDuplicates(["ord"]).select("ord", "data")
     heads = scratch.store(heads, "heads")
     found = scratch.store(heads.mapInArrow(_anchor_rows, "hash long, ord long, at long, near byte, far byte"), "anchors")
-    twice = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    twice = scratch.store(found.join(twice, "hash", "left_semi").drop("hash"), "twice")
-    scratch.drop("anchors")
+    # stored, so that the join is a stage of its own and a frequent hash is dealt over several tasks
+    hashes = scratch.store(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hashes")
+    twice = scratch.store(found.join(hashes, "hash", "left_semi").drop("hash"), "twice")
+    scratch.drop("anchors", "hashes")
     twice = twice.groupBy("ord").agg(F.collect_list(F.struct("at", "near", "far")).alias("found"))
     suffixes = heads.join(twice, "ord").select("ord", "data", "found").mapInArrow(_suffixes, SUFFIX)
     suffixes = scratch.store(suffixes, "suffixes")
