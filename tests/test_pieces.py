@@ -12,3 +12,15 @@ def test_batches_are_cut_by_their_tokens(monkeypatch):
     pieces = [piece.to_pylist() for piece in embed.in_pieces(iter([batch, batch.slice(2, 0)]), 1)]
     assert [row for piece in pieces for row in piece] == batch.to_pylist()
     assert [[row["doc_id"] for row in piece] for piece in pieces] == [[0, 1, 2], [3], [4, 5]]
+
+
+def test_joined_pooling_hands_few_rows_at_a_time_to_python(spark, monkeypatch):
+    """Memory of a worker is a batch's, so batches of ten thousand texts made it grow with the rows of a task."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, settle = spark.conf.get(name), embed.settle
+    monkeypatch.setattr(embed, "settle", lambda df: seen.append(int(spark.conf.get(name))) or settle(df))
+    docs = spark.createDataFrame([(i, "a b" if i % 2 else "b") for i in range(2500)], "doc_id long, text string").coalesce(1)
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [3.0])], "token string, vector array<float>")
+    got = {r["doc_id"]: r["embedding"] for r in embed.pool_by_join(docs, vectors, 1, "max").collect()}
+    assert got == {i: [3.0] for i in range(2500)}
+    assert len(seen) == 2 and max(seen) <= 1000 and spark.conf.get(name) == before

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textanomaly.llm.classifier import fold
-from textanomaly.llm.common import Scratch, Words, mixed, pieces, small_batches, text_bytes
+from textanomaly.llm.common import Scratch, Words, mixed, pieces, text_bytes
+from textanomaly.session import small_batches
 
 BASE = 1.3  # of the logarithm that counts are quantised by
 BITS, PROBES = 12, 5  # of the filter, a held step

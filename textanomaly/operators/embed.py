@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textanomaly.functions import text as text_functions
-from textanomaly.session import measured_bytes, settle
+from textanomaly.session import measured_bytes, settle, small_batches
 
 # Every Python worker keeps its own copy of a broadcast vocabulary, in some six times the bytes measured.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -217,7 +217,8 @@ def pool_by_join(
     """
     texts = df.where(F.col(text_col).isNotNull()).select(id_col, TOKENIZERS[tokenizer](F.col(text_col)).alias("tokens"))
     most = max(1, min(HEAVY_SLOTS // 2, heavy_bytes // (8 * dim)))
-    heavy = settle(frequent_tokens(texts, "tokens").orderBy(F.desc("texts"), "token").limit(most))
+    with small_batches(df.sparkSession):  # a worker holds a batch's tokens, so memory doesn't grow with the rows a task has
+        heavy = settle(frequent_tokens(texts, "tokens").orderBy(F.desc("texts"), "token").limit(most))
     known = {r["token"]: r["vector"] for r in _looked_up(heavy.select("token"), vectors, tokenizer).collect()}  # heavy_bytes
     names = [r["token"] for r in heavy.select("token").toLocalIterator()]
     table = np.array([known.get(name) or [0.0] * dim for name in names], np.float64).reshape(len(names), dim)
@@ -255,7 +256,8 @@ def pool_by_join(
 
     kind = texts.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, vector array<double>, n long, tokens array<string>, counts array<long>"
-    parts = settle(texts.mapInArrow(part, schema))
+    with small_batches(df.sparkSession):
+        parts = settle(texts.mapInArrow(part, schema))
     tail = parts.select(id_col, F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
     tail = tail.select(id_col, F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
     found = tail.join(_looked_up(tail.select("token").distinct(), vectors, tokenizer), "token", "left")

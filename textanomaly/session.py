@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,18 @@ def settle(df: DataFrame) -> DataFrame:
     return stored.select(*[F.col(f"`{c}`").alias(c) for c in stored.columns])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs inside hand at most so many rows at a time to Python; Spark's buffers for whole texts stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def widen(scan: DataFrame) -> DataFrame:
     """Spread the rows of a plain scan that has fewer splits than there are cores.
 
