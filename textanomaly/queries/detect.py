@@ -18,7 +18,7 @@ from textanomaly.queries.splits import NU, contaminated
 
 GROUP = ["run", "inlier"]
 SHORT = {"epochs": 5, "batch_size": 1000, "hidden_dims": (16, 8), "dropout_rate": 0.2}
-# labels of the small tables have about 20 rows a split; all else in the grids is as in full experiments, but for epochs
+# labels of the small tables have about 20 rows a split; all else in the grids is as in full experiments, but for epochs where given
 GRID = {"min_size": 15, "seed": SEED}
 
 SPECS = {
@@ -127,10 +127,12 @@ def benchmark_summary(spark, folder):
     return summary(benchmark(spark, folder))
 
 
-def ablation(study, epochs=3):
+def ablation(study, **changes):
+    """A study with the settings of full experiments, but for ``changes``."""
+
     def query(spark, folder):
         corpus = vector_corpus(spark, folder)
-        specs = experiments.ablation_specs(study, epochs=epochs)
+        specs = experiments.ablation_specs(study, **changes)
         return experiments.ablation(corpus, study, vector_hierarchy(corpus), "contextual", NU, "given", specs=specs, **GRID)
 
     return query
@@ -153,9 +155,9 @@ QUERIES = {
     "benchmark": benchmark,
     "benchmark_summary": benchmark_summary,
     "ablation_latent": ablation("latent"),
-    "ablation_hidden": ablation("hidden"),
+    "ablation_hidden": ablation("hidden", epochs=3),
     "ablation_lambda": ablation("lambda", epochs=1),
-    "ablation_ensemble": ablation("ensemble"),
+    "ablation_ensemble": ablation("ensemble", epochs=3),
 }
 
 ORACLES = {
