@@ -1,8 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textanomaly.llm import phrases
@@ -78,3 +81,26 @@ def test_intervals_hold_the_occurrences(seed):
         spelt = [spelt[p] + spelt[s][-1:] for p, s in zip(grams.prefix, grams.suffix)]
         windows = Counter(tuple(map(int, sequence[i : i + size])) for i in range(len(sequence) - size + 1))
         assert dict(zip(spelt, grams.count.tolist())) == {w: c for w, c in windows.items() if 0 not in w}
+
+
+def test_memory_of_a_shard_where_all_pairs_are_frequent(monkeypatch):
+    """Shards of 8 MB took 300 MB in a Python worker once most of their pairs were frequent, as on large corpora."""
+    monkeypatch.setattr(phrases, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{i:05}" for i in range(20_000)])
+    texts = [" ".join(rng.choice(vocabulary, 1000)) for _ in range(1200)]  # 8.4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    shards = [pa.table(shard) for shard in pa.Table.from_batches(phrases._sharded(iter([batch]))).to_batches(1)]
+    assert sum(sum(shard["counts"][0].as_py()) for shard in shards) == 1_200_000
+    largest = max(shards, key=lambda shard: len(shard["sequence"][0].as_py()))
+    n = len(largest["words"][0])
+    words = pa.table([pa.array(range(n)), pa.array(range(n))], ["place", "word_id"])
+    tracemalloc.start()
+    try:
+        paired = phrases._pairs((pa.scalar(1),), largest, words)
+        found = phrases._longer((pa.scalar(1),), paired, pa.table([paired["pairs"].combine_chunks().values], ["pair"]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found.num_rows == 2
+    assert peak < 100 << 20, peak

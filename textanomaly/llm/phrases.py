@@ -23,13 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textanomaly.llm.common import LOWER, Scratch, ranked, text_bytes
-from textanomaly.session import broadcast_if_small
+from textanomaly.llm.common import LOWER, Scratch, ranked, shuffles_removed, text_bytes
+from textanomaly.session import broadcast_if_small, small_batches
 
 LEAST, LONGER, FIRST = 30, 80, 2000
 LONGEST = 4  # words
 ID_BITS = 31  # of a word's id
-SHARD_BYTES = 8 << 20  # of text; a longer text is a shard of its own
+# of text; a longer text is a shard of its own. Work on a shard takes up to 40 times its text where all its pairs are frequent
+SHARD_BYTES = 2 << 20
+# a shard is one row, so that Parquet's writers and readers would hold all shards of a task at once
+LARGE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1"}
 SCALE = 2_000_000
 UNDEFINED = "und"
 _KIND = np.zeros(256, np.uint8)
@@ -165,11 +168,13 @@ def extended(transform: Transform, grams: Grams, left: bool = True) -> Grams:
     symbols = transform.symbols[rows]
     key = own * (int(symbols.max(initial=0)) + 1) + symbols
     order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(ordered)]
-    count = np.diff(np.append(heads, len(ordered)).astype(np.int64))
-    parent, top, smaller = own[order[heads]], rows[order[heads]], heads - starts[own[order[heads]]]
-    word = symbols[order[heads]] > 0
+    key = key[order]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+    count = np.diff(np.append(heads, len(key)).astype(np.int64))
+    order = order[heads]
+    parent, top, word = own[order], rows[order], symbols[order] > 0
+    smaller = heads - starts[parent]
+    del own, rows, symbols, key, order, heads  # as long as the sequence
     count, parent, top, smaller = count[word], parent[word], top[word], smaller[word]
     reached, shifted = transform.last_to_first[top], other[parent] + smaller
     within = _within(low, grams.count, reached)
@@ -248,12 +253,17 @@ def _words(pair: Column) -> Column:
 def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """N-grams of 1 to 4 words that occur ``least`` times: (lang, words by id, ``a``); the words by id; the number of
     all word occurrences by language."""
-    scratch = Scratch(docs, "phrases")
+    with shuffles_removed(docs.sparkSession):
+        return _counted(docs, least, Scratch(docs, "phrases"))
+
+
+def _counted(docs: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(UNDEFINED)).alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    shards = scratch.store(rows.mapInArrow(_sharded, SHARDS), "shards")
+    with small_batches(docs.sparkSession):
+        shards = scratch.store(rows.mapInArrow(_sharded, SHARDS), "shards", options=LARGE_ROWS)
     inside = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
     inside = inside.select("shard", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     summed = inside.groupBy("lang", "word").agg(F.sum("count").alias("a"))
@@ -273,7 +283,7 @@ def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     paired = shards.select("shard", "sequence").groupBy("shard").cogroup(
         places.select(F.col("shard").alias("own"), "place", "word_id").groupBy("own")
     ).applyInArrow(_pairs, PAIRS)
-    found = scratch.store(paired, "pairs")
+    found = scratch.store(paired, "pairs", options=LARGE_ROWS)
     scratch.drop("shards")
     # a shard has a pair once, so that adding up and telling the shards takes one shuffle and no join
     pairs = found.select(F.col("shard").alias("own"), F.explode(F.arrays_zip("pairs", "counts")).alias("p"))
@@ -283,7 +293,7 @@ def counted(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     longer = found.select("shard", "vocabulary", "sequence").groupBy("shard").cogroup(
         frequent.select("own", "pair").groupBy("own")
     ).applyInArrow(_longer, LONG)
-    longer = scratch.store(longer, "longer")
+    longer = scratch.store(longer, "longer", options=LARGE_ROWS)
     scratch.drop("pairs")
     longer = longer.select("size", F.explode(F.arrays_zip("first", "last", "counts")).alias("g"))
     longer = longer.groupBy("size", "g.first", "g.last").agg(F.sum("g.counts").alias("a")).where(F.col("a") >= least)

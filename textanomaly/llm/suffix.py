@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textanomaly.llm.common import PIECE_BYTES, Scratch, mixed, pieces, ranked
+from textanomaly.llm.common import PIECE_BYTES, Scratch, mixed, pieces, ranked, shuffles_removed
 from textanomaly.session import broadcast_if_small
 
 LENGTH = 100
@@ -164,22 +163,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts that share a doc_id come in the order of their SHA-256, and rows that are equal count once and get equal
     results. Of equal texts of at least LENGTH bytes all but the first go whole.
     """
-    with _shuffles_removed(docs.sparkSession):
+    with shuffles_removed(docs.sparkSession):
         return _remove_repeats(docs, Scratch(docs, "suffix"))
 
 
-@contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Each job inside deletes its shuffle files at its end: what it made is stored, and not read from them again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _remove_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     data = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"))
