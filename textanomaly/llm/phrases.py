@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textanomaly.llm.common import LOWER, Scratch, ranked, shuffles_removed, text_bytes
-from textanomaly.session import broadcast_if_small, small_batches
+from textanomaly.llm.common import LOWER, Scratch, ranked, text_bytes
+from textanomaly.session import broadcast_if_small, shuffles_removed, small_batches
 
 LEAST, LONGER, FIRST = 30, 80, 2000
 LONGEST = 4  # words

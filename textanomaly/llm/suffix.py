@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textanomaly.llm.common import PIECE_BYTES, Scratch, mixed, pieces, ranked, shuffles_removed
-from textanomaly.session import broadcast_if_small
+from textanomaly.llm.common import PIECE_BYTES, Scratch, mixed, pieces, ranked
+from textanomaly.session import broadcast_if_small, shuffles_removed
 
 LENGTH = 100
 GRAM = 32

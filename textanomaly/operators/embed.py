@@ -7,14 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textanomaly.functions import text as text_functions
-from textanomaly.session import measured_bytes, settle, small_batches
+from textanomaly.session import dropped, measured_bytes, settle, shuffles_removed, small_batches, stored_rows
 
 # Every Python worker keeps its own copy of a broadcast vocabulary, in some six times the bytes measured.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -157,17 +155,18 @@ def _pool_in_place(df, vectors, dim, how, oov, tokenizer, id_col, text_col, carr
     return texts.mapInArrow(pool, schema)
 
 
-def frequent_tokens(texts: DataFrame, tokens: str, slots: int = HEAVY_SLOTS) -> DataFrame:
+def frequent_tokens(texts: DataFrame, tokens: str, slots: int = HEAVY_SLOTS, once: bool = False) -> DataFrame:
     """(token, texts): candidates for the tokens that most texts hold, with a lower bound of how many do.
 
     Every task keeps at most ``slots`` counters: when there are more, the largest count that does not fit is taken from
     all of them. A token that more than one in ``slots`` of the texts holds is never lost, and sketches add up.
+    ``once`` says that a text's list names a token once.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, int] = {}
         for batch in in_pieces(batches, 0):
-            words, _, codes, _ = _counted_tokens(batch.column(0))
+            words, _, codes = _token_codes(batch.column(0)) if once else _counted_tokens(batch.column(0))[:3]
             for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
                 held[word] = held.get(word, 0) + n
             if len(held) > slots:
@@ -178,15 +177,30 @@ def frequent_tokens(texts: DataFrame, tokens: str, slots: int = HEAVY_SLOTS) ->
     return texts.select(tokens).mapInArrow(sketch, "token string, texts long").groupBy("token").agg(F.sum("texts").alias("texts"))
 
 
-def _counted_tokens(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of a batch; and row, token's number and count of every token that a row holds."""
+def _token_codes(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens of a batch; and row and token's number of every token."""
     rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    pairs, counts = np.unique(rows * max(len(words), 1) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return coded.dictionary.to_pylist(), rows, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _counted_tokens(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of a batch; and row, token's number and count of every token that a row holds."""
+    words, rows, codes = _token_codes(lists)
+    pairs, counts = np.unique(rows * max(len(words), 1) + codes, return_counts=True)
     return words, pairs // max(len(words), 1), pairs % max(len(words), 1), counts
 
 
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of every row's list in the second column, and their counts."""
+    for batch in in_pieces(batches, 1):
+        words, rows, codes, counts = _counted_tokens(batch.column(1))
+        offsets = pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)), pa.int32())
+        tokens = pa.array(words, pa.string()).take(pa.array(codes))
+        lists = [pa.ListArray.from_arrays(offsets, values) for values in (tokens, pa.array(counts))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[batch.schema.names[0], "tokens", "counts"])
+
+
 def _looked_up(tokens: DataFrame, vectors: DataFrame, tokenizer: str) -> DataFrame:
     """(token, vector) of the distinct tokens that are known in some form, the first that is."""
     forms = F.array(F.col("token"), *[form(F.col("token")) for form in FALLBACKS[tokenizer]])
@@ -209,7 +223,8 @@ def pool_by_join(
 ) -> DataFrame:
     """The same pooling as a join on the token, for vocabularies of any size.
 
-    The tokens that most texts hold are found by a sketch, and as many of their
+    Texts are cut into tokens once: each one's distinct tokens and their counts are
+    stored. The tokens that most texts hold are found by a sketch, and as many of their
     vectors as ``heavy_bytes`` take are broadcast: they are added up where texts
     are read, so no frequent word crosses a shuffle or makes a skewed key. The
     other tokens are counted per text, joined with their vectors, and both parts
@@ -217,8 +232,10 @@ def pool_by_join(
     """
     texts = df.where(F.col(text_col).isNotNull()).select(id_col, TOKENIZERS[tokenizer](F.col(text_col)).alias("tokens"))
     most = max(1, min(HEAVY_SLOTS // 2, heavy_bytes // (8 * dim)))
-    with small_batches(df.sparkSession):  # a worker holds a batch's tokens, so memory doesn't grow with the rows a task has
-        heavy = settle(frequent_tokens(texts, "tokens").orderBy(F.desc("texts"), "token").limit(most))
+    kind = texts.schema[id_col].dataType.simpleString()
+    with small_batches(df.sparkSession), shuffles_removed(df.sparkSession):  # a worker holds a batch's tokens, so memory doesn't grow with the rows a task has
+        listed, path = stored_rows(texts.mapInArrow(_token_counts, f"`{id_col}` {kind}, tokens array<string>, counts array<long>"), "tokens")
+        heavy = settle(frequent_tokens(listed, "tokens", once=True).orderBy(F.desc("texts"), "token").limit(most))
     known = {r["token"]: r["vector"] for r in _looked_up(heavy.select("token"), vectors, tokenizer).collect()}  # heavy_bytes
     names = [r["token"] for r in heavy.select("token").toLocalIterator()]
     table = np.array([known.get(name) or [0.0] * dim for name in names], np.float64).reshape(len(names), dim)
@@ -229,7 +246,8 @@ def pool_by_join(
         listed, has_vector, values = shared.value
         index = {name: i for i, name in enumerate(listed)}
         for batch in in_pieces(batches, 1):
-            words, rows, codes, counts = _counted_tokens(batch.column(1))
+            words, rows, codes = _token_codes(batch.column(1))
+            counts = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             place = np.array([index.get(word, -1) for word in words], np.int64)[codes] if words else codes
             own, n = batch.num_rows, np.where(place >= 0, counts, 0)
             inside = place >= 0
@@ -254,22 +272,27 @@ def pool_by_join(
                 names=[id_col, "vector", "n", "tokens", "counts"],
             )
 
-    kind = texts.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, vector array<double>, n long, tokens array<string>, counts array<long>"
     with small_batches(df.sparkSession):
-        parts = settle(texts.mapInArrow(part, schema))
+        parts = settle(listed.mapInArrow(part, schema))
+    dropped(df.sparkSession, path)
     tail = parts.select(id_col, F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
     tail = tail.select(id_col, F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
-    found = tail.join(_looked_up(tail.select("token").distinct(), vectors, tokenizer), "token", "left")
+    # without other forms every vector is its token's, and the distinct tokens are not needed
+    forms = FALLBACKS[tokenizer]
+    words = _looked_up(tail.select("token").distinct(), vectors, tokenizer) if forms else one_vector_a_token(vectors)
+    found = tail.join(words, "token", "left")
     if skip:
         found = found.where(F.col("vector").isNotNull())
     zero = F.array_repeat(F.lit(0.0), dim)
-    found = found.select(id_col, F.coalesce("vector", zero).alias("vector"), F.col("n").cast("double").alias("weight"), "n")
+    fits = F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector has not {dim} numbers")))
+    known = F.when(F.col("vector").isNull(), zero).otherwise(fits)
+    found = found.select(id_col, known.alias("vector"), F.col("n").cast("double").alias("weight"), "n")
     # a text's heavy part is one vector, added up already
     both = found.unionByName(parts.where("n > 0").select(id_col, "vector", F.lit(1.0).alias("weight"), "n"))
-    vector = array_to_vector("vector")
-    pooled = Summarizer.max(vector) if how == "max" else Summarizer.sum(vector, F.col("weight"))
-    result = both.groupBy(id_col).agg(vector_to_array(pooled).alias("embedding"), F.sum("n").alias("n"))
+    numbers = [F.col("vector")[i] for i in range(dim)]
+    pooled = [F.max(v) if how == "max" else F.sum(v * F.col("weight")) for v in numbers]
+    result = both.groupBy(id_col).agg(F.array(*pooled).alias("embedding"), F.sum("n").alias("n"))
     if how == "mean":
         result = result.withColumn("embedding", F.transform("embedding", lambda v: v / F.col("n")))
     every = df.where(F.col(text_col).isNotNull()).select(id_col, *(carry or []))

@@ -11,7 +11,7 @@ from textanomaly.operators import embed
 from textanomaly.operators.embed import PUNCTUATION
 from textanomaly.plans.prepare import prepare, prepare_files
 from textanomaly.queries.shared import SEED, labelled_documents, order_sql, scratch, table
-from textanomaly.session import settle, widen
+from textanomaly.session import settle, shuffles_removed, widen
 from textanomaly.sources.corpus import cached, load_corpus
 
 
@@ -69,7 +69,9 @@ def pooled(how, oov="zero", joined=False, tokenizer="basic_english", **options):
     def query(spark, folder):
         docs = texts(spark, folder)
         pool = embed.pool_by_join if joined else embed.pool_word_vectors
-        result = pool(docs, settle(word_vectors(docs)), 4, how, oov, tokenizer, **options)
+        with shuffles_removed(spark):
+            vectors = settle(word_vectors(docs))
+        result = pool(docs, vectors, 4, how, oov, tokenizer, **options)
         return result.select("doc_id", *[F.round(F.col("embedding")[i].cast("double"), 5).alias(f"v{i}") for i in range(4)])
 
     return query

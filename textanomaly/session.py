@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -52,6 +53,32 @@ def settle(df: DataFrame) -> DataFrame:
     return stored.select(*[F.col(f"`{c}`").alias(c) for c in stored.columns])
 
 
+def stored_rows(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once as compressed Parquet next to the checkpoints, and its folder, to be deleted by ``dropped``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder of stored rows whose readers have all been stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Each job inside deletes its shuffle files at its end: what it made is stored, and not read from them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs inside hand at most so many rows at a time to Python; Spark's buffers for whole texts stay small."""
